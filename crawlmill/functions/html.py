@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .core import SPACE, col, let, match_count, matches, ratio, round_to
+from .core import SPACE, col, let, match_count, matches, ratio
 from .text import term_counts, top_terms, word_count
 from .urls import netloc
 
@@ -188,15 +188,3 @@ def link_quality(facts: Column) -> Column:
         + F.when(total >= 20, 10).when(total >= 10, 5).otherwise(0)
     )
     return F.when(total == 0, F.lit(0.0)).otherwise(F.least(raw, F.lit(100)).cast("double"))
-
-
-def quality_of_record(
-    url: Column, title: Column, body: Column, scraped_at: Column, status: Column, as_of: Column
-) -> Column:
-    """Weighted completeness, freshness and consistency of one fetched record, three decimals."""
-    there = [F.coalesce((c != ""), F.lit(False)).cast("int") for c in (url, title, body)]
-    completeness = (there[0] + there[1] + there[2]) / F.lit(3.0)
-    age_days = (F.unix_micros(as_of) - F.unix_micros(scraped_at)) / F.lit(86400.0 * 1e6)
-    freshness = F.greatest(F.lit(0.0), F.lit(1.0) - age_days / 30)
-    consistency = F.when(status == 200, 1.0).otherwise(0.3)
-    return round_to(0.4 * completeness + 0.3 * freshness + 0.3 * consistency, 3)
