@@ -143,7 +143,7 @@ RICH_PAGES_SQL = "rich AS (SELECT page_id, url, html || CASE page_id % 4 {} END
 
 
 def odd_urls(spark: SparkSession, folder: str) -> DataFrame:
-    """Page URLs, three of eight of them wrong in some way."""
+    """Page URLs, seven of eight changed: other schemes, spaces, missing parts."""
     u, kind = F.col("url"), F.col("page_id") % 8
     odd = (
         F.when(kind == 1, F.concat(F.lit("ftp"), F.substring_index(u, "://", -1)))
