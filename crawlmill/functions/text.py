@@ -218,14 +218,14 @@ def keywords(text: Column | str, top_n: int = 20) -> Column:
 
     def candidates(toks: Column) -> Column:
         total = F.size(toks)
+        # NULL where a token is no keyword, so that joining neighbours gives NULL there too
+        kept = F.transform(toks, lambda t: F.when(is_keyword(t), t))
+        return let(kept, lambda k: best_of(k, total))
+
+    def best_of(kept: Column, total: Column) -> Column:
+        following = F.slice(kept, 2, F.greatest(F.size(kept), F.lit(1)))
         pairs = F.transform(
-            toks,
-            lambda t, i: let(
-                F.get(toks, i + F.lit(1)),
-                lambda nxt: F.when(
-                    nxt.isNotNull() & is_keyword(t) & is_keyword(nxt), F.concat(t, F.lit(" "), nxt)
-                ),
-            ),
+            F.arrays_zip(kept.alias("a"), following.alias("b")), lambda z: F.concat(z["a"], F.lit(" "), z["b"])
         )
 
         def ranked(terms: Column, size: int, kind: int, boost: float) -> Column:
@@ -241,8 +241,8 @@ def keywords(text: Column | str, top_n: int = 20) -> Column:
             )
 
         return F.concat(
-            ranked(F.filter(toks, is_keyword), 2 * top_n, 0, 1.0),
-            ranked(F.filter(pairs, lambda p: p.isNotNull()), top_n, 1, 1.5),
+            ranked(F.array_compact(kept), 2 * top_n, 0, 1.0),
+            ranked(F.array_compact(pairs), top_n, 1, 1.5),
         )
 
     best = F.slice(F.sort_array(let(tokens(text), candidates)), 1, top_n)
@@ -278,19 +278,34 @@ def first_paragraph(text: Column | str) -> Column:
     return F.substring_index(col(text), "\n\n", 1)
 
 
-def keyword_usage(text: Column | str, keyword: Column | str, title: Column | str) -> Column:
-    """Struct of count, density, title hit and first-paragraph hit of one keyword."""
-    k = F.lower(col(keyword))
-    has_title = F.coalesce(col(title) != "", F.lit(False))
+def _usage_facts(text: Column | str, title: Column | str) -> Column:
+    # what does not depend on the keyword, evaluated once per text
     return F.struct(
-        col(keyword).alias("keyword"),
-        keyword_count(text, keyword).alias("count"),
-        keyword_density(text, keyword).alias("density"),
-        (has_title & F.coalesce(F.contains(F.lower(col(title)), k), F.lit(False))).alias("in_title"),
-        F.contains(F.lower(first_paragraph(text)), k).alias("in_first_paragraph"),
+        F.lower(col(text)).alias("text"),
+        word_count(text).alias("words"),
+        F.lower(F.coalesce(col(title), F.lit(""))).alias("title"),
+        F.lower(first_paragraph(text)).alias("opening"),
     )
 
 
+def _usage(f: Column, keyword: Column) -> Column:
+    k = F.lower(keyword)
+    n = keyword_count(f["text"], keyword)
+    share = ratio(n * word_count(keyword), f["words"])
+    return F.struct(
+        keyword.alias("keyword"),
+        n.alias("count"),
+        F.coalesce(round_to(share * 100, 2), F.lit(0.0)).alias("density"),
+        ((f["title"] != "") & F.contains(f["title"], k)).alias("in_title"),
+        F.contains(f["opening"], k).alias("in_first_paragraph"),
+    )
+
+
+def keyword_usage(text: Column | str, keyword_list: Column | str, title: Column | str) -> Column:
+    """Count, density, title hit and first-paragraph hit of each keyword of an array column."""
+    return let(_usage_facts(text, title), lambda f: F.transform(col(keyword_list), lambda k: _usage(f, k)))
+
+
 def readability(text: Column | str) -> Column:
     """Approximate school grade from sentence and word length, one decimal, never negative."""
     t = col(text)
@@ -315,7 +330,7 @@ def article_score(
 ) -> Column:
     """Article score 0 to 100 with its parts, issues and suggestions."""
     t, ttl, desc = col(text), col(title), col(meta)
-    uses = F.transform(col(keyword_list), lambda k: keyword_usage(t, k, ttl))
+    uses = keyword_usage(t, keyword_list, ttl)
     facts = F.struct(
         word_count(t).alias("words"),
         heading_lines(t).alias("headings"),

@@ -81,5 +81,4 @@ def keyword_usage(docs: DataFrame, keys: Sequence[str], text: str, title: str, k
     if len(keyword_list) > 10_000:
         raise ValueError("pass a keyword column instead of more than 10,000 keyword literals")
     listed = F.array(*[F.lit(k) for k in keyword_list])
-    uses = F.transform(listed, lambda k: T.keyword_usage(text, k, title))
-    return docs.select(*keys, F.explode(uses).alias("u")).select(*keys, "u.*")
+    return docs.select(*keys, F.explode(T.keyword_usage(text, listed, title)).alias("u")).select(*keys, "u.*")
