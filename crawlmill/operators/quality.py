@@ -90,34 +90,30 @@ def _column_facts(df: DataFrame, nan_as_null: bool) -> tuple[DataFrame, list[Col
 def _distinct_counts(df: DataFrame, approximate: bool) -> DataFrame:
     """Distinct values by text form, one row per column.
 
-    Exact form: (column, value) pairs are combined before the shuffle and spread by both, so a frequent
-    value or a wide column never ends up in one task.
+    Exact form: each column is read on its own (the scan is pruned to it), values are combined before the
+    shuffle and spread by value, so neither a frequent value nor a wide table fills one task. Fractions
+    are compared as text, which keeps 0.0 and -0.0 apart.
     """
+    by_text = (T.DoubleType, T.FloatType, T.ArrayType, T.MapType, T.StructType, T.VariantType)
+
+    def comparable(f: T.StructField) -> Column:
+        c = F.col(_q(f.name))
+        return c.cast("string") if isinstance(f.dataType, by_text) else c
+
     if approximate:
         facts = [
-            F.struct(
-                F.lit(c).alias("column"), F.approx_count_distinct(F.col(_q(c)).cast("string")).alias("unique_count")
-            )
-            for c in df.columns
+            F.struct(F.lit(f.name).alias("column"), F.approx_count_distinct(comparable(f)).alias("unique_count"))
+            for f in df.schema
         ]
-        return df.agg(F.inline(F.array(*facts)))
-    pairs = df.select(
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(c).alias("column"), F.col(_q(c)).cast("string").alias("value"))
-                    for c in df.columns
-                ]
-            )
-        ).alias("cell")
-    )
-    return (
-        pairs.filter("cell.value is not null")
-        .groupBy("cell.column", "cell.value")
-        .agg(F.lit(1).alias("one"))
-        .groupBy("column")
-        .agg(F.count("one").alias("unique_count"))
-    )
+        return df.agg(F.array(*facts).alias("facts")).select(F.inline("facts"))
+    counted = [
+        df.select(comparable(f).alias("value"))
+        .distinct()
+        .agg(F.count("value").alias("unique_count"))
+        .select(F.lit(f.name).alias("column"), "unique_count")
+        for f in df.schema
+    ]
+    return reduce(DataFrame.unionByName, counted)
 
 
 def profile(df: DataFrame, approximate: bool = False, nan_as_null: bool = False) -> DataFrame:
@@ -240,25 +236,56 @@ def check_schema(df: DataFrame, rules: Sequence[SchemaRule]) -> DataFrame:
 
 # --- order statistics and outliers ----------------------------------------------------------------
 
-EXACT_ROWS = 2_000_000  # up to this many values one task may hold a column's value counts
-_ACCURACY = 20_000
+EXACT_ROWS = 100_000  # up to this many values of a column are ranked in one aggregate buffer
+_ACCURACY = 20_000  # rank error of the sketch: rows / this
 
 
 def _quartile_ranks(n: int) -> list[int]:
     return [n // 4, (3 * n) // 4]
 
 
-def _direct(df: DataFrame, wanted: dict[str, tuple[int, list[int]]]) -> dict[str, list[float]]:
-    picks = []
-    for c, (n, ranks) in wanted.items():
-        # the fraction half-way into the rank's step picks exactly that element
-        fractions = ", ".join(repr((r + 0.5) / n) for r in ranks)
-        for i, f in enumerate(fractions.split(", ")):
-            picks.append(
-                F.expr(f"percentile_disc({f}) within group (order by {_q(c)})").cast("double").alias(f"{c}#{i}")
-            )
-    row = df.agg(*picks).first().asDict()
-    return {c: [row[f"{c}#{i}"] for i in range(len(ranks))] for c, (_, ranks) in wanted.items()}
+class _Search:
+    """One wanted rank of one column, narrowed to an open value interval."""
+
+    def __init__(self, column: str, rows: int, rank: int):
+        self.column, self.rows, self.rank = column, rows, rank
+        self.low = self.high = self.found = None
+
+    def value(self) -> Column:
+        """The column where it lies in the interval, else NULL."""
+        c, keep = F.col(_q(self.column)), F.lit(True)
+        if self.low is not None:
+            keep = keep & (c > self.low)
+        if self.high is not None:
+            keep = keep & (c < self.high)
+        return F.when(keep, c)
+
+    def bracket(self) -> Column:
+        at, margin = (self.rank + 0.5) / self.rows, 2.0 / _ACCURACY
+        return F.percentile_approx(self.value(), [max(0.0, at - margin), min(1.0, at + margin)], _ACCURACY)
+
+    def counts(self, low, high) -> Column:
+        v = self.value()
+        return F.struct(
+            F.count_if(v < low),
+            F.count_if(v == low),
+            F.count_if((v > low) & (v < high)),
+            F.count_if((v == high) & (v > low)),
+        )
+
+    def narrow(self, low, high, counts) -> None:
+        under, at_low, between, at_high = counts
+        upto = [under, under + at_low, under + at_low + between, under + at_low + between + at_high]
+        if self.rank < upto[0]:  # the sketch was off: the rank lies in front of the bracket
+            self.high, self.rows = low, under
+        elif self.rank < upto[1]:
+            self.found = low
+        elif self.rank < upto[2]:
+            self.low, self.high, self.rows, self.rank = low, high, between, self.rank - upto[1]
+        elif self.rank < upto[3]:
+            self.found = high
+        else:
+            self.low, self.rows, self.rank = high, self.rows - upto[3], self.rank - upto[3]
 
 
 def order_statistics(
@@ -266,46 +293,29 @@ def order_statistics(
 ) -> dict[str, list[float]]:
     """Exact values at zero-based ranks: ``{column: (non-null rows, ranks)}`` to ``{column: values}``.
 
-    Small columns are answered at once. Large ones are narrowed: a bounded sketch gives a value
-    interval around each rank, a count checks it, and only values inside the interval go on, until they
-    fit. Each pass is one aggregate whose result is a single row; the intervals reach the scan as filters.
+    A bounded sketch gives a value bracket around each rank, a count verifies it, and only values strictly
+    inside go on, until they fit one buffer. All columns and ranks share a pass; a pass returns one row, and
+    each round shrinks the rows by a factor of thousands, whatever the distribution.
     """
-    small = {c: v for c, v in ranks_of.items() if v[0] <= exact_rows}
-    found = _direct(df, small) if small else {}
-    for c, (n, ranks) in ranks_of.items():
-        if c not in small:
-            values = df.select(F.col(_q(c)).alias("v")).filter("v is not null")
-            found[c] = [_narrow(values, n, r, exact_rows) for r in ranks]
-    return found
-
-
-def _narrow(values: DataFrame, n: int, rank: int, exact_rows: int) -> float:
-    inside = values  # `rank` counts inside this part
-    while n > exact_rows:
-        at, margin = (rank + 0.5) / n, 2.0 / _ACCURACY
-        low, high = inside.agg(
-            F.percentile_approx("v", [max(0.0, at - margin), min(1.0, at + margin)], _ACCURACY).alias("b")
-        ).first()["b"]
-        v = F.col("v")
-        parts = inside.agg(
-            F.count_if(v < low).alias("under"),
-            F.count_if(v == low).alias("at_low"),
-            F.count_if((v > low) & (v < high)).alias("between"),
-            F.count_if((v == high) & (v > low)).alias("at_high"),
+    searches = [_Search(c, n, r) for c, (n, ranks) in ranks_of.items() for r in ranks]
+    while wide := [s for s in searches if s.found is None and s.rows > exact_rows]:
+        brackets = df.agg(*[s.bracket().alias(f"b{i}") for i, s in enumerate(wide)]).first()
+        counts = df.agg(*[s.counts(*brackets[i]).alias(f"c{i}") for i, s in enumerate(wide)]).first()
+        for i, s in enumerate(wide):
+            s.narrow(*brackets[i], counts[i])
+    if rest := [s for s in searches if s.found is None]:
+        values = df.select(*[s.value().alias(f"v{i}") for i, s in enumerate(rest)])
+        picked = values.agg(
+            *[
+                # the fraction half-way into the rank's step picks exactly that element
+                F.expr(f"percentile_disc({(s.rank + 0.5) / s.rows!r}D) within group (order by v{i})")
+                for i, s in enumerate(rest)
+            ]
         ).first()
-        below = parts["under"] + parts["at_low"]
-        if rank < parts["under"]:  # the sketch was off: go on with the part that holds the rank
-            inside, n = inside.filter(v < low), parts["under"]
-        elif rank < below:
-            return float(low)
-        elif rank < below + parts["between"]:
-            inside, n, rank = inside.filter((v > low) & (v < high)), parts["between"], rank - below
-        elif rank < below + parts["between"] + parts["at_high"]:
-            return float(high)
-        else:
-            below += parts["between"] + parts["at_high"]
-            inside, n, rank = inside.filter(v > high), n - below, rank - below
-    return _direct(inside, {"v": (n, [rank])})["v"][0]
+        for i, s in enumerate(rest):
+            s.found = picked[i]
+    found = iter(searches)
+    return {c: [float(next(found).found) for _ in ranks] for c, (_, ranks) in ranks_of.items()}
 
 
 @dataclass(frozen=True)

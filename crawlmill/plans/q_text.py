@@ -35,8 +35,8 @@ def doc_topics(spark, folder):
     "doc_keywords",
     fill(
         f"""WITH {I.DOCS_SQL}, tok AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM docs),
-t AS (SELECT doc_id, len(ws) AS total, w, pos, lead(w) OVER (PARTITION BY doc_id ORDER BY pos) AS nxt
-  FROM tok, unnest(ws) WITH ORDINALITY AS u(w, pos)),
+t AS (SELECT doc_id, len(ws) AS total, unnest(ws) AS w, unnest(list_append(ws[2:], NULL)) AS nxt,
+  generate_subscripts(ws, 1) AS pos FROM tok),
 k AS (SELECT doc_id, total, pos, w, nxt, length(w) > 2 AND w NOT IN (@KEYWORD_STOP@) AS ok,
   coalesce(length(nxt) > 2 AND nxt NOT IN (@KEYWORD_STOP@), FALSE) AS ok2 FROM t),
 c AS (SELECT doc_id, any_value(total) AS total, 0 AS kind, w AS keyword, count(*) AS n, min(pos) AS first

@@ -19,6 +19,9 @@ _RUNTIME = {
 }
 
 
+_LOCAL_DIRS: dict[str, str] = {}  # of local test sessions without a shared folder, by application
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings the operators rely on to an existing session."""
     for key, value in _RUNTIME.items():
@@ -55,9 +58,9 @@ def shared_dir(spark: SparkSession) -> str:
         return base.rstrip("/")
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    base = tempfile.mkdtemp(prefix="crawlmill-")
-    spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    if sc.applicationId not in _LOCAL_DIRS:
+        _LOCAL_DIRS[sc.applicationId] = tempfile.mkdtemp(prefix="crawlmill-")
+    return _LOCAL_DIRS[sc.applicationId]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
