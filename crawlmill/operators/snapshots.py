@@ -209,9 +209,10 @@ def _line_bags(pairs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def bag_similarity(pairs: DataFrame) -> DataFrame:
-    """2·M/T per pair, M being the lines both sides share and T all lines; 1 for two empty texts."""
+    """2·M/T per pair, M being the lines both sides share and T all lines; equal pages have 1."""
     keys = ["url", "old_seq", "new_seq"]
-    bags = _line_bags(pairs, keys).groupBy(*keys).agg(
+    same = pairs.filter("old_hash = new_hash").select(*keys, F.lit(1.0).alias("similarity"))
+    bags = _line_bags(pairs.filter("old_hash <> new_hash"), keys).groupBy(*keys).agg(
         F.sum(F.least("old_n", "new_n")).alias("m"), F.sum(F.col("old_n") + F.col("new_n")).alias("t")
     )
-    return bags.select(*keys, round_to(ratio(F.col("m") * 2, F.col("t")), 4).alias("similarity"))
+    return same.unionByName(bags.select(*keys, round_to(ratio(F.col("m") * 2, F.col("t")), 4).alias("similarity")))
