@@ -140,14 +140,24 @@ def profile(df: DataFrame, approximate: bool = False, nan_as_null: bool = False)
     )
 
 
-def completeness(df: DataFrame) -> DataFrame:
-    """One row: rows, cells, filled cells and their share (1 for an empty table), four decimals."""
+def _cell_counts(df: DataFrame) -> list[Column]:
     filled = reduce(lambda a, b: a + b, [F.count(F.col(_q(c))) for c in df.columns], F.lit(0))
     rows = F.count(F.lit(1))
-    cells = rows * len(df.columns)
-    counted = df.agg(rows.alias("row_count"), cells.alias("cells"), filled.cast("bigint").alias("non_null_cells"))
+    return [
+        rows.alias("row_count"),
+        (rows * len(df.columns)).alias("cells"),
+        filled.cast("bigint").alias("non_null_cells"),
+    ]
+
+
+def _share_filled() -> Column:
     share = round_to(ratio(F.col("non_null_cells"), F.greatest("cells", F.lit(1))), 4)
-    return counted.withColumn("completeness", F.when(F.col("row_count") == 0, F.lit(1.0)).otherwise(share))
+    return F.when(F.col("row_count") == 0, F.lit(1.0)).otherwise(share)
+
+
+def completeness(df: DataFrame) -> DataFrame:
+    """One row: rows, cells, filled cells and their share (1 for an empty table), four decimals."""
+    return df.agg(*_cell_counts(df)).withColumn("completeness", _share_filled())
 
 
 def detect_types(records: DataFrame, record: str) -> DataFrame:
@@ -214,9 +224,20 @@ def _rule_findings(df: DataFrame, rule: SchemaRule) -> list[Column]:
     out = []
     if rule.required:
         out.append(row("error", F.count(F.lit(1)) - F.count(c), " missing values but is required"))
+    wrong = f" values with wrong type (expected {rule.expected_type})"
+    if isinstance(dtype, T.VariantType):
+        kind = F.schema_of_variant(c)
+        filled = kind != "VOID"
+        number = kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
+        if rule.required:
+            out = [row("error", F.count(F.lit(1)) - F.count_if(filled), " missing values but is required")]
+        right = {"numeric": number, "string": kind == "STRING", "boolean": kind == "BOOLEAN"}
+        if rule.expected_type in right:
+            out.append(row("error", F.count_if(filled & ~right[rule.expected_type]), wrong))
+        c, dtype = F.when(number, F.try_variant_get(c, "$", "double")), T.DoubleType()
     expected = _EXPECTED.get(rule.expected_type)
-    if expected and not isinstance(dtype, (expected, T.NullType)):
-        out.append(row("error", F.count(c), f" values with wrong type (expected {rule.expected_type})"))
+    if expected and not isinstance(known.get(rule.column), (expected, T.VariantType, type(None))):
+        out.append(row("error", F.count(c), wrong))
     if is_numeric(dtype):
         ok = ~F.isnan(c) if isinstance(dtype, (T.DoubleType, T.FloatType)) else F.lit(True)
         if rule.min_value is not None:
@@ -226,12 +247,17 @@ def _rule_findings(df: DataFrame, rule: SchemaRule) -> list[Column]:
     return out
 
 
+_FINDING_ROW = "array<struct<column:string,severity:string,message:string,affected:bigint>>"
+
+
+def _checks(df: DataFrame, rules: Sequence[SchemaRule]) -> Column:
+    checks = [f for rule in rules for f in _rule_findings(df, rule)]
+    return F.filter(F.array(*checks).cast(_FINDING_ROW), lambda f: f["affected"] > 0)
+
+
 def check_schema(df: DataFrame, rules: Sequence[SchemaRule]) -> DataFrame:
     """Findings ``column, severity, message, affected`` of all rules, from one pass over the table."""
-    checks = [f for rule in rules for f in _rule_findings(df, rule)]
-    if not checks:
-        return df.sparkSession.createDataFrame([], "column string, severity string, message string, affected bigint")
-    return df.agg(F.array(*checks).alias("checks")).select(F.inline("checks")).filter("affected > 0")
+    return df.agg(_checks(df, rules).alias("checks")).select(F.inline("checks"))
 
 
 # --- order statistics and outliers ----------------------------------------------------------------
@@ -371,22 +397,28 @@ def outlier_fences(df: DataFrame, columns: Sequence[str] | None = None, multipli
     return _fence_rows(df, fences(df, columns, multiplier))
 
 
+_FENCE_ROW = (
+    "array<struct<column:string,lower_fence:double,upper_fence:double,outlier_count:bigint,value_count:bigint>>"
+)
+
+
+def _fence_facts(marks: Sequence[Fence]) -> Column:
+    return F.array(
+        *[
+            F.struct(
+                F.lit(m.column).alias("column"),
+                F.lit(m.lower).alias("lower_fence"),
+                F.lit(m.upper).alias("upper_fence"),
+                F.count_if(m.outside()).alias("outlier_count"),
+                F.lit(m.values).alias("value_count"),
+            )
+            for m in marks
+        ]
+    ).cast(_FENCE_ROW)
+
+
 def _fence_rows(df: DataFrame, marks: Sequence[Fence]) -> DataFrame:
-    rows = [
-        F.struct(
-            F.lit(m.column).alias("column"),
-            F.lit(m.lower).cast("double").alias("lower_fence"),
-            F.lit(m.upper).cast("double").alias("upper_fence"),
-            F.count_if(m.outside()).alias("outlier_count"),
-            F.lit(m.values).cast("bigint").alias("value_count"),
-        )
-        for m in marks
-    ]
-    if not rows:
-        return df.sparkSession.createDataFrame(
-            [], "column string, lower_fence double, upper_fence double, outlier_count bigint, value_count bigint"
-        )
-    return df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+    return df.agg(_fence_facts(marks).alias("rows")).select(F.inline("rows"))
 
 
 def outlier_rows(df: DataFrame, column: str, multiplier: float = 1.5) -> DataFrame:
@@ -397,37 +429,22 @@ def outlier_rows(df: DataFrame, column: str, multiplier: float = 1.5) -> DataFra
 # --- overall score --------------------------------------------------------------------------------
 
 
-def _metric(frame: DataFrame, **metrics: Column) -> DataFrame:
-    rows = F.array(
-        *[F.struct(F.lit(k).alias("metric"), v.cast("double").alias("value")) for k, v in metrics.items()]
-    )
-    return frame.agg(rows.alias("m")).select(F.inline("m"))
-
-
 def quality_score(df: DataFrame, rules: Sequence[SchemaRule] = (), multiplier: float = 1.5) -> DataFrame:
-    """One row: completeness, validity, outlier share and the weighted overall score."""
-    marks = _fence_rows(df, [m for m in fences(df, None, multiplier) if m.active])
-    parts = _metric(completeness(df), completeness=F.max("completeness"))
-    parts = parts.unionByName(
-        _metric(check_schema(df, rules), errors=F.count_if(F.col("severity") == "error"))
-    ).unionByName(
-        _metric(
-            marks,
-            outliers=F.coalesce(F.sum("outlier_count"), F.lit(0)),
-            checked=F.coalesce(F.sum("value_count"), F.lit(0)),
-        )
-    )
-    pick = lambda k: F.max(F.when(F.col("metric") == k, F.col("value")))
-    row = parts.agg(*[pick(k).alias(k) for k in ("completeness", "errors", "outliers", "checked")])
-    validity = F.greatest(F.lit(0.0), 1.0 - F.col("errors") * 0.1)
-    clean = F.coalesce(1.0 - ratio(F.col("outliers"), F.col("checked")), F.lit(1.0))
-    overall = 0.4 * F.col("completeness") + 0.4 * validity + 0.2 * clean
-    return row.select(
-        "completeness",
-        validity.alias("validity"),
-        clean.alias("outlier_score"),
-        round_to(overall, 4).alias("overall_score"),
+    """One row: completeness, validity, outlier share and the weighted overall score.
+
+    After the fences are known, one pass gives all parts.
+    """
+    marks = [m for m in fences(df, None, multiplier) if m.active]
+    facts = df.agg(*_cell_counts(df), _checks(df, rules).alias("checks"), _fence_facts(marks).alias("marks"))
+    errors = F.size(F.filter("checks", lambda f: f["severity"] == "error"))
+    total = lambda name: F.aggregate("marks", F.lit(0).cast("bigint"), lambda n, m: n + m[name])
+    parts = facts.select(
+        _share_filled().alias("completeness"),
+        F.greatest(F.lit(0.0), 1.0 - errors * 0.1).alias("validity"),
+        F.coalesce(1.0 - ratio(total("outlier_count"), total("value_count")), F.lit(1.0)).alias("outlier_score"),
     )
+    overall = 0.4 * F.col("completeness") + 0.4 * F.col("validity") + 0.2 * F.col("outlier_score")
+    return parts.withColumn("overall_score", round_to(overall, 4))
 
 
 def recommendations(df: DataFrame, rules: Sequence[SchemaRule] = (), multiplier: float = 1.5) -> DataFrame:

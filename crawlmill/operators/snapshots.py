@@ -56,13 +56,19 @@ def export_history(snapshots: DataFrame, path: str) -> str:
 
 def change_summary(snapshots: DataFrame) -> DataFrame:
     """URLs, snapshots, and URLs that ever changed."""
-    hashed = snapshots.select("url", content_hash("content").alias("h"))
-    # a URL changed if its smallest and largest hash differ; no distinct set is kept
-    per_url = hashed.groupBy("url").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi"))
+    # the two halves of the hash as numbers: a URL changed if the smallest and largest value of one half
+    # differ, so the aggregate keeps four numbers per URL and no set of hashes
+    h = content_hash("content")
+    half = lambda at: F.conv(F.substring(h, at, 8), 16, 10).cast("bigint")
+    ends = snapshots.select("url", half(1).alias("a"), half(9).alias("b")).groupBy("url")
+    per_url = ends.agg(
+        F.count(F.lit(1)).alias("n"),
+        ((F.min("a") != F.max("a")) | (F.min("b") != F.max("b"))).alias("changed"),
+    )
     return per_url.agg(
         F.count(F.lit(1)).alias("urls_tracked"),
         F.coalesce(F.sum("n"), F.lit(0)).alias("total_snapshots"),
-        F.count_if(F.col("lo") != F.col("hi")).alias("urls_with_changes"),
+        F.count_if("changed").alias("urls_with_changes"),
     )
 
 
@@ -81,19 +87,23 @@ def consecutive_pairs(snapshots: DataFrame, rows_per_task: int | None = None) ->
     ).withColumns({"old_hash": content_hash("old_content"), "new_hash": content_hash("new_content")})
 
 
-def _pick(snapshots: DataFrame, index: int, prefix: str) -> DataFrame:
-    # the rank filter is pushed below the shuffle, so a task sends at most a few rows per URL
-    asc = index >= 0
-    by = [F.col(c).asc() if asc else F.col(c).desc() for c in ORDER]
-    k = index + 1 if asc else -index
+def _ranked(snapshots: DataFrame, from_start: bool, upto: int) -> DataFrame:
+    # the rank filter is applied below the shuffle too, so a task sends at most ``upto`` rows per URL
+    by = [F.col(c).asc() if from_start else F.col(c).desc() for c in ORDER]
     ranked = snapshots.withColumn("__r", F.row_number().over(W.partitionBy("url").orderBy(*by)))
-    return ranked.filter(F.col("__r") == k).select(
-        "url",
-        F.col("ts").alias(f"{prefix}_ts"),
-        F.col("seq").alias(f"{prefix}_seq"),
-        F.col("content").alias(f"{prefix}_content"),
-        content_hash("content").alias(f"{prefix}_hash"),
+    return ranked.filter(F.col("__r") <= upto)
+
+
+def _versions(snapshots: DataFrame, picks: dict[str, int]) -> DataFrame:
+    """One row per URL with the version at each position; the positions have the same sign."""
+    place = {name: i + 1 if i >= 0 else -i for name, i in picks.items()}
+    ranked = _ranked(snapshots, min(picks.values()) >= 0, max(place.values()))
+    version = F.struct("ts", "seq", "content")
+    # the rows of a URL are together already, so this needs no further shuffle
+    rows = ranked.groupBy("url").agg(
+        *[F.max(F.when(F.col("__r") == r, version)).alias(name) for name, r in place.items()]
     )
+    return rows.dropna(subset=list(picks))
 
 
 def version_pair(snapshots: DataFrame, index_a: int = -2, index_b: int = -1) -> DataFrame:
@@ -101,11 +111,19 @@ def version_pair(snapshots: DataFrame, index_a: int = -2, index_b: int = -1) ->
 
     URLs with fewer than two versions, or without one of the positions, are left out.
     """
-    several = snapshots.groupBy("url").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").select("url")
-    pair = _pick(snapshots, index_a, "old").join(_pick(snapshots, index_b, "new"), "url")
-    if {index_a, index_b} & {1, -2}:
-        return pair  # a second version is part of the pair
-    return pair.join(several, "url", "left_semi")
+    if (index_a >= 0) == (index_b >= 0):
+        pair = _versions(snapshots, {"old": index_a, "new": index_b})
+    else:
+        old, new = _versions(snapshots, {"old": index_a}), _versions(snapshots, {"new": index_b})
+        pair = old.join(new, "url")
+    if {index_a, index_b} <= {0, -1}:  # anything else needs a second version anyway
+        several = snapshots.groupBy("url").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
+        pair = pair.join(several, "url", "left_semi")
+    columns = [
+        F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in ("old", "new") for c in ("ts", "seq", "content")
+    ]
+    hashes = {f"{side}_hash": content_hash(f"{side}_content") for side in ("old", "new")}
+    return pair.select("url", *columns).withColumns(hashes)
 
 
 _DIFF = "added_lines array<string>, removed_lines array<string>, changed_lines bigint, similarity_ratio double"

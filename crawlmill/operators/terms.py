@@ -51,15 +51,16 @@ def keyword_table(docs: DataFrame, owner: str, text: str) -> DataFrame:
 def keyword_gap(keywords_: DataFrame, rivals: DataFrame, owner: str, rival: str) -> DataFrame:
     """Every keyword of each (owner, rival) pair with status missing, shared or unique.
 
-    ``keywords_`` holds (owner, keyword), ``rivals`` holds the pairs to compare. Both sides are stacked
-    and combined on (pair, keyword), so a site with very many keywords is spread over all tasks.
+    ``keywords_`` holds (owner, keyword), ``rivals`` holds the pairs to compare. Each pair gives its two
+    sites a role; one join brings the keywords, and they are combined on (pair, keyword), so a site with
+    very many keywords is spread over all tasks.
     """
-    own = keywords_.join(rivals, owner).select(owner, rival, "keyword", F.lit(1).alias("mine"), F.lit(0).alias("theirs"))
-    other = keywords_.withColumnRenamed(owner, rival)
-    other = other.join(rivals, rival).select(owner, rival, "keyword", F.lit(0).alias("mine"), F.lit(1).alias("theirs"))
-    both = own.unionByName(other).groupBy(owner, rival, "keyword").agg(
-        F.max("mine").alias("mine"), F.max("theirs").alias("theirs")
+    role = lambda site, mine: F.struct(
+        F.col(site).alias("__site"), F.lit(mine).alias("mine"), F.lit(1 - mine).alias("theirs")
     )
+    roles = rivals.select(owner, rival, F.inline(F.array(role(owner, 1), role(rival, 0))))
+    listed = keywords_.withColumnRenamed(owner, "__site").join(roles, "__site")
+    both = listed.groupBy(owner, rival, "keyword").agg(F.max("mine").alias("mine"), F.max("theirs").alias("theirs"))
     status = (
         F.when((F.col("mine") == 1) & (F.col("theirs") == 1), "shared")
         .when(F.col("mine") == 1, "unique")

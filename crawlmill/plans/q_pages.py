@@ -12,9 +12,11 @@ from ..operators import pages as P
 from ..operators import robots as B
 from ..operators.extract import extract_by_url, extract_items
 from ..operators.series import market_summary, rank_pages
+from ..operators.terms import keywords
+from ..session import cut_lineage
 from ..sources.readers import read_table
 from . import inputs as I
-from .registry import fill, query, rnd
+from .registry import fill, keywords_sql, query, rnd
 
 _Q = r"[\x22\x27]"
 
@@ -148,6 +150,12 @@ def link_quality(spark, folder):
     return report.withColumn("domains", F.concat_ws(",", "domains"))
 
 
+@query("page_keywords", keywords_sql(f"docs AS (SELECT page_id AS doc_id, {_STRIP} AS text FROM pages)"))
+def page_keywords(spark, folder):
+    texts = I.pages(spark, folder).select(F.col("page_id").alias("doc_id"), H.strip_tags("html").alias("text"))
+    return keywords(texts, "doc_id", "text")
+
+
 _FLAGS_SQL = rf"""flags AS (SELECT page_id, url, {_COUNTS_SQL},
   regexp_matches(html, '(?is)<title\b[^>]*>.+?</title>') AS title,
   regexp_matches(html, '(?i)<meta\s+[^>]*name={_Q}description{_Q}[^>]*>') AS description,
@@ -271,6 +279,7 @@ def items_hash(spark, folder):
 def _two_scrapes(spark, folder):
     """The navigation of each page, and of the page after it, as two scrapes of one target."""
     items = I.nav_items(spark, folder).select(F.col("page_id").alias("scrape"), "pos", "fields")
+    items = cut_lineage(items)  # both scrapes and both directions read it: extract once
     return items, items.withColumn("scrape", F.col("scrape") - 1)
 
 

@@ -229,14 +229,14 @@ _FETCH_SQL = r"""fetched AS (SELECT page_id, CASE WHEN page_id % 10 <> 1 THEN ur
     CASE page_id % 6 WHEN 0 THEN 404 WHEN 1 THEN 301 WHEN 2 THEN 500 ELSE 200 END AS status FROM pages)"""
 
 
-@query(
-    "record_quality",
-    f"""WITH {_FETCH_SQL} SELECT page_id, {rnd('''
+_QUALITY_SQL = f"""WITH {_FETCH_SQL}, scored AS (SELECT page_id, {rnd('''
   0.4 * (((CASE WHEN url <> '' THEN 1 ELSE 0 END) + (CASE WHEN title <> '' THEN 1 ELSE 0 END)
     + (CASE WHEN body <> '' THEN 1 ELSE 0 END)) / 3.0::DOUBLE)
   + 0.3 * greatest(0.0, 1.0 - (epoch_us(TIMESTAMP '2024-02-01') - epoch_us(scraped_at)) / 86400e6 / 30)
-  + 0.3 * (CASE WHEN status = 200 THEN 1.0 ELSE 0.3 END)::DOUBLE''', 3)} AS quality FROM fetched""",
-)
+  + 0.3 * (CASE WHEN status = 200 THEN 1.0 ELSE 0.3 END)::DOUBLE''', 3)} AS quality FROM fetched)"""
+
+
+@query("record_quality", f"{_QUALITY_SQL} SELECT * FROM scored")
 def record_quality(spark, folder):
     kind = F.col("page_id")
     status = F.when(kind % 6 == 0, 404).when(kind % 6 == 1, 301).when(kind % 6 == 2, 500).otherwise(200)
@@ -253,6 +253,12 @@ def record_quality(spark, folder):
     return fetched.select("page_id", quality_of_record(*parts, as_of).alias("quality"))
 
 
+@query("record_quality_average", f"{_QUALITY_SQL} SELECT count(*) AS records, {rnd('avg(quality)', 6)} AS quality FROM scored")
+def record_quality_average(spark, folder):
+    scored = record_quality(spark, folder)
+    return scored.agg(F.count("*").alias("records"), round_to(F.avg("quality"), 6).alias("quality"))
+
+
 # --- record rules ---------------------------------------------------------------------------------
 
 _CHECKS = [

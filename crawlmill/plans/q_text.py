@@ -9,7 +9,7 @@ from ..operators import terms as K
 from ..operators.series import score_trend
 from ..sources.readers import read_table
 from . import inputs as I
-from .registry import fill, query, rnd
+from .registry import fill, keywords_sql, query, rnd
 
 # whole words of plain letters, as in functions.text
 _LETTERS_SQL = fill(
@@ -31,24 +31,7 @@ def doc_topics(spark, folder):
     return K.topics(I.docs(spark, folder), "doc_id", "text")
 
 
-@query(
-    "doc_keywords",
-    fill(
-        f"""WITH {I.DOCS_SQL}, tok AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM docs),
-t AS (SELECT doc_id, len(ws) AS total, unnest(ws) AS w, unnest(list_append(ws[2:], NULL)) AS nxt,
-  generate_subscripts(ws, 1) AS pos FROM tok),
-k AS (SELECT doc_id, total, pos, w, nxt, length(w) > 2 AND w NOT IN (@KEYWORD_STOP@) AS ok,
-  coalesce(length(nxt) > 2 AND nxt NOT IN (@KEYWORD_STOP@), FALSE) AS ok2 FROM t),
-c AS (SELECT doc_id, any_value(total) AS total, 0 AS kind, w AS keyword, count(*) AS n, min(pos) AS first
-    FROM k WHERE ok GROUP BY doc_id, w
-  UNION ALL SELECT doc_id, any_value(total), 1, w || ' ' || nxt, count(*), min(pos) FROM k WHERE ok AND ok2 GROUP BY doc_id, w || ' ' || nxt),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, kind ORDER BY n DESC, first) AS cand FROM c
-  QUALIFY cand <= CASE WHEN kind = 0 THEN 40 ELSE 20 END),
-s AS (SELECT *, {rnd("n * CASE WHEN n < total THEN ln(total / n) ELSE 0.1::DOUBLE END * CASE WHEN kind = 1 THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END", 3)} AS score FROM r)
-SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, kind, cand) AS rank, keyword, n AS frequency,
-  score, kind = 1 AS is_ngram FROM s QUALIFY rank <= 20"""
-    ),
-)
+@query("doc_keywords", keywords_sql(I.DOCS_SQL))
 def doc_keywords(spark, folder):
     return K.keywords(I.docs(spark, folder), "doc_id", "text")
 

@@ -113,3 +113,16 @@ def test_detect_types(spark):
     df = spark.createDataFrame([(r,) for r in records], "r string")
     got = {r["key"]: (r["dtype"], r["null_count"]) for r in Q.detect_types(df, "r").collect()}
     assert got == {"a": ("numeric", 1), "b": ("boolean", 1), "d": ("date", 1), "m": ("mixed", 1), "n": ("unknown", 3)}
+
+
+def test_schema_rules_on_variant_values(spark):
+    from pyspark.sql import functions as F
+
+    texts = [("1",), ('"x"',), ("true",), ("null",), ("-5.5",), (None,)]
+    df = spark.createDataFrame(texts, "t string").select(F.parse_json("t").alias("v"))
+    found = rows(Q.check_schema(df, [Q.SchemaRule("v", "numeric", min_value=0)]), "severity", "message")
+    assert found == [
+        ("error", "Column 'v' has 2 missing values but is required"),
+        ("error", "Column 'v' has 2 values with wrong type (expected numeric)"),
+        ("warning", "Column 'v' has 1 values below minimum 0"),
+    ]
