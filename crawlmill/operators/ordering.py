@@ -16,10 +16,12 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-MAX_HOT_KEYS = 1000  # bound of the heavy-key list that travels to the driver
+MAX_HOT_KEYS = 10_000  # bound of the heavy-key list that travels to the driver
 SKETCH_ITEMS = 16384  # a key above rows / (0.75 * this) is never missed
 ROWS_PER_TASK = 5_000_000  # a key above this many rows is cut
 SMALL_BYTES = 256 * 1024 * 1024  # inputs below this cannot hold a key too large for a task
+BYTES_PER_PIECE = 256 * 1024 * 1024
+MAX_PIECES = 100_000  # pieces of a global order; also bounds the offset rows
 
 _KEY, _PART, _AT = "__key", "__part", "__at"
 
@@ -37,41 +39,43 @@ def input_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], rows_per_task: int | None = None) -> list[int]:
-    """Hashes of the keys with more than ``rows_per_task`` rows, at most ``MAX_HOT_KEYS`` of them.
+def hot_keys(df: DataFrame, keys: Sequence[str], rows_per_task: int | None = None) -> dict[int, int]:
+    """Hash and row count of the keys with more than ``rows_per_task`` rows, at most ``MAX_HOT_KEYS``.
 
     The sketch has a fixed size per task and one row as its result. It only steers the plan: a hash
     collision or a miss changes the speed, never the result.
     """
     if rows_per_task is None:
         if input_bytes(df) < SMALL_BYTES:
-            return []
+            return {}
         rows_per_task = ROWS_PER_TASK
     top = df.select(key_hash(keys).alias(_KEY)).agg(
         F.expr(f"approx_top_k({_KEY}, {MAX_HOT_KEYS}, {SKETCH_ITEMS})").alias("top")
     )
-    first = top.first()
-    return [r["item"] for r in (first["top"] or []) if r["count"] > rows_per_task]
+    found = top.first()["top"] or []
+    return {r["item"]: r["count"] for r in found if r["count"] > rows_per_task}
 
 
 def split_hot(
-    df: DataFrame, keys: Sequence[str], rows_per_task: int | None = None
+    df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], rows_per_task: int | None = None
 ) -> tuple[DataFrame, DataFrame | None]:
-    """``(light, heavy)`` rows; ``heavy`` is None when no key is heavy."""
+    """``(light, heavy)`` rows; heavy rows come in ordered pieces and are None when no key is heavy."""
     hot = hot_keys(df, keys, rows_per_task)
     if not hot:
         return df, None
-    heavy = key_hash(keys).isin(hot)
-    return df.filter(~heavy), df.filter(heavy)
+    heavy = key_hash(keys).isin(list(hot))
+    pieces = -(-sum(hot.values()) // (rows_per_task or ROWS_PER_TASK))
+    return df.filter(~heavy), range_pieces(df.filter(heavy), [*keys, *order], pieces)
 
 
-def range_pieces(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
-    """``df`` sorted globally, with piece number ``__part`` and position in the piece ``__at`` (from 0).
+def range_pieces(df: DataFrame, order: Sequence[str | Column], wanted: int) -> DataFrame:
+    """``df`` sorted globally in at least ``wanted`` pieces, with piece number ``__part`` and position in the piece ``__at`` (from 0).
 
     The result is written to the shared folder, so piece numbers survive a lost executor.
     """
     by = _cols(order)
-    pieces = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    default = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pieces = min(max(default, wanted), MAX_PIECES)
     placed = (
         df.repartitionByRange(pieces, *by)
         .sortWithinPartitions(*by)
@@ -87,7 +91,9 @@ def with_dense_id(df: DataFrame, order: Sequence[str | Column], name: str = "id"
 
     Only one row per piece is brought together for the offsets.
     """
-    placed = range_pieces(df, order)
+    size = input_bytes(df)
+    known = size < 1 << 60  # tables without statistics report a huge number
+    placed = range_pieces(df, order, size // BYTES_PER_PIECE + 1 if known else 1)
     sizes = placed.groupBy(_PART).agg(F.count(F.lit(1)).alias("__n"))
     before = W.orderBy(_PART).rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(_PART, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
@@ -106,12 +112,11 @@ def with_position(
     rows_per_task: int | None = None,
 ) -> DataFrame:
     """Position 1, 2, … of each row inside its key. The order must be total inside a key."""
-    light, heavy = split_hot(df, keys, rows_per_task)
+    light, placed = split_hot(df, keys, order, rows_per_task)
     w = W.partitionBy(*keys).orderBy(*_cols(order))
     result = light.withColumn(name, F.row_number().over(w).cast("bigint"))
-    if heavy is None:
+    if placed is None:
         return result
-    placed = range_pieces(heavy, [*keys, *order])
     # a key's rows are consecutive: offset = rows of the key in earlier pieces, minus its first place here
     sizes = placed.groupBy(*keys, _PART).agg(
         F.count(F.lit(1)).alias("__n"), F.min(_AT).alias("__first")
@@ -150,13 +155,12 @@ def with_previous(
 
     ``values`` maps new column names to existing columns. The order must be total inside a key.
     """
-    light, heavy = split_hot(df, keys, rows_per_task)
+    light, placed = split_hot(df, keys, order, rows_per_task)
     w = W.partitionBy(*keys).orderBy(*_cols(order))
     lagged = {new: F.lag(old).over(w) for new, old in values.items()}
     result = light.withColumns(lagged)
-    if heavy is None:
+    if placed is None:
         return result
-    placed = range_pieces(heavy, [*keys, *order])
     # inside a piece: plain lag per (piece, key)
     inner = W.partitionBy(_PART, *keys).orderBy(_AT)
     tails = (
