@@ -20,6 +20,7 @@ MAX_HOT_KEYS = 10_000  # bound of the heavy-key list that travels to the driver
 SKETCH_ITEMS = 16384  # a key above rows / (0.75 * this) is never missed
 ROWS_PER_TASK = 5_000_000  # a key above this many rows is cut
 SMALL_BYTES = 256 * 1024 * 1024  # inputs below this cannot hold a key too large for a task
+SPREAD_BYTES = 1024 * 1024 * 1024
 BYTES_PER_PIECE = 256 * 1024 * 1024
 MAX_PIECES = 100_000  # pieces of a global order; also bounds the offset rows
 
@@ -182,8 +183,10 @@ def with_previous(
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores on inputs with fewer file splits than cores; larger inputs stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    """Use all cores on small tables, whose few row groups would leave most cores idle.
+
+    Tables above ``SPREAD_BYTES`` have enough file splits and are left alone: no shuffle.
+    """
+    if input_bytes(df) >= SPREAD_BYTES:
         return df
-    return df.repartition(cores, key)
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism, key)

@@ -17,10 +17,9 @@ from .ordering import input_bytes
 DATE_PATTERN = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$|^[0-9]{2}/[0-9]{2}/[0-9]{4}$|^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}"
 
 PROFILE = (
-    "column string, dtype string, row_count bigint, null_count bigint, null_ratio double, unique_count bigint,"
-    "cardinality_ratio double, min_value double, max_value double, min_text string, max_text string,"
-    "mean double, std double"
-)
+    "column dtype row_count null_count null_ratio unique_count cardinality_ratio "
+    "min_value max_value min_text max_text mean std"
+).split()
 
 
 def is_numeric(dtype: T.DataType) -> bool:
@@ -35,109 +34,90 @@ def _q(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def _type_label(name: str, dtype: T.DataType, filled: Column, date_like: Column) -> Column:
-    if isinstance(dtype, T.BooleanType):
-        label = F.lit("boolean")
-    elif is_numeric(dtype):
-        label = F.lit("numeric")
-    elif isinstance(dtype, T.StringType):
-        label = F.when(date_like > filled * 0.5, "date").otherwise("string")
-    elif isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        label = F.lit("date")
-    else:
-        label = F.lit("mixed")
-    return F.when(filled == 0, "unknown").otherwise(label)
-
-
 def _nothing(kind: str) -> Column:
     return F.lit(None).cast(kind)
 
 
-def _column_facts(df: DataFrame, nan_as_null: bool) -> tuple[DataFrame, list[Column]]:
-    if nan_as_null:
-        fractions = [f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
-        df = df.withColumns({c: F.nanvl(_q(c), F.lit(None).cast("double")) for c in fractions})
-    facts = []
-    for f in df.schema:
-        c = F.col(_q(f.name))
-        filled = F.count(c)
-        text, number = isinstance(f.dataType, T.StringType), is_numeric(f.dataType)
-        date_like = F.count_if(c.rlike(DATE_PATTERN)) if text else F.lit(0)
-        label = _type_label(f.name, f.dataType, filled, date_like)
-        shown = (label == "string") if text else F.lit(False)
-        facts.append(
-            F.struct(
-                F.lit(f.name).alias("column"),
-                label.alias("dtype"),
-                F.count(F.lit(1)).alias("row_count"),
-                (F.count(F.lit(1)) - filled).alias("null_count"),
-                (F.min(c).cast("double") if number else _nothing("double")).alias("min_value"),
-                (F.max(c).cast("double") if number else _nothing("double")).alias("max_value"),
-                (F.when(shown, F.min(c)) if text else _nothing("string")).alias("min_text"),
-                (F.when(shown, F.max(c)) if text else _nothing("string")).alias("max_text"),
-                (F.avg(c).cast("double") if number else _nothing("double")).alias("mean"),
-                (
-                    # a single value has deviation 0
-                    F.when(filled == 1, F.lit(0.0)).otherwise(F.stddev_samp(c))
-                    if number
-                    else _nothing("double")
-                ).alias("std"),
-            )
-        )
-    return df, facts
+def _label(dtype: T.DataType) -> str:
+    if isinstance(dtype, T.BooleanType):
+        return "boolean"
+    if is_numeric(dtype):
+        return "numeric"
+    if isinstance(dtype, T.StringType):
+        return "string"
+    return "date" if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)) else "mixed"
+
+
+def _number_facts(position: int, f: T.StructField) -> Column:
+    """Counts and, for numbers, range and moments: fixed-size buffers only."""
+    c, number = F.col(_q(f.name)), is_numeric(f.dataType)
+    filled = F.count(c)
+    shown = lambda v: v.cast("double") if number else _nothing("double")
+    # a single value has deviation 0
+    deviation = F.when(filled == 1, F.lit(0.0)).otherwise(F.stddev_samp(c)) if number else _nothing("double")
+    return F.struct(
+        F.lit(position).alias("position"),
+        F.lit(f.name).alias("column"),
+        F.lit(_label(f.dataType)).alias("dtype"),
+        F.count(F.lit(1)).alias("row_count"),
+        filled.alias("filled"),
+        shown(F.min(c)).alias("min_value"),
+        shown(F.max(c)).alias("max_value"),
+        shown(F.avg(c)).alias("mean"),
+        deviation.alias("std"),
+    )
 
 
-def _distinct_counts(df: DataFrame, approximate: bool) -> DataFrame:
-    """Distinct values by text form, one row per column.
+_BY_TEXT = (T.DoubleType, T.FloatType, T.ArrayType, T.MapType, T.StructType, T.VariantType)
 
-    Exact form: each column is read on its own (the scan is pruned to it), values are combined before the
-    shuffle and spread by value, so neither a frequent value nor a wide table fills one task. Fractions
-    are compared as text, which keeps 0.0 and -0.0 apart.
-    """
-    by_text = (T.DoubleType, T.FloatType, T.ArrayType, T.MapType, T.StructType, T.VariantType)
 
-    def comparable(f: T.StructField) -> Column:
-        c = F.col(_q(f.name))
-        return c.cast("string") if isinstance(f.dataType, by_text) else c
+def _value_facts(df: DataFrame, f: T.StructField, approximate: bool) -> DataFrame:
+    """One row: distinct values by text form and, for texts, range and number of date-like cells.
 
+    Exact form: the scan is pruned to the column, values are combined before the shuffle and spread by
+    value, so neither a frequent value nor a wide table fills one task; the date pattern is tried once per
+    distinct text. Fractions are compared as text, which keeps 0.0 and -0.0 apart.
+    """
+    c = F.col(_q(f.name))
+    value = c.cast("string") if isinstance(f.dataType, _BY_TEXT) else c
+    text = isinstance(f.dataType, T.StringType)
+    column = df.select(value.alias("value"))
     if approximate:
-        facts = [
-            F.struct(F.lit(f.name).alias("column"), F.approx_count_distinct(comparable(f)).alias("unique_count"))
-            for f in df.schema
-        ]
-        return df.agg(F.array(*facts).alias("facts")).select(F.inline("facts"))
-    counted = [
-        df.select(comparable(f).alias("value"))
-        .distinct()
-        .agg(F.count("value").alias("unique_count"))
-        .select(F.lit(f.name).alias("column"), "unique_count")
-        for f in df.schema
-    ]
-    return reduce(DataFrame.unionByName, counted)
+        rows, unique = column.withColumn("n", F.lit(1)), F.approx_count_distinct("value")
+    elif text:
+        rows, unique = column.groupBy("value").agg(F.count(F.lit(1)).alias("n")), F.count("value")
+    else:
+        rows, unique = column.distinct(), F.count("value")
+    dates = F.coalesce(F.sum(F.when(F.col("value").rlike(DATE_PATTERN), F.col("n"))), F.lit(0)) if text else F.lit(0)
+    return rows.agg(
+        F.lit(f.name).alias("column"),
+        unique.alias("unique_count"),
+        dates.cast("bigint").alias("dates"),
+        (F.min("value") if text else _nothing("string")).alias("min_text"),
+        (F.max("value") if text else _nothing("string")).alias("max_text"),
+    )
 
 
 def profile(df: DataFrame, approximate: bool = False, nan_as_null: bool = False) -> DataFrame:
     """One row per column: type label, nulls, distinct values, range, mean and sample deviation."""
-    df, facts = _column_facts(df, nan_as_null)
-    order = {c: i for i, c in enumerate(df.columns)}
-    basics = df.agg(F.array(*facts).alias("facts")).select(F.inline("facts"))
+    if nan_as_null:
+        fractions = [f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+        df = df.withColumns({c: F.nanvl(_q(c), F.lit(None).cast("double")) for c in fractions})
+    numbers = df.agg(F.array(*[_number_facts(i, f) for i, f in enumerate(df.schema)]).alias("facts"))
+    values = reduce(DataFrame.unionByName, [_value_facts(df, f, approximate) for f in df.schema])
     # both sides have one row per column of the table
-    out = basics.join(F.broadcast(_distinct_counts(df, approximate)), "column", "left")
-    filled = F.col("row_count") - F.col("null_count")
-    unique = F.coalesce(F.col("unique_count"), F.lit(0).cast("bigint"))
-    position = F.element_at(F.create_map(*[F.lit(x) for kv in order.items() for x in kv]), F.col("column"))
-    return (
-        out.filter("row_count > 0")
-        .withColumns(
-            {
-                "position": position,
-                "unique_count": unique,
-                "null_ratio": F.coalesce(ratio(F.col("null_count"), F.col("row_count")), F.lit(0.0)),
-                "cardinality_ratio": F.coalesce(ratio(unique, filled), F.lit(0.0)),
-            }
-        )
-        .select("position", *[p.split()[0] for p in PROFILE.replace("\n", "").split(",")])
-    )
+    out = numbers.select(F.inline("facts")).join(F.broadcast(values), "column").filter("row_count > 0")
+    filled, is_date = F.col("filled"), (F.col("dtype") == "string") & (F.col("dates") > F.col("filled") * 0.5)
+    plain_text = (F.col("dtype") == "string") & ~is_date
+    shown = {
+        "null_count": F.col("row_count") - filled,
+        "null_ratio": ratio(F.col("row_count") - filled, F.col("row_count")),
+        "cardinality_ratio": F.coalesce(ratio(F.col("unique_count"), filled), F.lit(0.0)),
+        "min_text": F.when(plain_text, F.col("min_text")),
+        "max_text": F.when(plain_text, F.col("max_text")),
+        "dtype": F.when(filled == 0, "unknown").when(is_date, "date").otherwise(F.col("dtype")),
+    }
+    return out.withColumns(shown).select("position", *PROFILE)
 
 
 def _cell_counts(df: DataFrame) -> list[Column]:
@@ -286,9 +266,9 @@ class _Search:
             keep = keep & (c < self.high)
         return F.when(keep, c)
 
-    def bracket(self) -> Column:
+    def fractions(self) -> list[float]:
         at, margin = (self.rank + 0.5) / self.rows, 2.0 / _ACCURACY
-        return F.percentile_approx(self.value(), [max(0.0, at - margin), min(1.0, at + margin)], _ACCURACY)
+        return [max(0.0, at - margin), min(1.0, at + margin)]
 
     def counts(self, low, high) -> Column:
         v = self.value()
@@ -314,6 +294,24 @@ class _Search:
             self.low, self.rows, self.rank = high, self.rows - upto[3], self.rank - upto[3]
 
 
+def _brackets(df: DataFrame, searches: list[_Search]) -> list[tuple]:
+    """A value pair around each rank; ranks of the same column and interval share one sketch."""
+    shared: dict[tuple, list[_Search]] = {}
+    for s in searches:
+        shared.setdefault((s.column, s.low, s.high), []).append(s)
+    sketches = [
+        F.percentile_approx(group[0].value(), [f for s in group for f in s.fractions()], _ACCURACY).alias(f"b{i}")
+        for i, group in enumerate(shared.values())
+    ]
+    row = df.agg(*sketches).first()
+    found = {
+        id(s): (bounds[2 * j], bounds[2 * j + 1])
+        for bounds, group in zip(row, shared.values())
+        for j, s in enumerate(group)
+    }
+    return [found[id(s)] for s in searches]
+
+
 def order_statistics(
     df: DataFrame, ranks_of: dict[str, tuple[int, list[int]]], exact_rows: int = EXACT_ROWS
 ) -> dict[str, list[float]]:
@@ -325,7 +323,7 @@ def order_statistics(
     """
     searches = [_Search(c, n, r) for c, (n, ranks) in ranks_of.items() for r in ranks]
     while wide := [s for s in searches if s.found is None and s.rows > exact_rows]:
-        brackets = df.agg(*[s.bracket().alias(f"b{i}") for i, s in enumerate(wide)]).first()
+        brackets = _brackets(df, wide)
         counts = df.agg(*[s.counts(*brackets[i]).alias(f"c{i}") for i, s in enumerate(wide)]).first()
         for i, s in enumerate(wide):
             s.narrow(*brackets[i], counts[i])

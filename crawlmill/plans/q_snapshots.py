@@ -110,7 +110,7 @@ def _stream(spark, folder, name):
     """A table folder read as a stream; the size of a micro-batch is bounded."""
     schema = read_table(spark, folder, name).schema
     reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-    return reader.option("maxBytesPerTrigger", "8g").parquet(folder)
+    return reader.option("maxBytesPerTrigger", 8 << 30).parquet(folder)
 
 
 def _drained(spark, stream, label):
