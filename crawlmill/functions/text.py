@@ -84,16 +84,45 @@ def term_counts(terms: Column) -> Column:
     return let(F.sort_array(placed), runs)
 
 
+# a term that occurs at least twice in a row, in a sorted text with a line feed before every term
+_REPEATED = r"(\n[^\n]++)\1+(?![^\n])"
+
+
 def top_terms(terms: Column, k: int) -> Column:
-    """The ``k`` most frequent terms as ``array<struct<term,n,first>>``; ties go to the first seen."""
-    keyed = F.transform(
-        term_counts(terms),
-        lambda x: F.struct((-x["n"]).alias("neg"), x["first"].alias("first"), x["term"].alias("term")),
-    )
-    best = F.slice(F.sort_array(keyed), 1, k)
-    return F.transform(
-        best, lambda x: F.struct(x["term"].alias("term"), (-x["neg"]).alias("n"), x["first"].alias("first"))
-    )
+    """The ``k`` most frequent terms as ``array<struct<term,n>>``, best first; ties go to the first seen.
+
+    Terms must not hold line feeds. Only repeated terms are counted one by one: sorted and joined, they
+    show up as runs of equal lines. Terms that occur once follow in order of appearance.
+    """
+
+    def repeated(all_terms: Column) -> Column:
+        joined = F.concat(F.lit("\n"), F.array_join(F.sort_array(all_terms), "\n"))
+
+        def counted(run: Column) -> Column:
+            term = F.substring_index(F.substring(run, 2, 2**31 - 1), "\n", 1)
+            return F.struct(term.alias("term"), F.try_divide(F.length(run), F.length(term) + 1).cast("bigint").alias("n"))
+
+        return F.transform(matches(joined, _REPEATED), counted)
+
+    def best(f: Column) -> Column:
+        every, runs = f["every"], f["runs"]
+        # both sides are sorted by term, so they pair up one to one
+        seen = F.transform(F.array_intersect(every, runs["term"]), lambda t, i: F.struct(t.alias("t"), i.alias("at")))
+        paired = F.arrays_zip(runs.alias("run"), F.sort_array(seen).alias("seen"))
+        keyed = F.transform(
+            paired,
+            lambda z: F.struct((-z["run"]["n"]).alias("neg"), z["seen"]["at"].alias("at"), z["run"]["term"].alias("term")),
+        )
+        often = F.transform(
+            F.slice(F.sort_array(keyed), 1, k), lambda x: F.struct(x["term"].alias("term"), (-x["neg"]).alias("n"))
+        )
+        once = F.transform(
+            F.slice(F.array_except(every, runs["term"]), 1, k),
+            lambda t: F.struct(t.alias("term"), F.lit(1).cast("bigint").alias("n")),
+        )
+        return F.slice(F.concat(often, once), 1, k)
+
+    return let(terms, lambda t: let(F.struct(t.alias("every"), repeated(t).alias("runs")), best))
 
 
 # --- topics, sentiment, entities, category --------------------------------------------------------
