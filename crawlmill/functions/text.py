@@ -52,57 +52,43 @@ def keyword_set(text: Column | str) -> Column:
 # --- term counts inside one row -------------------------------------------------------------------
 
 
-def term_counts(terms: Column) -> Column:
-    """``array<struct<term,n,first>>`` of an array of strings, in term order.
+# a term that occurs at least twice in a row, in a sorted text with a line feed before every term
+_REPEATED = r"(\n[^\n]++)\1+(?![^\n])"
 
-    The terms are sorted with their positions and cut into runs, so the cost is that of one sort
-    and the counting needs no explode and no shuffle.
+
+def _repeated(terms: Column) -> Column:
+    """Terms that occur at least twice with their counts, in term order.
+
+    Sorted and joined, equal terms are neighbouring lines, so one pattern finds each run as a whole and
+    only repeated terms are looked at one by one: no explode, no shuffle. Terms hold no line feeds.
     """
+    joined = F.concat(F.lit("\n"), F.array_join(F.sort_array(terms), "\n"))
 
-    def runs(ordered: Column) -> Column:
-        tagged = F.transform(
-            ordered, lambda x, i: F.struct(x["t"].alias("term"), x["p"].alias("first"), i.alias("at"))
-        )
-        heads = F.filter(
-            tagged, lambda x, i: (i == 0) | (x["term"] != F.get(ordered, i - F.lit(1))["t"])
-        )
-        return let(
-            heads,
-            lambda h: F.transform(
-                h,
-                lambda x, i: F.struct(
-                    x["term"].alias("term"),
-                    (F.coalesce(F.get(h, i + F.lit(1))["at"], F.size(ordered)) - x["at"])
-                    .cast("bigint")
-                    .alias("n"),
-                    x["first"].alias("first"),
-                ),
-            ),
-        )
+    def counted(run: Column) -> Column:
+        term = F.substring_index(F.substring(run, 2, 2**31 - 1), "\n", 1)
+        return F.struct(term.alias("term"), F.try_divide(F.length(run), F.length(term) + 1).cast("bigint").alias("n"))
 
-    placed = F.transform(terms, lambda t, i: F.struct(t.alias("t"), i.alias("p")))
-    return let(F.sort_array(placed), runs)
+    return F.transform(matches(joined, _REPEATED), counted)
 
 
-# a term that occurs at least twice in a row, in a sorted text with a line feed before every term
-_REPEATED = r"(\n[^\n]++)\1+(?![^\n])"
+def _once(terms: Column) -> Column:
+    return F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(1).cast("bigint").alias("n")))
 
 
-def top_terms(terms: Column, k: int) -> Column:
-    """The ``k`` most frequent terms as ``array<struct<term,n>>``, best first; ties go to the first seen.
+def _with_runs(terms: Column, body) -> Column:
+    return let(terms, lambda t: let(F.struct(t.alias("every"), _repeated(t).alias("runs")), body))
 
-    Terms must not hold line feeds. Only repeated terms are counted one by one: sorted and joined, they
-    show up as runs of equal lines. Terms that occur once follow in order of appearance.
-    """
 
-    def repeated(all_terms: Column) -> Column:
-        joined = F.concat(F.lit("\n"), F.array_join(F.sort_array(all_terms), "\n"))
+def term_counts(terms: Column) -> Column:
+    """``array<struct<term,n>>`` of an array of strings without line feeds."""
+    return _with_runs(terms, lambda f: F.concat(f["runs"], _once(F.array_except(f["every"], f["runs"]["term"]))))
 
-        def counted(run: Column) -> Column:
-            term = F.substring_index(F.substring(run, 2, 2**31 - 1), "\n", 1)
-            return F.struct(term.alias("term"), F.try_divide(F.length(run), F.length(term) + 1).cast("bigint").alias("n"))
 
-        return F.transform(matches(joined, _REPEATED), counted)
+def top_terms(terms: Column, k: int) -> Column:
+    """The ``k`` most frequent terms as ``array<struct<term,n>>``, best first; ties go to the first seen.
+
+    Terms that occur once follow the repeated ones in order of appearance.
+    """
 
     def best(f: Column) -> Column:
         every, runs = f["every"], f["runs"]
@@ -116,13 +102,10 @@ def top_terms(terms: Column, k: int) -> Column:
         often = F.transform(
             F.slice(F.sort_array(keyed), 1, k), lambda x: F.struct(x["term"].alias("term"), (-x["neg"]).alias("n"))
         )
-        once = F.transform(
-            F.slice(F.array_except(every, runs["term"]), 1, k),
-            lambda t: F.struct(t.alias("term"), F.lit(1).cast("bigint").alias("n")),
-        )
+        once = _once(F.slice(F.array_except(every, runs["term"]), 1, k))
         return F.slice(F.concat(often, once), 1, k)
 
-    return let(terms, lambda t: let(F.struct(t.alias("every"), repeated(t).alias("runs")), best))
+    return _with_runs(terms, best)
 
 
 # --- topics, sentiment, entities, category --------------------------------------------------------

@@ -177,3 +177,11 @@ def test_compare_and_gap(spark):
     gaps = K.keyword_gap(table, rivals, "s", "r")
     assert tuple(K.gap_counts(gaps, "s", "r").first()) == ("me", "you", 2, 2, 2)
     assert sorted(r["keyword"] for r in gaps.filter("status = 'missing'").collect()) == ["e", "f"]
+
+
+def test_long_runs_and_prefixes(spark):
+    text = "word " * 100_000 + "wor wordy wor " + "ab abc abc ab ab abcd"
+    got = text_value(spark, lambda t: T.top_terms(T.tokens(t), 5), text)
+    assert [tuple(x) for x in got] == [("word", 100_000), ("ab", 3), ("wor", 2), ("abc", 2), ("wordy", 1)]
+    counts = text_value(spark, lambda t: T.term_counts(T.tokens(t)), "b a b c")
+    assert sorted(map(tuple, counts)) == [("a", 1), ("b", 2), ("c", 1)]
