@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_path
-from . import packing, token_files
+from . import divergence, language_model, line_crf, mixing, order_minhash, packing, token_files
 from .common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,3 +40,33 @@ def op4_token_files(spark, folder):
     path = scratch_path(spark, "tokens")
     token_files.write_tokens(table(spark, folder, "documents"), path, tokenizer(), end_id=2)
     return token_files.token_spans(spark, path)
+
+
+@query
+def op6_line_crf_quality(spark, folder):
+    docs = table(spark, folder, "documents")
+    field = line_crf.train(docs, table(spark, folder, "labels"))
+    return line_crf.score(docs, field).select("doc_id", line_crf.held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
+@query
+def op8_source_mixing(spark, folder):
+    return mixing.mix(table(spark, folder, "documents"))
+
+
+@query
+def op10_histogram_divergence(spark, folder):
+    return divergence.judge(table(spark, folder, "documents"))
+
+
+@query
+def op7_order_minhash(spark, folder):
+    return order_minhash.compare(table(spark, folder, "documents"))
+
+
+@query
+def op9_stupid_backoff(spark, folder):
+    return language_model.score(table(spark, folder, "documents"))
+
+
+ORACLES["op9_stupid_backoff"] = language_model.ORACLE
