@@ -2,31 +2,79 @@
 
 from __future__ import annotations
 
+import gc
+from itertools import chain
+
 from .common import worker_memo
 
-MEMO_WORDS = 400_000  # words remembered by one worker; the memo starts anew when it is full
+MEMO_WORDS = 600_000  # words (and as many word pieces) one worker remembers; a full memo starts anew
 
 
 class _Memo(dict):
-    """Little-endian 32-bit ids by word; a missing word is encoded once."""
+    """Little-endian 32-bit ids by word. New words are cut into the tokenizer's pieces, new pieces encoded together."""
 
     def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
+        import numpy as np
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.pieces: dict[str, bytes] = {}
+        # fixed value: the piece pattern of the tokenizer file
+        self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a piece
+        self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.added = [a.content for a in self.tokenizer.get_added_tokens_decoder().values()]
 
-    def fill(self, words: list[bytes]) -> None:
+    def _one(self, text: str) -> bytes:
+        import numpy as np
+
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _encode(self, pieces: list[str]) -> None:
         import numpy as np
 
-        if len(self) + len(words) > MEMO_WORDS:
-            self.clear()
-        for at in range(0, len(words), 2000):
-            part = words[at : at + 2000]
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            self.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, found, strict=True))
+        ids = self.tokenizer.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids
+        flat = np.array(ids, "<u4")
+        ends = np.flatnonzero(self.closes[flat]) + 1
+        if len(ends) == len(pieces) and (not len(ends) or ends[-1] == len(flat)):
+            data, at = flat.tobytes(), 0
+            for piece, end in zip(pieces, (4 * ends).tolist(), strict=True):
+                self.pieces[piece] = data[at:end]
+                at = end
+        else:
+            self.pieces.update((p, self._one(p)) for p in pieces)
+
+    def fill(self, words: list[bytes]) -> None:
+        joined = b" ".join(words).decode()
+        # white space beyond ASCII and the file's own added tokens take the tokenizer's own way
+        if len(joined.split()) != len(words) or any(a in joined for a in self.added):
+            odd = {w for w in words if len(w.decode().split()) != 1 or any(a in w.decode() for a in self.added)}
+            self.update((w, self._one(w.decode())) for w in odd)
+            words = [w for w in words if w not in odd]
+            joined = b" ".join(words).decode()
+        normal = self.tokenizer.normalizer.normalize_str(joined).split(" ") if words else []
+        if len(normal) != len(words):
+            self.update((w, self._one(w.decode())) for w in words)
+            return
+        find, pieces = self.pattern.findall, self.pieces
+        cut = [n if n.isalpha() else find(n) for n in normal]  # a text: one piece
+        new = {n for n, c in zip(normal, cut, strict=True) if c is n}
+        new.update(*(c for n, c in zip(normal, cut, strict=True) if c is not n))
+        new = [p for p in new if p not in pieces]
+        if len(pieces) + len(new) > MEMO_WORDS:
+            keep = {p: pieces[p] for c in cut for p in ((c,) if isinstance(c, str) else c) if p in pieces}
+            pieces.clear()
+            pieces.update(keep)
+        for at in range(0, len(new), 5000):
+            self._encode(new[at : at + 5000])
+        self.update(
+            zip(words, [pieces[c] if isinstance(c, str) else b"".join([pieces[p] for p in c]) for c in cut], strict=True)
+        )
 
 
 def encoder(path: str, end_id: int):
@@ -39,13 +87,17 @@ def encoder(path: str, end_id: int):
     end = end_id.to_bytes(4, "little")
 
     def encode(texts: list[str | None]) -> list[bytes]:
-        split = [t.encode().split() if t else [] for t in texts]
-        new = {w for ws in split for w in ws if w not in memo}
-        if new:
-            known = len(memo)
+        # nothing here makes cycles, and collections over millions of words are slow
+        gc.disable()
+        try:
+            split = [t.encode().split() if t else [] for t in texts]
+            new = set(chain.from_iterable(split)).difference(memo)
+            if len(memo) + len(new) > MEMO_WORDS:
+                memo.clear()
+                new = set(chain.from_iterable(split))
             memo.fill(list(new))
-            if len(memo) < known + len(new):  # it was emptied
-                memo.fill(list({w for ws in split for w in ws} - memo.keys()))
-        return [b"".join(map(memo.__getitem__, ws)) + end for ws in split]
+            return [b"".join(map(memo.__getitem__, ws)) + end for ws in split]
+        finally:
+            gc.enable()
 
     return encode
