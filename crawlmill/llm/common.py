@@ -133,3 +133,12 @@ def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     h = (total[ends] - total[starts]) * _powers(n + 1, _INVERSE)[starts]
     h = mix(h ^ ((ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
     return h, starts, ends, np.searchsorted(starts, offsets), data
+
+
+def hash_runs(h: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """A hash of each run of words, by their number."""
+    total = np.zeros(len(start), np.uint64)
+    for i in range(int(length.max(initial=0))):
+        live = np.flatnonzero(length > i)
+        total[live] = mix(total[live] * np.uint64(0x9FB21C651E98DF25) + h[start[live] + i])
+    return total

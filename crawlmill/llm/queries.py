@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_path
-from . import divergence, language_model, line_crf, mixing, order_minhash, packing, substring, token_files
+from . import divergence, language_model, line_crf, mixing, near_dedup, order_minhash, packing, substring, token_files
 from .common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,8 @@ ORACLES["op9_stupid_backoff"] = language_model.ORACLE
 @query
 def op5_substring_dedup(spark, folder):
     return substring.dedup(table(spark, folder, "documents"))
+
+
+@query
+def op2_bag_minhash(spark, folder):
+    return near_dedup.near_duplicates(table(spark, folder, "documents"))

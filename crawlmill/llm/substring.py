@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, row_key, slices, words
+from .common import hash_runs, mix, row_key, slices, words
 from .fm_index import FmIndex
 
 WINDOW = 13  # words
@@ -54,15 +54,6 @@ def segments(column: pa.Array, window: int, anchor: int):
     return (text[starts], starts, sizes, best[starts]), (h, first, end, at, data)
 
 
-def _hash_runs(h: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """A hash of each run of words, by their number."""
-    total = np.zeros(len(start), np.uint64)
-    for i in range(int(length.max(initial=0))):
-        live = np.flatnonzero(length > i)
-        total[live] = mix(total[live] * np.uint64(0x9FB21C651E98DF25) + h[start[live] + i])
-    return total
-
-
 def _pack(key, ids, th, start, size, parts: list[bytes]) -> bytes:
     import zstandard
 
@@ -101,11 +92,11 @@ def route(shards: int, hot: set[int], window: int, anchor: int):
                     cut = np.flatnonzero(heavy)
                     single = np.concatenate([np.arange(s, s + n) for s, n in zip(start[cut], size[cut], strict=True)])
                     owner = np.repeat(text[cut], size[cut])
-                    own = _hash_runs(h, single, np.full(len(single), window))
+                    own = hash_runs(h, single, np.full(len(single), window))
                     text, start = np.append(text[~heavy], owner), np.append(start[~heavy], single)
                     size, key = np.append(size[~heavy], np.ones(len(single), np.int64)), np.append(key[~heavy], own)
                 ids, th = part.column("id").to_numpy()[text], part.column("th").to_numpy()[text]
-                content = _hash_runs(h, start, size + window - 1)
+                content = hash_runs(h, start, size + window - 1)
                 place = start - at[text]
                 by = np.lexsort((ids, content))
                 c = content[by]
@@ -154,7 +145,7 @@ def shard_ranges(blobs: list[bytes], window: int):
     h, _, _, at, _ = words(texts)
     ids, th, start, size = ids[live], th[live], start[live], size[live]
     # equal segments are indexed once, with the smallest id
-    content = _hash_runs(h, at[:-1], np.diff(at))
+    content = hash_runs(h, at[:-1], np.diff(at))
     _, chosen, same = np.unique(content, return_index=True, return_inverse=True)
     least = np.full(len(chosen), np.iinfo(np.int64).max)
     np.minimum.at(least, same, ids)
