@@ -217,25 +217,38 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit(np.vstack(blocks), first, np.array([r["label"] for r in rows]))
 
 
-def score(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
-    """Adds ``score`` (0 to 1) and ``predicted`` (1 from ``KEEP`` on) to the id and ``extra`` columns of every document.
-
-    Whole texts are scored in Arrow batches; nothing is shuffled. Null and empty texts are one empty line;
-    repeated rows are scored each on its own; without a field (no usable labels) every score is 1.0.
-    """
-    names = [id_col, *[c for c in extra if c not in (id_col, text_col)]]
-    source = docs.select(*names, F.col(text_col).cast("string").alias("__scored"), *([F.col(text_col)] if text_col in extra else []))
-    kept = [f.name for f in source.schema if f.name != "__scored"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "__scored")
+def _scored(docs: DataFrame, field: Field | None, text_col: str) -> DataFrame:
+    """All columns of ``docs`` and ``__score``."""
+    source = docs.withColumn("__scored", F.col(text_col).cast("string"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def run(batches):
         for batch in batches:
             for lo, hi in slices(batch, "__scored"):
                 part = batch.slice(lo, hi - lo)
                 s = np.ones(hi - lo) if field is None else field.scores(part.column("__scored"))
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in kept), pa.array(s), pa.array((s >= KEEP).astype(np.int32))],
-                    names=[*kept, "score", "predicted"],
-                )
+                names = [n for n in part.schema.names if n != "__scored"]
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(s)], names=[*names, "__score"])
+
+    return source.mapInArrow(run, f"{schema}, __score double")
 
-    return source.mapInArrow(run, f"{schema}, score double, predicted int")
+
+def score(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Id, ``held_out``, ``score`` (0 to 1) and ``predicted`` (1 from ``KEEP`` on) of every document.
+
+    Whole texts are scored in Arrow batches; nothing is shuffled. Null and empty texts are one empty line;
+    a null id is kept; repeated rows are scored each on its own; an empty table gives an empty result; other
+    columns are ignored. Without a field (no usable labels) every score is 1.0.
+    """
+    found = _scored(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), field, "text")
+    return found.select(
+        F.col("id").alias(id_col),
+        held_out("id").alias("held_out"),
+        F.col("__score").alias("score"),
+        (F.col("__score") >= KEEP).cast("int").alias("predicted"),
+    )
+
+
+def good_rows(docs: DataFrame, field: Field | None, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose score reaches ``KEEP``, with their columns."""
+    return _scored(docs, field, text_col).filter(F.col("__score") >= KEEP).select(*docs.columns)

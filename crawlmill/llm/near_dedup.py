@@ -76,7 +76,7 @@ def bag_minhash(text: np.ndarray, element: np.ndarray, weight: np.ndarray, n: in
         live, time, step = todo, np.zeros(len(todo)), 0
         points = []
         while len(live):
-            draw = mix(seed[live] + np.uint64(step) * np.uint64(0x9E3779B97F4A7C15))
+            draw = mix(seed[live] + np.uint64(step * 0x9E3779B97F4A7C15 % (1 << 64)))
             time = time - np.log(_unit(draw)) / (m * units[live])
             near = time <= limit[text[who[live]]]
             live, time, draw = live[near], time[near], mix(draw[near])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_path
-from . import divergence, language_model, line_crf, mixing, near_dedup, order_minhash, packing, substring, token_files
+from . import chat, divergence, language_model, line_crf, mixing, near_dedup, order_minhash, packing, substring, token_files
 from .common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,7 +46,7 @@ def op4_token_files(spark, folder):
 def op6_line_crf_quality(spark, folder):
     docs = table(spark, folder, "documents")
     field = line_crf.train(docs, table(spark, folder, "labels"))
-    return line_crf.score(docs, field).select("doc_id", line_crf.held_out("doc_id").alias("held_out"), "score", "predicted")
+    return line_crf.score(docs, field)
 
 
 @query
@@ -80,3 +80,9 @@ def op5_substring_dedup(spark, folder):
 @query
 def op2_bag_minhash(spark, folder):
     return near_dedup.near_duplicates(table(spark, folder, "documents"))
+
+
+@query
+def op3_tool_call_linking(spark, folder):
+    calls, results = chat.calls_of(table(spark, folder, "conversations"))
+    return chat.link(calls, results, chat.TOOLS)

@@ -238,40 +238,21 @@ def repeated_ranges(source: DataFrame, window: int = WINDOW, anchor: int = ANCHO
     return by_shard.mapInArrow(search(window), _RANGES)
 
 
-def dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR, extra: tuple[str, ...] = (), rewrite: bool = False
-) -> DataFrame:
-    """Remove every word covered by a ``window``-word window that also starts in a document with a smaller id.
-
-    Returns id, ``n_words``, ``n_removed`` and ``kept_sha256`` (kept words joined by one space), with ``rewrite`` also
-    the ``extra`` columns and the text: a text that lost words becomes its kept words joined by spaces, others stay
-    as they are. Windows are judged on the input.
-
-    Documents are cut into runs of windows with a common anchor; equal windows meet in one shard. Each shard
-    builds a compressed FM-index of its distinct runs, streams the runs through it by backward search, and takes
-    the smallest id of each window's suffix interval. Ranges come back to the documents by one join. A passage that
-    many documents hold is sent once per slice of documents; anchors found common in a sample go by whole windows,
-    so they spread over the shards. Words are compared by 64-bit hashes.
-
-    Null and empty texts have no words and nothing to remove. A null id counts as the largest and its windows
-    never cover another row's; rows of equal id cover nothing of each other. An empty table gives an empty
-    result. Starts jobs when called.
-    """
-    text = F.col(text_col).cast("string").alias("text")
+def _kept(docs: DataFrame, id_col: str, text_col: str, window: int, anchor: int) -> DataFrame:
+    """All columns of ``docs`` and ``__n_words``, ``__n_removed``, ``__sha`` and ``__kept``, the text without its repeated words."""
+    text = F.col(text_col).cast("string")
     keys = [k.alias(n) for k, n in zip(row_key(id_col, text_col), ("id", "th"), strict=True)]
-    source = docs.select(*keys, text)
-    ranges = repeated_ranges(source, window, anchor)
+    ranges = repeated_ranges(docs.select(*keys, text.alias("text")), window, anchor)
     per_doc = ranges.groupBy(F.col("id").alias("__rid"), F.col("th").alias("__rth")).agg(
         # a document's ranges, at most its windows
         F.collect_set(F.struct("start", "n")).alias("__ranges")
     )
-    kept = [c for c in extra if c not in (id_col, text_col)]
-    wide = docs.select(F.col(id_col), *kept, *keys, text.alias("__body"))
-    joined = wide.join(per_doc, (F.col("id") == F.col("__rid")) & (F.col("th") == F.col("__rth")), "left")
-    joined = joined.select(id_col, *kept, "__body", F.col("__ranges.start").alias("__start"), F.col("__ranges.n").alias("__n"))
-    fields = {f.name: f.dataType.simpleString() for f in docs.schema}
-    schema = ", ".join(f"`{c}` {fields[c]}" for c in [id_col, *kept])
-    schema += ", n_words bigint, n_removed bigint, kept_sha256 string" + (f", `{text_col}` string" if rewrite else "")
+    keys = row_key(id_col, text_col)
+    wide = docs.withColumns({"__id": keys[0], "__text": keys[1], "__body": text})
+    joined = wide.join(per_doc, (F.col("__id") == F.col("__rid")) & (F.col("__text") == F.col("__rth")), "left")
+    names = docs.columns
+    joined = joined.select(*names, "__body", F.col("__ranges.start").alias("__start"), F.col("__ranges.n").alias("__n"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def run(batches):
         for batch in batches:
@@ -289,12 +270,39 @@ def dedup(
                 n_words.append(len(ws))
                 removed.append(len(ws) - len(left))
                 sha.append(hashlib.sha256(line).hexdigest())
-                texts.append(line.decode() if rewrite and len(left) < len(ws) else body)
-            arrays = [*(batch.column(c) for c in [id_col, *kept]), pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string())]
-            names = [id_col, *kept, "n_words", "n_removed", "kept_sha256"]
-            if rewrite:
-                arrays.append(pa.array(texts, pa.string()))
-                names.append(text_col)
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
-
-    return joined.mapInArrow(run, schema)
+                texts.append(line.decode() if len(left) < len(ws) else body)
+            made = [pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in names), *made], names=[*names, "__n_words", "__n_removed", "__sha", "__kept"]
+            )
+
+    return joined.mapInArrow(run, f"{schema}, __n_words bigint, __n_removed bigint, __sha string, __kept string")
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    """Remove every word covered by a ``window``-word window that also starts in a document with a smaller id.
+
+    Returns id, ``n_words``, ``n_removed`` and ``kept_sha256`` (kept words joined by one space). Windows are judged on
+    the input.
+
+    Documents are cut into runs of windows with a common anchor; equal windows meet in one shard. Each shard
+    builds a compressed FM-index of its distinct runs, streams the runs through it by backward search, and takes
+    the smallest id of each window's suffix interval. Ranges come back to the documents by one join. A passage that
+    many documents hold is sent once per slice of documents; anchors found common in a sample go by whole windows,
+    so they spread over the shards. Words are compared by 64-bit hashes.
+
+    Null and empty texts have no words and nothing to remove. A null id counts as the largest and its windows
+    never cover another row's; rows of equal id cover nothing of each other. An empty table gives an empty
+    result. Other columns are ignored. Starts jobs when called.
+    """
+    two = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("body"))
+    found = _kept(two, "doc", "body", window, anchor)
+    return found.select(
+        F.col("doc").alias(id_col), F.col("__n_words").alias("n_words"), F.col("__n_removed").alias("n_removed"), F.col("__sha").alias("kept_sha256")
+    )
+
+
+def rewritten(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    """The rows and columns of ``docs``; a text that lost words becomes its kept words joined by spaces, others stay."""
+    found = _kept(docs, id_col, text_col, window, anchor)
+    return found.select(*[F.col("__kept").alias(c) if c == text_col else F.col(c) for c in docs.columns])
