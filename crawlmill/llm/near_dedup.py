@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import hash_runs, mix, row_key, slices, stored, words
@@ -14,7 +14,10 @@ SHINGLE = 5  # words
 LEAST = 0.8  # weighted Jaccard similarity of a link
 BANDS, ROWS = 24, 4  # a pair at 0.8 shares no band with probability 3e-6
 MEMBERS_PER_TASK = 256  # texts compared with one leader by one task, about
-LEADERS_GROW = 4  # times as many leaders in each further round
+LEADERS_GROW = 16  # times as many leaders in each further round
+# of the 96 signature components, as 4-bit values, a pair at 0.8 has fewer equal ones with probability 1e-5
+LEAST_EQUAL = 62
+SKETCH = [f"s{i}" for i in range(BANDS * ROWS // 16)]  # those values, 16 in a long
 
 
 def bags(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -98,7 +101,7 @@ def bag_minhash(text: np.ndarray, element: np.ndarray, weight: np.ndarray, n: in
 
 
 def signatures(source: DataFrame) -> DataFrame:
-    """``(id, th, k, bands)`` of each row of (id, th, text): ``k`` names the text's words, ``bands`` its buckets."""
+    """``(id, th, k, bands, s0 ..)`` of each row of (id, th, text): ``k`` names the text's words, ``bands`` its buckets, and the longs hold 4 bits of each signature component."""
 
     def run(batches):
         for batch in batches:
@@ -109,26 +112,31 @@ def signatures(source: DataFrame) -> DataFrame:
                 band = np.arange(1, BANDS + 1, dtype=np.uint64)[None, :] * np.uint64(0xD6E8FEB86659FD93)
                 for r in range(ROWS):
                     band = mix(band ^ sign[:, :, r])
+                nibbles = (sign.reshape(len(part), len(SKETCH), 16) & np.uint64(15)) << np.arange(0, 64, 4, dtype=np.uint64)
+                sketch = np.bitwise_or.reduce(nibbles, axis=2).view(np.int64)
                 some = np.bincount(text, minlength=len(part)) > 0
                 ends = np.concatenate([[0], np.cumsum(np.where(some, BANDS, 0))])
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(band[some].ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("th"), pa.array(key.view(np.int64)), lists], names=["id", "th", "k", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("th"), pa.array(key.view(np.int64)), lists, *(pa.array(np.ascontiguousarray(c)) for c in sketch.T)], names=["id", "th", "k", "bands", *SKETCH])
 
-    return source.mapInArrow(run, "id bigint, th bigint, k bigint, bands array<bigint>")
+    longs = "".join(f", {c} bigint" for c in SKETCH)
+    return source.mapInArrow(run, f"id bigint, th bigint, k bigint, bands array<bigint>{longs}")
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard similarity of two multisets given as sorted hashes and counts."""
+def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]):
+    """Of two multisets, given as sorted hashes and counts: common weight, both weights, and what a has more often than b."""
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    both = int(np.minimum(a[1][i], b[1][j]).sum())
-    return both / max(int(a[1].sum() + b[1].sum()) - both, 1)
+    more = a[1].copy()
+    more[i] -= b[1][j]
+    return int(np.minimum(a[1][i], b[1][j]).sum()), int(a[1].sum()), int(b[1].sum()), a[0][more > 0].view(np.int64)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The pairs (u, v) whose texts are similar, as exact multisets. ``texts`` has ``k`` and ``text``, one row per k.
+def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (u, v) with ``both`` (weight in common), ``n_u``, ``n_v`` (weights) and ``surplus``: the shingles that u has more often than v.
 
-    Each v's text leads groups of its u's, so it is sent once per group and read before them; a task holds the
-    multiset of one leader and one Arrow batch. A leader of many pairs has many groups.
+    ``texts`` has ``k`` and ``text``, one row per k. Each v's text leads groups of its u's, so it is sent once per group
+    and read before them; a task holds the multiset of one leader and one Arrow batch. A leader of many pairs
+    has many groups. Multisets are compared exactly.
     """
     groups = pairs.groupBy("v").agg(F.count(F.lit(1)).alias("n")).select(F.col("v").alias("__v"), (1 + F.floor(F.col("n") / MEMBERS_PER_TASK)).cast("bigint").alias("groups"))
     sized = pairs.join(groups, F.col("v") == F.col("__v")).select("u", "v", F.expr("pmod(xxhash64(u), groups)").alias("g"))
@@ -151,12 +159,25 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
                     bag = shingle[ends[i] : ends[i + 1]], count[ends[i] : ends[i + 1]]
                     if kind == 0:
                         lead = bag
-                    elif similarity(lead, bag) >= least:
-                        found.append((node, v))
-                u, v = zip(*found, strict=True) if found else ((), ())
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+                    else:
+                        found.append((node, v, *overlap(bag, lead)))
+                columns = zip(*found, strict=True) if found else [()] * 6
+                types = [pa.int64()] * 5 + [pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
-    return rows.mapInArrow(run, "u bigint, v bigint")
+    names = ["u", "v", "both", "n_u", "n_v", "surplus"]
+    return rows.mapInArrow(run, "u bigint, v bigint, both bigint, n_u bigint, n_v bigint, surplus array<bigint>")
+
+
+def _equal_components() -> Column:
+    """How many signature components a member and its leader (columns v_s0 ..) have in common, by their 4 bits."""
+    total = F.lit(BANDS * ROWS)
+    for c in SKETCH:
+        x = F.col(c).bitwiseXOR(F.col(f"v_{c}"))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        total = total - F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    return total
 
 
 def _mixed(members: DataFrame) -> DataFrame:
@@ -165,16 +186,37 @@ def _mixed(members: DataFrame) -> DataFrame:
     return members.join(open_, F.col("b") == F.col("__b"), "left_semi")
 
 
+def _split_by_leader(members: DataFrame, leaders: DataFrame, facts: DataFrame) -> DataFrame:
+    """The members of open buckets, told what they have in common with their bucket's leader, and anew by what they have beyond it.
+
+    What two members have in common is, beyond the smaller of their parts in common with the leader, only
+    shingles that both have more often than the leader. So a pair either passes the bound on the smaller part, or
+    it shares such a shingle and meets in that shingle's own bucket, where no bound holds.
+    """
+    lead = leaders.select("__b", F.col("v").alias("__v"))
+    told = facts.select("u", F.col("v").alias("__fv"), F.col("both").alias("f_both"), "n_u", "surplus")
+    known = members.drop("both", "n").join(lead, F.col("b") == F.col("__b"))
+    # a member that was one component with its leader from the start has no comparison: no bound for it
+    known = known.join(told, (F.col("k") == F.col("u")) & (F.col("__v") == F.col("__fv")), "left")
+    known = known.withColumn("both", F.coalesce("f_both", F.lit(1 << 40))).withColumn("n", F.coalesce("n_u", F.lit(0)))
+    beyond = known.withColumn("b", F.explode("surplus")).withColumn("b", F.xxhash64("b", "__v"))
+    beyond = beyond.withColumns({"both": F.lit(1 << 40), "n": F.lit(0)}).select(*members.columns).dropDuplicates(["b", "k"])
+    return known.select(*members.columns).unionByName(beyond)
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
     """``(id, th, class_id)`` of every row, keys as in ``common.row_key``: the smallest id of the row's class.
 
     Texts with the same words in the same order are one node. Nodes are linked if the weighted Jaccard similarity of
     their 5-word shingle multisets is ``least`` or more; classes are the connected components. Candidates are the
-    nodes that share a band of their signatures. In each bucket all members are compared with the bucket's
-    leader; a leader has then met all members and leaves. Buckets whose remaining members already belong to
-    one component are done: no further link could change a class. The others go on with new leaders, four times
-    as many each round, until no bucket is left. So no candidate that could join two classes is passed over, yet
-    the members of a large group of copies are not compared with each other.
+    nodes that share a band of their signatures and have ``LEAST_EQUAL`` equal components. In each bucket all
+    members are compared with the bucket's leader, the member that meets the most others; a leader has then met
+    all members and leaves. Buckets whose remaining members already belong to one component are done: no further
+    link could change a class. The others go on with new leaders, ``LEADERS_GROW`` times as many each round, until no
+    bucket is left. After the first round only pairs
+    are compared that can be links by what each has in common with the leader (see ``_split_by_leader``). So no
+    candidate that could join two classes is passed over, yet the members of a large group of copies are not
+    paired with each other.
 
     Bands, candidate texts, links and labels are stored tables; none of them is collected. Texts without words
     (null, empty, blank) are one class. Starts jobs when called.
@@ -183,10 +225,15 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     keys = [k.alias(n) for k, n in zip(row_key(id_col, text_col), ("id", "th"), strict=True)]
     source = docs.select(*keys, F.col(text_col).cast("string").alias("text"))
     signed = stored(signatures(source), "signatures")
-    nodes = signed.groupBy("k").agg(F.min(F.struct("id", "th")).alias("rep"), F.first("bands").alias("bands"))
-    nodes = stored(nodes.select("k", F.col("rep.id").alias("id"), F.col("rep.th").alias("th"), "bands"), "nodes")
+    nodes = signed.groupBy("k").agg(F.min(F.struct("id", "th")).alias("rep"), F.first("bands").alias("bands"), *[F.first(c).alias(c) for c in SKETCH])
+    nodes = stored(nodes.select("k", F.col("rep.id").alias("id"), F.col("rep.th").alias("th"), "bands", *SKETCH), "nodes")
     members = nodes.select(F.explode("bands").alias("b"), "k", F.col("k").alias("root"))
-    members = stored(_mixed(members), "members")  # buckets of two nodes and more
+    members = stored(_mixed(members), "buckets")  # buckets of two nodes and more
+    # the member that meets the most others is the likeliest to be what the others were copied from: it leads
+    sizes = members.groupBy(F.col("b").alias("__b")).agg(F.count(F.lit(1)).alias("n"))
+    ranks = members.join(sizes, F.col("b") == F.col("__b")).groupBy(F.col("k").alias("__k")).agg(F.sum("n").alias("rank"))
+    sketches = nodes.select(F.col("k").alias("__k"), *SKETCH).join(ranks, "__k")
+    members = stored(members.join(sketches, F.col("k") == F.col("__k")).drop("__k"), "members")
     wanted = members.select("k").distinct().join(nodes.select("k", "id", "th"), "k")
     wanted = wanted.select("k", F.col("id").alias("__id"), F.col("th").alias("__th"))
     texts = source.join(wanted, (F.col("id") == F.col("__id")) & (F.col("th") == F.col("__th"))).select("k", "text")
@@ -195,22 +242,33 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     single = texts.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count() == 0
     texts = texts if single else stored(texts.dropDuplicates(["k"]), "texts")
     links = done = roots = None
+    # until a leader is known, nothing is known to keep two members apart
+    members = members.withColumns({"both": F.lit(1 << 40), "n": F.lit(0)})
     leaders_per_bucket = 1
     while not members.isEmpty():
         turn = F.pmod(F.xxhash64("k", F.lit(leaders_per_bucket)), F.lit(leaders_per_bucket))
-        leaders = members.groupBy("b", turn.alias("turn")).agg(F.min(F.struct("k", "root")).alias("lead"))
-        leaders = leaders.select(F.col("b").alias("__b"), F.col("lead.k").alias("v"), F.col("lead.root").alias("v_root"))
-        met = members.join(leaders, (F.col("b") == F.col("__b")) & (F.col("root") != F.col("v_root")))
-        pairs = met.select(F.greatest("k", "v").alias("u"), F.least("k", "v").alias("v")).distinct()
+        told = ["root", "both", "n", *SKETCH]
+        leaders = members.groupBy("b", turn.alias("turn")).agg(F.max(F.struct("rank", "k", *told)).alias("lead"))
+        leaders = leaders.select(F.col("b").alias("__b"), F.col("lead.k").alias("v"), *[F.col(f"lead.{c}").alias(f"v_{c}") for c in told])
+        leaders = stored(leaders, "leaders")
+        apart = F.col("root") != F.col("v_root")
+        if done is not None:
+            # a link's weight in common is 4/9 of both weights at least
+            possible = F.least("both", "v_both") >= F.lit(least / (1 + least)) * (F.col("n") + F.col("v_n")) - 1e-6
+            apart = apart & possible & (_equal_components() >= LEAST_EQUAL)
+        pairs = members.join(leaders, (F.col("b") == F.col("__b")) & apart).select(F.col("k").alias("u"), "v").distinct()
         if done is not None:
             pairs = pairs.join(done, ["u", "v"], "left_anti")
         pairs = stored(pairs, "pairs")
-        found = stored(verified(pairs, texts, least), "verified")
-        links = found if links is None else links.unionByName(found)
-        done = pairs if done is None else done.unionByName(pairs)
+        facts = stored(compared(pairs, texts), "compared")
+        linked = facts.filter(F.col("both") >= F.lit(least) * (F.col("n_u") + F.col("n_v") - F.col("both")) - 1e-6)
+        links = linked.select("u", "v") if links is None else links.unionByName(linked.select("u", "v"))
+        first_round, done = done is None, pairs if done is None else done.unionByName(pairs)
         roots = components(links).select(F.col("node").alias("__k"), F.col("root").alias("new_root"))
-        left = members.select("b", "k").join(leaders.select(F.col("__b").alias("b"), F.col("v").alias("k")), ["b", "k"], "left_anti")
-        left = left.join(roots, F.col("k") == F.col("__k"), "left").select("b", "k", F.coalesce("new_root", "k").alias("root"))
+        left = members.drop("root").join(leaders.select(F.col("__b").alias("b"), F.col("v").alias("k")), ["b", "k"], "left_anti")
+        left = left.join(roots, F.col("k") == F.col("__k"), "left").withColumn("root", F.coalesce("new_root", "k")).drop("__k", "new_root")
+        if first_round:
+            left = _split_by_leader(stored(_mixed(left), "members"), leaders, facts)
         members = stored(_mixed(left), "members")
         leaders_per_bucket *= LEADERS_GROW
     # null first ids stand last, so the smallest id of a class is its first row's
