@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_runs, mix, row_key, slices, words
+from .common import hash_runs, mix, row_key, slices, stored, words
 from .fm_index import FmIndex
 
 WINDOW = 13  # words
@@ -235,7 +235,8 @@ def repeated_ranges(source: DataFrame, window: int = WINDOW, anchor: int = ANCHO
     hot = common_anchors(source, n_docs, window, anchor)
     routed = source.mapInArrow(route(tasks * SHARDS_PER_TASK, hot, window, anchor), "shard bigint, blob binary")
     by_shard = routed.repartition(tasks, "shard").sortWithinPartitions("shard")
-    return by_shard.mapInArrow(search(window), _RANGES)
+    # stored, so that the shuffled words are gone before texts and ranges are joined
+    return stored(by_shard.mapInArrow(search(window), _RANGES), "ranges")
 
 
 def _kept(docs: DataFrame, id_col: str, text_col: str, window: int, anchor: int) -> DataFrame:
