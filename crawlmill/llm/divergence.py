@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.core import let
 from .common import stored
 
 COMMON_WORDS = 48  # words of the corpus that have bins of their own
@@ -21,7 +22,7 @@ CLASSES = (r"\p{Ll}+", SPACES, r"\p{Lu}+", r"\p{Nd}+", r"[.,;:?'\"()-]+", r"\p{L
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(text, SPACES), lambda w: w != "")
+    return F.array_remove(F.split(text, SPACES), "")
 
 
 def repeated_words(words: Column) -> Column:
@@ -31,27 +32,40 @@ def repeated_words(words: Column) -> Column:
     adds as many words as lie before the next one, three at most. No step is more than a sort of one text.
     """
     n = F.greatest(F.size(words), F.lit(1))
-    windows = F.transform(
-        F.arrays_zip(words.alias("a"), F.slice(words, 2, n).alias("b"), F.slice(words, 3, n).alias("c")),
-        lambda w, i: F.struct(F.xxhash64(w["a"], w["b"], w["c"]).alias("h"), i.alias("i")),
+    last = F.greatest(F.size(words) - 2, F.lit(0))
+    windows = F.arrays_zip(F.slice(words, 1, last).alias("a"), F.slice(words, 2, last).alias("b"), F.slice(words, 3, n).alias("c"))
+    hashes = F.transform(windows, lambda w: F.xxhash64(w))
+
+    def covered(at: Column) -> Column:
+        gaps = F.zip_with(at, F.slice(at, 2, n), lambda p, q: F.least(F.lit(3), F.coalesce(q - p, F.lit(3))))
+        return F.aggregate(gaps, F.lit(0).cast("bigint"), lambda s, g: s + g)
+
+    def places(h: Column) -> Column:
+        ordered = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+
+        def twice(o: Column) -> Column:
+            none = F.array(F.lit(None).cast("struct<h:bigint,i:int>"))
+            beside = F.arrays_zip(o.alias("x"), F.slice(o, 2, n).alias("y"), F.concat(none, o).alias("z"))
+            kept = F.filter(beside, lambda t: (t["x"]["h"] == t["y"]["h"]) | (t["x"]["h"] == t["z"]["h"]))
+            return let(F.sort_array(F.transform(kept, lambda t: t["x"]["i"])), covered)
+
+        return let(ordered, twice)
+
+    # most texts repeat no window: then nothing is sorted
+    return let(
+        hashes,
+        lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("bigint")).otherwise(places(h)),
     )
-    ordered = F.sort_array(F.slice(windows, 1, F.greatest(F.size(words) - 2, F.lit(0))))
-    none = F.array(F.lit(None).cast("struct<h:bigint,i:int>"))
-    beside = F.arrays_zip(ordered.alias("x"), F.slice(ordered, 2, n).alias("y"), F.concat(none, ordered).alias("z"))
-    twice = F.filter(beside, lambda t: (t["x"]["h"] == t["y"]["h"]) | (t["x"]["h"] == t["z"]["h"]))
-    at = F.sort_array(F.transform(twice, lambda t: t["x"]["i"]))
-    gaps = F.zip_with(at, F.slice(at, 2, n), lambda p, q: F.least(F.lit(3), F.coalesce(q - p, F.lit(3))))
-    return F.aggregate(gaps, F.lit(0).cast("bigint"), lambda s, g: s + g)
 
 
 def base_counts(text: Column, words: Column) -> dict[str, Column]:
     """``word_chars``, ``n_symbols``, ``n_dup_lines`` and ``n_repeat_words`` of a text and its words."""
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, " \t\n\x0b\x0c\r", "")) > 0)
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     bigint = "bigint"
     return {
         "word_chars": F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast(bigint),
         "n_symbols": (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast(bigint),
-        "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast(bigint),
+        "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast(bigint),
         "n_repeat_words": repeated_words(words),
     }
 
@@ -63,25 +77,35 @@ def common_words(docs: DataFrame, text_col: str, n: int = COMMON_WORDS) -> list[
     return [r["w"] for r in top.collect()]
 
 
-def class_counts(text: Column) -> list[Column]:
+def class_counts(text: Column) -> Column:
     """Characters of each class, by what is left after taking one class after the other away."""
-    counts, rest = [], text
-    for pattern in CLASSES:
-        left = F.regexp_replace(rest, pattern, "")
-        counts.append((F.length(rest) - F.length(left)).cast("double"))
-        rest = left
-    return [*counts, F.length(rest).cast("double")]
+    def step(rest: Column, patterns: tuple[str, ...]) -> Column:
+        size = F.length(rest).cast("double")
+        if not patterns:
+            return F.array(size)
+        return let(F.regexp_replace(rest, patterns[0], ""), lambda left: F.concat(F.array(size - F.length(left)), step(left, patterns[1:])))
 
+    return step(text, CLASSES)
 
-def bin_counts(words: Column, common: list[str]) -> list[Column]:
+
+def bin_counts(words: Column, common: list[str]) -> Column:
     """How often each common word is among the words, then all other words."""
-    found = F.filter(words, lambda w: F.lower(w).isin(common))
-    line = F.concat(F.lit("\x01"), F.lower(F.array_join(found, "\x02\x01")), F.lit("\x02"))
-    counts = [
-        ((F.length(line) - F.length(F.replace(line, F.lit(f"\x01{w}\x02"), F.lit("")))) / (len(w) + 2)).cast("double")
-        for w in common
-    ]
-    return [*counts, (F.size(words) - F.size(found)).cast("double")]
+
+    # one character of the private use area stands for each common word, so that counting reads short strings
+    signs = [chr(0xE000 + i) for i in range(len(common))]
+    known = F.array(*[F.lit(w) for w in common]) if common else F.array().cast("array<string>")
+
+    def counted(found: Column) -> Column:
+        sign = F.transform(found, lambda w: F.substring(F.lit("".join(signs)), F.array_position(known, w).cast("int"), F.lit(1)))
+        others = (F.size(words) - F.size(found)).cast("double")
+
+        def each(x: Column) -> Column:
+            size = F.length(x)
+            return F.array(*[(size - F.length(F.replace(x, F.lit(c), F.lit("")))).cast("double") for c in signs], others)
+
+        return let(F.array_join(sign, ""), each)
+
+    return let(F.filter(F.transform(words, F.lower), lambda w: w.isin(common)), counted)
 
 
 def distance(p: Column, q: Column) -> Column:
@@ -93,12 +117,14 @@ def distance(p: Column, q: Column) -> Column:
     def part(v, m):
         return F.when(v > 0, v * F.log2(v / m)).otherwise(F.lit(0.0))
 
-    terms = F.zip_with(
-        F.transform(p, lambda v: v / total(p)),
-        F.transform(q, lambda v: v / total(q)),
-        lambda a, b: (part(a, (a + b) / 2) + part(b, (a + b) / 2)) / 2,
-    )
-    return F.when((total(p) > 0) & (total(q) > 0), F.sqrt(F.greatest(F.lit(0.0), total(terms))))
+    def shares(x, body):
+        return let(total(x), lambda n: F.when(n > 0, let(F.transform(x, lambda v: v / n), body)))
+
+    def between(p, q):
+        terms = F.zip_with(p, q, lambda a, b: (part(a, (a + b) / 2) + part(b, (a + b) / 2)) / 2)
+        return F.sqrt(F.greatest(F.lit(0.0), total(terms)))
+
+    return shares(p, lambda a: shares(q, lambda b: between(a, b)))
 
 
 def judge(
@@ -122,15 +148,14 @@ def judge(
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     common = common_words(docs, text_col)
-    split = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), text.alias("text"), words_of(text).alias("words"))
-    counts = split.select(
-        "id",
-        "lang",
-        F.size("words").cast("bigint").alias("n_words"),
-        *[c.alias(k) for k, c in base_counts(F.col("text"), F.col("words")).items()],
-        F.array(*class_counts(F.col("text"))).alias("chars"),
-        F.array(*bin_counts(F.col("words"), common)).alias("bins"),
-    )
+    body = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), text.alias("text"))
+
+    def measures(words: Column) -> Column:
+        base = [c.alias(k) for k, c in base_counts(F.col("text"), words).items()]
+        return F.struct(F.size(words).cast("bigint").alias("n_words"), *base, bin_counts(words, common).alias("bins"))
+
+    counts = body.select("id", "lang", let(words_of(F.col("text")), measures).alias("m"), class_counts(F.col("text")).alias("chars"))
+    counts = counts.select("id", "lang", "m.*", "chars")
     counts = stored(counts, "histograms")
     per_language = counts.groupBy(F.col("lang").alias("__lang")).agg(
         F.sum("n_words").alias("lang_words"),
