@@ -104,21 +104,21 @@ class FmIndex:
         live = np.flatnonzero(length >= self.k)
         lo, hi = np.zeros(len(length), np.int64), np.full(len(length), self.n, np.int64)
         depth = np.zeros(len(length), np.int64)
-        step = 0
+        next_ = length - 1  # place of the symbol to put in front
         while len(live):
-            place = length[live] - 1 - step
+            place = next_[live]
             symbol = queries[first[live] + place]
             deep = depth[live] == self.k
-            row = lo[live]
-            a = np.where(deep, self.parent_start[np.minimum(row, self.n - 1)], row)
-            b = np.where(deep, self.parent_end[np.minimum(row, self.n - 1)], hi[live])
+            row = np.minimum(lo[live], self.n - 1)
+            a = np.where(deep, self.parent_start[row], lo[live])
+            b = np.where(deep, self.parent_end[row], hi[live])
             a, b = self.extend(symbol, a, b)
             hit = a < b
-            # no match: start anew with nothing matched; a shorter match left of here is found from there
+            # no match: the match must end one symbol earlier, and is searched anew from there
+            next_[live] = np.where(hit | (depth[live] == 0), place - 1, place + depth[live] - 1)
             lo[live], hi[live] = np.where(hit, a, 0), np.where(hit, b, self.n)
             depth[live] = np.where(hit, np.minimum(depth[live] + 1, self.k), 0)
             whole = hit & (depth[live] == self.k)
             found[(at[live] + place)[whole]] = a[whole]
-            step += 1
-            live = live[length[live] > step]
+            live = live[next_[live] >= 0]
         return found

@@ -91,7 +91,7 @@ def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     kind = docs.schema[id_col].dataType.simpleString()
-    lowest = F.lit(-(1 << 63))
+    lowest = F.lit(1 - (1 << 63))
     keyed = docs.select(
         F.col(id_col).alias("id"),
         F.coalesce(F.col(id_col).cast("bigint"), lowest).alias("key"),
