@@ -38,7 +38,6 @@ HEADLINE = {
     "doc_analysis": "documents",
     "seo_score": "documents",
     "content_compare": "documents",
-    "snapshot_diff": "conversations",
     "snapshot_bagdiff": "conversations",
     "job_status": "events",
     "robots_gate": "pages",

@@ -29,8 +29,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def round_to(x: Column | str, digits: int) -> Column:
-    """Round half up on the decimal form, as a double; NULL for NaN and infinities."""
-    return F.round(col(x).try_cast("decimal(38,10)"), digits).cast("double")
+    """Round half up on the decimal form, as a double; NULL for NaN and infinities.
+
+    Doubles from 1e15 on have no digits that rounding could drop, and may not fit the decimal: they stay as they are.
+    """
+    value = col(x).cast("double")
+    whole = (F.abs(value) >= 1e15) & (F.abs(value) < float("inf"))
+    return F.when(whole, value).otherwise(F.round(col(x).try_cast("decimal(38,10)"), digits).cast("double"))
 
 
 def ratio(a: Column, b: Column) -> Column:

@@ -16,14 +16,14 @@ def interval_seconds(cron: Column | str) -> Column:
 
     def of_parts(p: Column) -> Column:
         minute, hour, day = F.get(p, F.lit(0)), F.get(p, F.lit(1)), F.get(p, F.lit(2))
-        step = F.substring(minute, 3, 1000)
+        step = F.substr(minute, F.lit(3))
         number = F.when(step.rlike(r"^[+-]?[0-9]+(_[0-9]+)*$"), F.replace(step, F.lit("_"), F.lit("")))
         any_day = day == "*"
         return F.when(
             F.size(p) == 5,
             F.when(
                 minute.startswith("*/") & (hour == "*") & any_day,
-                number.try_cast("bigint") * F.lit(60).cast("bigint"),
+                F.try_multiply(number.try_cast("bigint"), F.lit(60).cast("bigint")),
             )
             .when((minute == "0") & (hour == "*") & any_day, F.lit(3600).cast("bigint"))
             .when((minute == "0") & (hour == "0") & any_day, F.lit(86400).cast("bigint")),

@@ -9,14 +9,15 @@ from .core import SPACE, col, let, match_count, matches, ratio
 from .text import term_counts, top_terms, word_count
 from .urls import netloc
 
+# fixed values: these patterns decide what counts as a tag, link, title, ...
 TAG_NAME = r"<(\w+)[^>]*>"
 LINK_WITH_HREF = r"(?i)<a\b[^>]*href="
-LINK_TARGET = r"(?i)<a\s+[^>]*href=[\x22\x27]([^\x22\x27]+)[\x22\x27]"
+LINK_TARGET = r"""(?i)<a\s+[^>]*href=["']([^"']+)["']"""
 IMAGE = r"(?i)<img\b"
 IMAGE_TAG = r"(?i)<img\b[^>]*>"
-ALT_TEXT = r"(?i)alt=[\x22\x27][^\x22\x27]+[\x22\x27]"
+ALT_TEXT = r"""(?i)alt=["'][^"']+["']"""
 TITLE = r"(?is)<title\b[^>]*>.+?</title>"
-DESCRIPTION = r"(?i)<meta\s+[^>]*name=[\x22\x27]description[\x22\x27][^>]*>"
+DESCRIPTION = r"""(?i)<meta\s+[^>]*name=["']description["'][^>]*>"""
 H1 = r"(?i)<h1\b[^>]*>"
 HEADING = r"(?i)<h[1-6]\b"
 

@@ -1,26 +1,22 @@
-"""Items drawn from page HTML by selectors.
-
-The only operator that needs an element tree, hence a Python worker. Supported selectors: tag, ``*``,
-``.class``, ``#id``, ``[attr]`` with ``= ^= $= *= ~=``, descendant, ``>``, ``+``, ``~`` and comma lists.
-"""
+"""Items drawn from pages by patterns, as column expressions."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
-from html.parser import HTMLParser
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_TARGETS = 10_000  # targets that may travel with the task code
+from ..functions.core import col, strip
 
 
 @dataclass(frozen=True)
 class Target:
-    """What to draw from a page: elements by ``selector``, and in each one ``fields`` by sub-selector."""
+    """What to draw from a page: each match of the pattern ``selector`` is an item, ``fields`` name patterns inside it.
+
+    A pattern is a Java regular expression; the value is its first group, or the match if it has none.
+    """
 
     name: str
     url: str
@@ -29,242 +25,49 @@ class Target:
     headers: Mapping[str, str] = field(default_factory=dict)
 
 
-# fixed values: elements without content, and elements whose text belongs to themselves only
-_VOID = set(
-    "area base br col embed hr img input keygen link menuitem meta param source track wbr "
-    "basefont bgsound command frame image isindex nextid spacer".split()
-)
-_OWN_TEXT = set("script style template rt rp".split())
-
-
-class _Node:
-    __slots__ = ("tag", "attrs", "up", "before", "parts", "kids")
-
-    def __init__(self, tag: str, attrs: dict[str, str], up: _Node | None):
-        self.tag, self.attrs, self.up = tag, attrs, up
-        self.before = up.kids[-1] if up and up.kids else None  # sibling element in front
-        self.parts: list = []  # child nodes and (kind, text) pairs in order
-        self.kids: list[_Node] = []
-
-    def walk(self) -> Iterator[_Node]:
-        todo = list(reversed(self.kids))
-        while todo:
-            node = todo.pop()
-            yield node
-            todo.extend(reversed(node.kids))
-
-    def text(self) -> str:
-        wanted = self.tag if self.tag in _OWN_TEXT else ""
-        out, todo = [], list(reversed(self.parts))
-        while todo:
-            part = todo.pop()
-            if isinstance(part, _Node):
-                todo.extend(reversed(part.parts))
-            elif part[0] == wanted:
-                out.append(part[1].strip())
-        return "".join(out)
-
-
-class _Tree(HTMLParser):
-    def __init__(self, html: str):
-        super().__init__(convert_charrefs=True)
-        self.root = _Node("", {}, None)
-        self.open = [self.root]
-        self.pending: list[str] = []
-        self.feed(html)
-        self.close()
-        self.flush()
-
-    def flush(self) -> None:
-        if self.pending:
-            kind = next((n.tag for n in reversed(self.open) if n.tag in _OWN_TEXT), "")
-            self.open[-1].parts.append((kind, "".join(self.pending)))
-            self.pending = []
-
-    def handle_starttag(self, tag, attrs):
-        self.flush()
-        node = _Node(tag, {k: v or "" for k, v in attrs}, self.open[-1])
-        node.up.kids.append(node)
-        node.up.parts.append(node)
-        if tag not in _VOID:
-            self.open.append(node)
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in _VOID:
-            self.open.pop()
-
-    def handle_endtag(self, tag):
-        self.flush()
-        if any(n.tag == tag for n in self.open[1:]):
-            while self.open.pop().tag != tag:
-                pass
-
-    def handle_data(self, data):
-        self.pending.append(data)
-
-    def handle_comment(self, data):
-        self.flush()
-
-    handle_decl = handle_pi = unknown_decl = handle_comment
-
-
-_SIMPLE = re.compile(
-    r"""(?P<tag>[\w-]+|\*)|\.(?P<cls>[\w-]+)|\#(?P<id>[\w-]+)
-      |\[\s*(?P<attr>[\w:-]+)\s*(?:(?P<op>[~^$*]?=)\s*(?:"(?P<dq>[^"]*)"|'(?P<sq>[^']*)'|(?P<bare>[^\]\s]+))\s*)?\]""",
-    re.X,
-)
-
-
-def _compound(text: str, pos: int) -> tuple[list, int]:
-    tests = []
-    while m := _SIMPLE.match(text, pos):
-        if m["tag"] and tests:
-            break
-        value = next((v for v in (m["dq"], m["sq"], m["bare"]) if v is not None), "")
-        if m["tag"]:
-            tests.append(("tag", m["tag"].lower(), ""))
-        elif m["cls"]:
-            tests.append(("~=", "class", m["cls"]))
-        elif m["id"]:
-            tests.append(("=", "id", m["id"]))
-        else:
-            tests.append((m["op"] or "has", m["attr"].lower(), value))
-        pos = m.end()
-    if not tests:
-        raise ValueError(f"unsupported selector: {text!r}")
-    return tests, pos
+def plain_text(text: Column | str) -> Column:
+    """The text without white space around it, the four common entities decoded."""
+    text = strip(col(text))
+    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
+        text = F.replace(text, F.lit(entity), F.lit(sign))
+    return text
 
 
-def parse_selector(text: str) -> list[list]:
-    """Alternatives, each a list ``[tests, combinator, tests, ...]`` from left to right."""
-    out = []
-    for part in text.split(","):
-        part = part.strip()
-        tests, pos = _compound(part, 0)
-        chain: list = [tests]
-        while pos < len(part):
-            m = re.compile(r"\s*([>+~])\s*|\s+").match(part, pos)
-            if not m:
-                raise ValueError(f"unsupported selector: {text!r}")
-            tests, pos = _compound(part, m.end())
-            chain += [m[1] or " ", tests]
-        out.append(chain)
-    return out
+def _first(item: Column, pattern: Column) -> Column:
+    # a pattern without a group gives the whole match
+    return F.coalesce(F.get(F.regexp_extract_all(item, F.concat(F.lit("("), pattern, F.lit(")")), F.lit(2)), F.lit(0)), F.lit(""))
 
 
-_OPS = {
-    "=": lambda have, want: have == want,
-    "~=": lambda have, want: want in have.split(),
-    "^=": lambda have, want: bool(want) and have.startswith(want),
-    "$=": lambda have, want: bool(want) and have.endswith(want),
-    "*=": lambda have, want: bool(want) and want in have,
-    "has": lambda have, want: True,
-}
-
-
-def _passes(node: _Node, tests: list) -> bool:
-    for op, name, want in tests:
-        if op == "tag":
-            if name not in ("*", node.tag):
-                return False
-        elif name not in node.attrs or not _OPS[op](node.attrs[name], want):
-            return False
-    return True
-
-
-def _fits(node: _Node, chain: list, at: int) -> bool:
-    if not _passes(node, chain[at]):
-        return False
-    if at == 0:
-        return True
-    step = chain[at - 1]
-    other = node.up if step in " >" else node.before
-    while other is not None and other.tag:
-        if _fits(other, chain, at - 2):
-            return True
-        if step in ">+":
-            return False
-        other = other.up if step == " " else other.before
-    return False
-
-
-def _select(root: _Node, selector: list[list]) -> Iterator[_Node]:
-    return (n for n in root.walk() if any(_fits(n, c, len(c) - 1) for c in selector))
-
-
-def _item(node: _Node, fields: Mapping[str, list[list]]) -> dict[str, str]:
-    if not fields:
-        return {"text": node.text()}
-    out = {}
-    for name, selector in fields.items():
-        found = next(_select(node, selector), None)
-        if found is None:
-            out[name] = ""
-        else:
-            href = found.attrs.get("href", "") if name.endswith("_href") else ""
-            out[name] = href or found.text()
-    return out
-
-
-def items_of(html: str, selector: list[list], fields: Mapping[str, list[list]]) -> list[dict[str, str]]:
-    return [_item(n, fields) for n in _select(_Tree(html or "").root, selector)]
-
-
-def _items_frame(pages: DataFrame, keys: Sequence[str], html: str, targets_of) -> DataFrame:
-    """Run the extraction; ``targets_of(row frame)`` yields the targets of each row."""
-    key_schema = ", ".join(f"`{k}` {pages.schema[k].dataType.simpleString()}" for k in keys)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parsed: dict[str, list] = {}
-
-        def selector(text: str) -> list:
-            if text not in parsed:
-                parsed[text] = parse_selector(text)
-            return parsed[text]
-
-        for pdf in batches:
-            rows = []
-            heads = zip(*[pdf[k] for k in keys])
-            for head, page, targets in zip(heads, pdf[html], targets_of(pdf)):
-                root = _Tree(page or "").root
-                for name, css, fields in targets:
-                    wanted = {f: selector(s) for f, s in fields.items()}
-                    for pos, node in enumerate(_select(root, selector(css))):
-                        rows.append((*head, name, pos, _item(node, wanted)))
-            yield pd.DataFrame(rows, columns=[*keys, "target", "pos", "fields"])
+def extract_items(pages: DataFrame, targets: Sequence[Target], keys: Sequence[str], html: str = "html") -> DataFrame:
+    """One row per item: keys, ``target``, ``pos`` (from 0 in page order) and the ``fields`` map.
 
-    return pages.mapInPandas(run, f"{key_schema}, target string, pos bigint, fields map<string,string>")
+    Items are found and cut up in the row of their page. A field's pattern has one group, its value; a target without
+    fields gives ``text``, the item without its tags. A null page has no items.
+    """
 
+    def values(item: Column, fields: Mapping[str, str]) -> Column:
+        if not fields:
+            return F.create_map(F.lit("text"), plain_text(F.regexp_replace(item, "<[^>]*>", "")))
+        return F.create_map(*[x for k, p in fields.items() for x in (F.lit(k), plain_text(_first(item, F.lit(p))))])
 
-def extract_items(pages: DataFrame, targets: Sequence[Target], keys: Sequence[str], html: str = "html") -> DataFrame:
-    """Items of every page for every target: one row per matched element with its position.
+    def items_of(t: Target) -> Column:
+        found = F.regexp_extract_all(F.col(html), F.lit(t.selector), F.lit(0))
+        named = F.lit(t.name).alias("target")
+        return F.transform(found, lambda m, i: F.struct(named, i.cast("bigint").alias("pos"), values(m, t.fields).alias("fields")))
 
-    Named fields missing in an element are ``""``; ``*_href`` fields take the link target when there is
-    one; a target without fields gives ``{text: …}``. Targets are configuration and travel with the task.
-    """
-    if len(targets) > MAX_TARGETS:
-        raise ValueError(f"more than {MAX_TARGETS} targets: put them in a table and use extract_by_url")
-    for t in targets:
-        parse_selector(t.selector)
-        for s in t.fields.values():
-            parse_selector(s)
-    plain = [(t.name, t.selector, dict(t.fields)) for t in targets]
-    return _items_frame(pages.select(*keys, html), keys, html, lambda pdf: [plain] * len(pdf))
+    items = [items_of(t) for t in targets]
+    each = pages.select(*keys, F.explode(F.concat(*items)).alias("__item"))
+    return each.select(*keys, "__item.target", "__item.pos", "__item.fields")
 
 
 def extract_by_url(pages: DataFrame, targets: DataFrame, keys: Sequence[str], html: str = "html") -> DataFrame:
-    """Items for a target table: each target applies to the pages with its URL."""
-    mine = targets.select(
-        F.col("url").alias("__url"),
-        F.col("name").alias("__name"),
-        F.col("selector").alias("__selector"),
-        F.map_entries(F.coalesce("fields", F.create_map().cast("map<string,string>"))).alias("__fields"),
+    """``extract_items`` with the targets of each page's URL from a table (name, url, selector, fields)."""
+    wanted = targets.select(
+        F.col("name").alias("target"), F.col("url").alias("__url"), F.col("selector").alias("__selector"), F.col("fields").alias("__fields")
     )
-    joined = pages.join(mine, F.col("url") == F.col("__url")).select(*keys, html, "__name", "__selector", "__fields")
-
-    def targets_of(pdf: pd.DataFrame):
-        for name, css, fields in zip(pdf["__name"], pdf["__selector"], pdf["__fields"]):
-            yield [(name, css, {e["key"]: e["value"] for e in fields})]
-
-    return _items_frame(joined, keys, html, targets_of)
+    joined = pages.join(wanted, F.col("url") == F.col("__url"))
+    found = joined.select(*keys, "target", "__fields", F.posexplode(F.regexp_extract_all(html, F.col("__selector"), F.lit(0))).alias("pos", "__item"))
+    text = F.create_map(F.lit("text"), plain_text(F.regexp_replace("__item", "<[^>]*>", "")))
+    named = F.transform_values("__fields", lambda _, p: plain_text(_first(F.col("__item"), p)))
+    fields = F.when(F.size("__fields") > 0, named).otherwise(text)
+    return found.select(*keys, "target", F.col("pos").cast("bigint").alias("pos"), fields.alias("fields"))

@@ -16,13 +16,9 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-MAX_HOT_KEYS = 10_000  # bound of the heavy-key list that travels to the driver
+MAX_HOT_KEYS = 10_000  # the heaviest keys are cut; this many already hold MAX_HOT_KEYS * ROWS_PER_TASK rows
 SKETCH_ITEMS = 16384  # a key above rows / (0.75 * this) is never missed
 ROWS_PER_TASK = 5_000_000  # a key above this many rows is cut
-SMALL_BYTES = 256 * 1024 * 1024  # inputs below this cannot hold a key too large for a task
-SPREAD_BYTES = 1024 * 1024 * 1024
-BYTES_PER_PIECE = 256 * 1024 * 1024
-MAX_PIECES = 100_000  # pieces of a global order; also bounds the offset rows
 
 _KEY, _PART, _AT = "__key", "__part", "__at"
 
@@ -35,21 +31,13 @@ def key_hash(keys: Sequence[str]) -> Column:
     return F.xxhash64(*_cols(keys))
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Estimated input size; a very large number when nothing is known."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def hot_keys(df: DataFrame, keys: Sequence[str], rows_per_task: int | None = None) -> dict[int, int]:
     """Hash and row count of the keys with more than ``rows_per_task`` rows, at most ``MAX_HOT_KEYS``.
 
     The sketch has a fixed size per task and one row as its result. It only steers the plan: a hash
     collision or a miss changes the speed, never the result.
     """
-    if rows_per_task is None:
-        if input_bytes(df) < SMALL_BYTES:
-            return {}
-        rows_per_task = ROWS_PER_TASK
+    rows_per_task = rows_per_task or ROWS_PER_TASK
     top = df.select(key_hash(keys).alias(_KEY)).agg(
         F.expr(f"approx_top_k({_KEY}, {MAX_HOT_KEYS}, {SKETCH_ITEMS})").alias("top")
     )
@@ -76,7 +64,7 @@ def range_pieces(df: DataFrame, order: Sequence[str | Column], wanted: int) -> D
     """
     by = _cols(order)
     default = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pieces = min(max(default, wanted), MAX_PIECES)
+    pieces = max(default, wanted)
     placed = (
         df.repartitionByRange(pieces, *by)
         .sortWithinPartitions(*by)
@@ -92,9 +80,7 @@ def with_dense_id(df: DataFrame, order: Sequence[str | Column], name: str = "id"
 
     Only one row per piece is brought together for the offsets.
     """
-    size = input_bytes(df)
-    known = size < 1 << 60  # tables without statistics report a huge number
-    placed = range_pieces(df, order, size // BYTES_PER_PIECE + 1 if known else 1)
+    placed = range_pieces(df, order, df.count() // ROWS_PER_TASK + 1)
     sizes = placed.groupBy(_PART).agg(F.count(F.lit(1)).alias("__n"))
     before = W.orderBy(_PART).rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(_PART, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
@@ -183,10 +169,9 @@ def with_previous(
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores on small tables, whose few row groups would leave most cores idle.
+    """Use all cores on a table that is read in fewer pieces than there are cores, such as one file of one row group.
 
-    Tables above ``SPREAD_BYTES`` have enough file splits and are left alone: no shuffle.
+    A table with a piece for every core is left alone: no shuffle.
     """
-    if input_bytes(df) >= SPREAD_BYTES:
-        return df
-    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism, key)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores, key)

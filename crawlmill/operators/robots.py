@@ -38,12 +38,14 @@ def rules(robots: DataFrame, agent: str) -> DataFrame:
 def gate(urls: DataFrame, robots: DataFrame, agent: str, url: str = "url") -> DataFrame:
     """All URLs with ``allowed``; sites without rules allow everything.
 
-    Rules stay one row per site, so the join is on equal keys and never multiplies URLs; a site with a
-    large share of the URLs is split at run time.
+    Rules are merged to one row per site first, so the join never multiplies URLs; a site with a large share of the
+    URLs is split at run time. Equal rule lists of a site are dropped before they are merged.
     """
     site_rules = robots.select(
         F.col("domain").alias("__site"), disallowed_paths("robots_text", agent).alias("__rules")
     ).filter(F.size("__rules") > 0)
+    merged = F.array_distinct(F.flatten(F.collect_list("__rules")))
+    site_rules = site_rules.distinct().groupBy("__site").agg(merged.alias("__rules"))
     at = urls.withColumns({"__site": U.site(url), "__path": F.coalesce(F.nullif(U.path(url), F.lit("")), F.lit("/"))})
     joined = at.join(site_rules, "__site", "left")
     blocked = F.exists("__rules", lambda r: (r == "/") | F.startswith(F.col("__path"), r))

@@ -65,10 +65,9 @@ def fleet_totals(jobs: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def recent_runs(runs: DataFrame, limit: int = KEPT_RUNS) -> DataFrame:
-    """The newest runs of each job, newest first; a job keeps at most ten.
+    """The newest ``limit`` runs of each job, newest first (ten unless asked for more).
 
     The rank filter is applied per task before the shuffle, so a very busy job sends few rows.
     """
     newest = W.partitionBy("job").orderBy(F.col("ts").desc(), F.col("seq").desc())
-    keep = min(limit, KEPT_RUNS)
-    return runs.withColumn("position", F.row_number().over(newest)).filter(F.col("position") <= keep)
+    return runs.withColumn("position", F.row_number().over(newest)).filter(F.col("position") <= limit)

@@ -5,10 +5,6 @@ A snapshot table has ``url, content, ts, seq``; (ts, seq) orders the versions of
 
 from __future__ import annotations
 
-import difflib
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -73,18 +69,27 @@ def change_summary(snapshots: DataFrame) -> DataFrame:
 
 
 def consecutive_pairs(snapshots: DataFrame, rows_per_task: int | None = None) -> DataFrame:
-    """Each version with the one before it: old and new order columns, content and hash."""
-    old = {"old_ts": "ts", "old_seq": "seq", "old_content": "content"}
-    paired = with_previous(snapshots, ["url"], ORDER, old, rows_per_task).filter("old_content is not null")
+    """Each version with the one before it: old and new order columns and hashes.
+
+    Contents are hashed where they lie; only order columns and hashes are shuffled and paired. ``with_contents``
+    brings the texts back.
+    """
+    slim = snapshots.select("url", "ts", "seq", content_hash("content").alias("hash"))
+    old = {"old_ts": "ts", "old_seq": "seq", "old_hash": "hash"}
+    # order columns are never null, so a version before this one shows in its seq
+    paired = with_previous(slim, ["url"], ORDER, old, rows_per_task).filter("old_seq is not null")
     return paired.select(
-        "url",
-        "old_ts",
-        "old_seq",
-        "old_content",
-        F.col("ts").alias("new_ts"),
-        F.col("seq").alias("new_seq"),
-        F.col("content").alias("new_content"),
-    ).withColumns({"old_hash": content_hash("old_content"), "new_hash": content_hash("new_content")})
+        "url", "old_ts", "old_seq", F.col("ts").alias("new_ts"), F.col("seq").alias("new_seq"), "old_hash", F.col("hash").alias("new_hash")
+    )
+
+
+def with_contents(pairs: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """The pairs whose hashes differ, with ``old_content`` and ``new_content``; a version is found by URL and order."""
+    changed = pairs.filter(~F.col("old_hash").eqNullSafe(F.col("new_hash")))
+    for side in ("old", "new"):
+        version = snapshots.select("url", F.col("ts").alias(f"{side}_ts"), F.col("seq").alias(f"{side}_seq"), F.col("content").alias(f"{side}_content"))
+        changed = changed.join(version, ["url", f"{side}_ts", f"{side}_seq"])
+    return changed
 
 
 def _ranked(snapshots: DataFrame, from_start: bool, upto: int) -> DataFrame:
@@ -126,86 +131,10 @@ def version_pair(snapshots: DataFrame, index_a: int = -2, index_b: int = -1) ->
     return pair.select("url", *columns).withColumns(hashes)
 
 
-_DIFF = "added_lines array<string>, removed_lines array<string>, changed_lines bigint, similarity_ratio double"
-
-
-def _line_diff(old: str, new: str) -> tuple[list[str], list[str], int, float]:
-    a, b = old.splitlines(), new.splitlines()
-    match = difflib.SequenceMatcher(None, a, b)
-    added, removed, changed = [], [], 0
-    for kind, a0, a1, b0, b1 in match.get_opcodes():
-        if kind == "equal":
-            continue
-        removed += a[a0:a1]
-        added += b[b0:b1]
-        changed += max(a1 - a0, b1 - b0)
-    return added, removed, changed, round(match.ratio(), 4)
-
-
-def line_diff(pairs: DataFrame) -> DataFrame:
-    """Exact line diff of each pair: added and removed lines, changed count, similarity ratio.
-
-    Pairs with equal hashes are answered without Python.
-    """
-    keys = ["url", "old_seq", "new_seq"]
-    same = pairs.filter("old_hash = new_hash").select(
-        *keys,
-        F.expr("cast(array() as array<string>)").alias("added_lines"),
-        F.expr("cast(array() as array<string>)").alias("removed_lines"),
-        F.lit(0).cast("bigint").alias("changed_lines"),
-        F.lit(1.0).alias("similarity_ratio"),
-    )
-    work = pairs.filter("old_hash <> new_hash").select(*keys, "old_content", "new_content")
-    names = ["added_lines", "removed_lines", "changed_lines", "similarity_ratio"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [_line_diff(o, n) for o, n in zip(pdf["old_content"], pdf["new_content"])]
-            yield pdf[keys].assign(**{c: [r[i] for r in rows] for i, c in enumerate(names)})
-
-    key_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in work.select(*keys).schema)
-    return same.unionByName(work.mapInPandas(run, f"{key_schema}, {_DIFF}"))
-
-
-def unified_diff(snapshots: DataFrame) -> DataFrame:
-    """Unified diff text of the last two versions per URL, ``""`` with fewer than two or no change."""
-    iso = "yyyy-MM-dd'T'HH:mm:ss"
-
-    def stamp(c: str) -> Column:
-        micros = F.date_format(c, "SSSSSS")
-        part = F.when(micros == "000000", "").otherwise(F.concat(F.lit("."), micros))
-        return F.concat(F.date_format(c, iso), part, F.lit("+00:00"))
-
-    pairs = version_pair(snapshots)
-    work = pairs.filter("old_hash <> new_hash").select(
-        "url", "old_content", "new_content", stamp("old_ts").alias("old_at"), stamp("new_ts").alias("new_at")
-    )
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = [
-                "".join(
-                    difflib.unified_diff(
-                        r.old_content.splitlines(keepends=True),
-                        r.new_content.splitlines(keepends=True),
-                        fromfile=f"{r.url} ({r.old_at})",
-                        tofile=f"{r.url} ({r.new_at})",
-                    )
-                )
-                for r in pdf.itertuples(index=False)
-            ]
-            yield pd.DataFrame({"url": pdf["url"], "diff": texts})
-
-    url_type = snapshots.schema["url"].dataType.simpleString()
-    changed = work.mapInPandas(run, f"url {url_type}, diff string")
-    urls = snapshots.select("url").distinct()
-    return urls.join(changed, "url", "left").select("url", F.coalesce("diff", F.lit("")).alias("diff"))
-
-
-def bag_diff(pairs: DataFrame) -> DataFrame:
+def bag_diff(pairs: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Order-blind line diff, without Python: one row per (pair, line) whose number of copies changed."""
     keys = ["url", "old_seq", "new_seq"]
-    counted = _line_bags(pairs.filter("old_hash <> new_hash"), keys)
+    counted = _line_bags(with_contents(pairs, snapshots), keys)
     return counted.filter("old_n <> new_n").select(
         *keys,
         "line",
@@ -226,11 +155,11 @@ def _line_bags(pairs: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def bag_similarity(pairs: DataFrame) -> DataFrame:
+def bag_similarity(pairs: DataFrame, snapshots: DataFrame) -> DataFrame:
     """2·M/T per pair, M being the lines both sides share and T all lines; equal pages have 1."""
     keys = ["url", "old_seq", "new_seq"]
     same = pairs.filter("old_hash = new_hash").select(*keys, F.lit(1.0).alias("similarity"))
-    bags = _line_bags(pairs.filter("old_hash <> new_hash"), keys).groupBy(*keys).agg(
+    bags = _line_bags(with_contents(pairs, snapshots), keys).groupBy(*keys).agg(
         F.sum(F.least("old_n", "new_n")).alias("m"), F.sum(F.col("old_n") + F.col("new_n")).alias("t")
     )
     return same.unionByName(bags.select(*keys, round_to(ratio(F.col("m") * 2, F.col("t")), 4).alias("similarity")))

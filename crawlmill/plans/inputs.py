@@ -169,9 +169,12 @@ ODD_URLS_SQL = r"""odd AS (
       WHEN 7 THEN '' ELSE url END AS url
   FROM pages)"""
 
-NAV = Target("nav", "", "nav li a")
-NAV_LINKS = Target("nav-links", "", "nav li", {"name": "a", "link_href": "a", "price": ".price"})
-ADS = Target("ads", "", "div.ad")
+NAV_PATTERN = '<li><a href="[^"]*">[^<]*</a></li>'
+NAV = Target("nav", "", NAV_PATTERN)
+NAV_LINKS = Target(
+    "nav-links", "", NAV_PATTERN, {"name": ">([^<]*)</a>", "link_href": 'href="([^"]*)"', "price": 'class="price">([^<]*)<'}
+)
+ADS = Target("ads", "", '<div class="ad">[^<]*</div>')
 
 
 def nav_items(spark: SparkSession, folder: str) -> DataFrame:

@@ -13,7 +13,6 @@ from ..operators import robots as B
 from ..operators.extract import extract_by_url, extract_items
 from ..operators.series import market_summary, rank_pages
 from ..operators.terms import keywords
-from ..session import cut_lineage
 from ..sources.readers import read_table
 from . import inputs as I
 from .registry import fill, keywords_sql, query, rnd
@@ -258,8 +257,8 @@ def extract_by_url_query(spark, folder):
     targets = pages.select(
         F.concat(F.lit("page "), F.col("page_id").cast("string")).alias("name"),
         "url",
-        F.lit("nav > ul li").alias("selector"),
-        F.create_map(F.lit("name"), F.lit("a[href^='/']")).alias("fields"),
+        F.lit(I.NAV_PATTERN).alias("selector"),
+        F.create_map(F.lit("name"), F.lit(">([^<]*)</a>")).alias("fields"),
     )
     items = extract_by_url(pages, targets, ["page_id"])
     return items.select("page_id", "target", "pos", F.try_element_at("fields", F.lit("name")).alias("name"))
@@ -279,7 +278,6 @@ def items_hash(spark, folder):
 def _two_scrapes(spark, folder):
     """The navigation of each page, and of the page after it, as two scrapes of one target."""
     items = I.nav_items(spark, folder).select(F.col("page_id").alias("scrape"), "pos", "fields")
-    items = cut_lineage(items)  # both scrapes and both directions read it: extract once
     return items, items.withColumn("scrape", F.col("scrape") - 1)
 
 

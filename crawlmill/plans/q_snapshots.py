@@ -66,17 +66,6 @@ def change_summary(spark, folder):
     return S.change_summary(I.snapshots(spark, folder))
 
 
-@query("snapshot_diff")
-def snapshot_diff(spark, folder):
-    diff = S.line_diff(S.consecutive_pairs(I.snapshots(spark, folder)))
-    return diff.withColumns({c: F.concat_ws("\n", c) for c in ("added_lines", "removed_lines")})
-
-
-@query("snapshot_udiff")
-def snapshot_udiff(spark, folder):
-    return S.unified_diff(I.snapshots(spark, folder))
-
-
 _LINES = "regexp_split_to_array(regexp_replace({}, '(@BREAK@)$', ''), '@BREAK@')"
 _BAGS_SQL = fill(
     f"""sides AS (SELECT url, old_seq, new_seq, unnest({_LINES.format('old_content')}) AS line, 1 AS o, 0 AS n FROM pairs
@@ -91,7 +80,8 @@ bags AS (SELECT url, old_seq, new_seq, line, CAST(sum(o) AS BIGINT) AS o, CAST(s
 SELECT url, old_seq, new_seq, line, greatest(n - o, 0) AS added, greatest(o - n, 0) AS removed FROM bags WHERE o <> n""",
 )
 def snapshot_bagdiff(spark, folder):
-    return S.bag_diff(S.consecutive_pairs(I.snapshots(spark, folder)))
+    snaps = I.snapshots(spark, folder)
+    return S.bag_diff(S.consecutive_pairs(snaps), snaps)
 
 
 @query(
@@ -100,7 +90,8 @@ def snapshot_bagdiff(spark, folder):
 SELECT url, old_seq, new_seq, {rnd("2 * sum(least(o, n)) / sum(o + n)", 4)} AS similarity FROM bags GROUP BY ALL""",
 )
 def snapshot_bag_similarity(spark, folder):
-    return S.bag_similarity(S.consecutive_pairs(I.snapshots(spark, folder)))
+    snaps = I.snapshots(spark, folder)
+    return S.bag_similarity(S.consecutive_pairs(snaps), snaps)
 
 
 # --- streaming ------------------------------------------------------------------------------------

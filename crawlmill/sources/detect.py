@@ -10,10 +10,18 @@ from pyspark.sql import types as T
 
 from ..operators.quality import _q
 
-PROBE_ROWS = 20
 SAMPLES = 3
 # date texts that are recognised (explicit, since Spark does not guess formats)
-DATE_FORMATS = ("yyyy-MM-dd", "MM/dd/yyyy", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss")
+DATE_FORMATS = (
+    "yyyy-MM-dd",
+    "MM/dd/yyyy",
+    "yyyy-MM-dd'T'HH:mm:ss",
+    "yyyy-MM-dd HH:mm:ss",
+    "yyyy/MM/dd",
+    "MMM d, yyyy",
+    "MMMM d, yyyy",
+    "d MMM yyyy",
+)
 
 
 def _label(dtype: T.DataType) -> str:
@@ -35,8 +43,9 @@ def _is_date(text: Column) -> Column:
 def detect_schema(df: DataFrame, order: str) -> DataFrame:
     """One row per column: label, has-null flag, first non-null values as text, rows of the table.
 
-    ``order`` is a unique column that says which rows come first. The first values of each column come
-    from a bounded top-n over two columns, so nothing is sorted as a whole.
+    A text column is labelled ``date`` if all its values are dates. ``order`` is a unique column that says which
+    rows come first. The first values of each column come from a bounded top-n over two columns, so nothing
+    is sorted as a whole.
     """
     facts = [
         F.struct(
@@ -45,6 +54,7 @@ def detect_schema(df: DataFrame, order: str) -> DataFrame:
             F.lit(_label(f.dataType)).alias("label"),
             (F.count(_q(f.name)) < F.count(F.lit(1))).alias("nullable"),
             F.count(F.lit(1)).alias("row_count"),
+            _all_dates(f).alias("all_dates"),
         )
         for i, f in enumerate(df.schema)
     ]
@@ -55,19 +65,22 @@ def detect_schema(df: DataFrame, order: str) -> DataFrame:
     return joined.withColumn("label", label).drop("all_dates").orderBy("position")
 
 
+def _all_dates(f: T.StructField) -> Column:
+    if not isinstance(f.dataType, T.StringType):
+        return F.lit(False)
+    c = F.col(_q(f.name))
+    return (F.count(c) > 0) & (F.count_if(c.isNotNull() & ~_is_date(c)) == 0)
+
+
 def _first_values(df: DataFrame, f: T.StructField, order: str) -> DataFrame:
-    is_text = isinstance(f.dataType, T.StringType)
     c = F.col(_q(f.name))
     shown = c.cast("string") if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) else F.to_json(c)
     head = (
         df.select(F.col(_q(order)).alias("at"), shown.alias("value"))
         .filter("value is not null")
         .orderBy("at")
-        .limit(PROBE_ROWS if is_text else SAMPLES)
+        .limit(SAMPLES)
     )
-    # at most PROBE_ROWS rows arrive here
+    # at most SAMPLES rows arrive here
     values = F.transform(F.sort_array(F.collect_list(F.struct("at", "value"))), lambda x: x["value"])
-    dates = (F.count(F.lit(1)) > 0) & (F.count_if(~_is_date(F.col("value"))) == 0) if is_text else F.lit(False)
-    return head.agg(F.slice(values, 1, SAMPLES).alias("samples"), dates.alias("all_dates")).select(
-        F.lit(f.name).alias("column"), "samples", "all_dates"
-    )
+    return head.agg(values.alias("samples")).select(F.lit(f.name).alias("column"), "samples")

@@ -19,11 +19,17 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def read_delimited(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """Header row; tab for ``.tsv``, else comma. Give a schema on big inputs to save the typing pass."""
+def read_delimited(
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool = False
+) -> DataFrame:
+    """Header row; tab for ``.tsv``, else comma. Give a schema on big inputs to save the typing pass.
+
+    ``multi_line`` reads records with line feeds inside quotes, a whole file per task; without it files are split at
+    line ends.
+    """
     reader = spark.read.option("header", True).option("sep", "\t" if path.endswith(".tsv") else ",")
     # quotes inside quoted fields are doubled
-    reader = reader.option("escape", '"').option("multiLine", False)
+    reader = reader.option("escape", '"').option("multiLine", multi_line)
     return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
 
 

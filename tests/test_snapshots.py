@@ -1,7 +1,7 @@
-import difflib
 import hashlib
 import json
 import random
+from collections import Counter
 
 import pytest
 from helpers import one, rows
@@ -18,51 +18,36 @@ def snaps(spark, *versions):
     return df.withColumn("ts", F.timestamp_seconds(F.col("seq") + 1_700_000_000))
 
 
-def diff(spark, old, new):
-    pair = S.version_pair(snaps(spark, ("u", old), ("u", new)))
-    return rows(S.line_diff(pair), "added_lines", "removed_lines", "changed_lines", "similarity_ratio")[0]
-
-
 def test_hash_and_lines(spark):
     assert one(spark, S.content_hash("t"), t=("héllo", "string")) == hashlib.sha256("héllo".encode()).hexdigest()[:16]
     for text in ("", "a", "a\n", "\n", "a\n\n", "a\r\nb\rc\x0bd\x0ce\x1cf\x85g h", "\n\nx"):
         assert one(spark, S.lines("t"), t=(text, "string")) == text.splitlines(), repr(text)
 
 
-def test_diff_cases(spark):
-    added, removed, changed, ratio = diff(spark, "Price: $10\nStock: 50", "Price: $15\nStock: 50\nNew item available")
-    assert added == ["Price: $15", "New item available"] and removed == ["Price: $10"] and changed == 2 and ratio == 0.4
-    assert diff(spark, "a\nb", "a\nb") == ([], [], 0, 1.0)
-    assert diff(spark, "line 1\nline 2", "line 1")[1] == ["line 2"]
-
-
-def test_diff_against_difflib_and_bags(spark):
+def test_bags_of_lines(spark):
     rng = random.Random(3)
     pages = [("u", "\n".join(rng.choice("abcde") for _ in range(rng.randrange(12)))) for _ in range(12)]
-    pairs = S.consecutive_pairs(snaps(spark, *pages))
-    got = {r["old_seq"]: r for r in S.line_diff(pairs).collect()}
-    bags = S.bag_diff(pairs).groupBy("old_seq").agg(F.sum("added").alias("a"), F.sum("removed").alias("r"))
-    bags = {r["old_seq"]: (r["a"], r["r"]) for r in bags.collect()}
+    table = snaps(spark, *pages)
+    pairs = S.consecutive_pairs(table)
+    got = {(r["old_seq"], r["line"]): (r["added"], r["removed"]) for r in S.bag_diff(pairs, table).collect()}
+    alike = dict(rows(S.bag_similarity(pairs, table), "old_seq", "similarity"))
     for i, ((_, a), (_, b)) in enumerate(zip(pages, pages[1:])):
-        x, y = a.splitlines(), b.splitlines()
-        assert got[i]["similarity_ratio"] == round(difflib.SequenceMatcher(None, x, y).ratio(), 4)
-        assert len(got[i]["added_lines"]) - len(got[i]["removed_lines"]) == len(y) - len(x)
-        plus, minus = bags.get(i, (0, 0))
-        assert plus - minus == len(y) - len(x) and plus <= len(got[i]["added_lines"])
+        x, y = Counter(a.splitlines()), Counter(b.splitlines())
+        for line in set(x) | set(y):
+            change = (max(y[line] - x[line], 0), max(x[line] - y[line], 0))
+            assert got.get((i, line), (0, 0)) == change
+        total = sum(x.values()) + sum(y.values())
+        assert alike[i] == (round(2 * sum((x & y).values()) / total, 4) if total else 1.0)
 
 
 def test_similarity_of_empty_pages(spark):
-    pair = S.version_pair(snaps(spark, ("u", ""), ("u", "")))
-    assert diff(spark, "", "") == ([], [], 0, 1.0)
-    assert S.bag_similarity(pair).first()["similarity"] == 1.0
+    table = snaps(spark, ("u", ""), ("u", ""))
+    assert S.bag_similarity(S.consecutive_pairs(table), table).first()["similarity"] == 1.0
 
 
-def test_unified_diff(spark):
-    table = snaps(spark, ("u", "a\nb\n"), ("u", "a\nc\n"), ("one", "x"), ("same", "y"), ("same", "y"))
-    got = dict(rows(S.unified_diff(table)))
-    names = ("u (2023-11-14T22:13:20+00:00)", "u (2023-11-14T22:13:21+00:00)")
-    assert got["u"] == "".join(difflib.unified_diff(["a\n", "b\n"], ["a\n", "c\n"], *names))
-    assert got["one"] == got["same"] == ""
+def test_pairs_after_a_version_without_content(spark):
+    table = snaps(spark, ("u", "a"), ("u", None), ("u", "b"))
+    assert rows(S.consecutive_pairs(table).orderBy("new_seq"), "old_seq", "new_seq") == [(0, 1), (1, 2)]
 
 
 def test_summary(spark):
@@ -76,8 +61,9 @@ def test_history_and_pairs(spark, rows_per_task):
     table = snaps(spark, *[("u", f"v{i}") for i in range(9)], ("w", "x"))
     versions = rows(S.history(table, rows_per_task).filter("url = 'u'").orderBy("version"), "seq", "version")
     assert versions == [(i, i + 1) for i in range(9)]
-    pairs = rows(S.consecutive_pairs(table, rows_per_task).orderBy("new_seq"), "old_seq", "new_content")
-    assert pairs == [(i, f"v{i + 1}") for i in range(8)]
+    pairs = rows(S.consecutive_pairs(table, rows_per_task).orderBy("new_seq"), "old_seq", "new_hash")
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()[:16]
+    assert pairs == [(i, digest(f"v{i + 1}")) for i in range(8)]
 
 
 def test_export(spark):
