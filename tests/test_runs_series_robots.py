@@ -38,7 +38,7 @@ def test_fleet(spark):
 def test_recent_runs(spark):
     log = runs(spark, *[("a", True)] * 15, ("b", False))
     got = rows(R.recent_runs(log, 20).filter("job = 'a'").orderBy("position"), "seq")
-    assert got == [(i,) for i in range(14, 4, -1)]
+    assert got == [(i,) for i in range(14, -1, -1)]
     assert R.recent_runs(log, 3).count() == 4
 
 
