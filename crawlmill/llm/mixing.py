@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .common import WORD, stored
 
 REPEATS = 3  # a source gives at most this many times its own size
-ROWS_PER_BUCKET = 20_000  # documents of one source ordered together, about
+ROWS_PER_BUCKET = 2_000  # documents of one source ordered together, about
 
 
 def letter_share(text_col: str) -> Column:
