@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +15,8 @@ SHINGLE = 5  # words
 LEAST = 0.8  # weighted Jaccard similarity of a link
 BANDS, ROWS = 24, 4  # a pair at 0.8 shares no band with probability 3e-6
 MEMBERS_PER_TASK = 256  # texts compared with one leader by one task, about
-LEADERS_GROW = 16  # times as many leaders in each further round
+BLOCK_ROWS, BLOCK_BYTES = 512, 8 << 20  # members of a bucket, and bytes of their texts, that a task holds at a time, about
+PAIRS_AT_ONCE = 200_000  # pairs of signatures compared in one step
 # of the 96 signature components, as 4-bit values, a pair at 0.8 has fewer equal ones with probability 1e-5
 LEAST_EQUAL = 62
 SKETCH = [f"s{i}" for i in range(BANDS * ROWS // 16)]  # those values, 16 in a long
@@ -101,7 +103,7 @@ def bag_minhash(text: np.ndarray, element: np.ndarray, weight: np.ndarray, n: in
 
 
 def signatures(source: DataFrame) -> DataFrame:
-    """``(id, th, k, bands, s0 ..)`` of each row of (id, th, text): ``k`` names the text's words, ``bands`` its buckets, and the longs hold 4 bits of each signature component."""
+    """``(id, th, k, size, bands, s0 ..)`` of each row of (id, th, text): ``k`` names the text's words, ``size`` is its bytes, ``bands`` its buckets, and the longs hold 4 bits of each signature component."""
 
     def run(batches):
         for batch in batches:
@@ -117,22 +119,22 @@ def signatures(source: DataFrame) -> DataFrame:
                 some = np.bincount(text, minlength=len(part)) > 0
                 ends = np.concatenate([[0], np.cumsum(np.where(some, BANDS, 0))])
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(band[some].ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("th"), pa.array(key.view(np.int64)), lists, *(pa.array(np.ascontiguousarray(c)) for c in sketch.T)], names=["id", "th", "k", "bands", *SKETCH])
+                size = pc.fill_null(pc.binary_length(part.column("text")), 0).cast(pa.int64())
+                columns = [part.column("id"), part.column("th"), pa.array(key.view(np.int64)), size, lists, *(pa.array(np.ascontiguousarray(c)) for c in sketch.T)]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "th", "k", "size", "bands", *SKETCH])
 
     longs = "".join(f", {c} bigint" for c in SKETCH)
-    return source.mapInArrow(run, f"id bigint, th bigint, k bigint, bands array<bigint>{longs}")
+    return source.mapInArrow(run, f"id bigint, th bigint, k bigint, size bigint, bands array<bigint>{longs}")
 
 
-def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]):
-    """Of two multisets, given as sorted hashes and counts: common weight, both weights, and what a has more often than b."""
+def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[int, int, int]:
+    """Of two multisets, given as sorted hashes and counts: common weight and both weights."""
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    more = a[1].copy()
-    more[i] -= b[1][j]
-    return int(np.minimum(a[1][i], b[1][j]).sum()), int(a[1].sum()), int(b[1].sum()), a[0][more > 0].view(np.int64)
+    return int(np.minimum(a[1][i], b[1][j]).sum()), int(a[1].sum()), int(b[1].sum())
 
 
 def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (u, v) with ``both`` (weight in common), ``n_u``, ``n_v`` (weights) and ``surplus``: the shingles that u has more often than v.
+    """The pairs (u, v) with ``both`` (weight in common), ``n_u`` and ``n_v`` (weights).
 
     ``texts`` has ``k`` and ``text``, one row per k. Each v's text leads groups of its u's, so it is sent once per group
     and read before them; a task holds the multiset of one leader and one Arrow batch. A leader of many pairs
@@ -161,12 +163,10 @@ def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                         lead = bag
                     else:
                         found.append((node, v, *overlap(bag, lead)))
-                columns = zip(*found, strict=True) if found else [()] * 6
-                types = [pa.int64()] * 5 + [pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+                columns = zip(*found, strict=True) if found else [()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["u", "v", "both", "n_u", "n_v"])
 
-    names = ["u", "v", "both", "n_u", "n_v", "surplus"]
-    return rows.mapInArrow(run, "u bigint, v bigint, both bigint, n_u bigint, n_v bigint, surplus array<bigint>")
+    return rows.mapInArrow(run, "u bigint, v bigint, both bigint, n_u bigint, n_v bigint")
 
 
 def _equal_components() -> Column:
@@ -186,22 +186,133 @@ def _mixed(members: DataFrame) -> DataFrame:
     return members.join(open_, F.col("b") == F.col("__b"), "left_semi")
 
 
-def _split_by_leader(members: DataFrame, leaders: DataFrame, facts: DataFrame) -> DataFrame:
-    """The members of open buckets, told what they have in common with their bucket's leader, and anew by what they have beyond it.
+def _blocks(members: DataFrame, across: bool) -> DataFrame:
+    """The members with the blocks (p, q) they are compared in, and ``kind``, 0 for p's and 1 for q's.
 
-    What two members have in common is, beyond the smaller of their parts in common with the leader, only
-    shingles that both have more often than the leader. So a pair either passes the bound on the smaller part, or
-    it shares such a shingle and meets in that shingle's own bucket, where no bound holds.
+    A bucket is cut into blocks by its rows and bytes. Inside a block (p = q) all are of kind 0. ``across`` gives
+    the pairs of different blocks: a member goes to as many as its bucket has other blocks.
     """
-    lead = leaders.select("__b", F.col("v").alias("__v"))
-    told = facts.select("u", F.col("v").alias("__fv"), F.col("both").alias("f_both"), "n_u", "surplus")
-    known = members.drop("both", "n").join(lead, F.col("b") == F.col("__b"))
-    # a member that was one component with its leader from the start has no comparison: no bound for it
-    known = known.join(told, (F.col("k") == F.col("u")) & (F.col("__v") == F.col("__fv")), "left")
-    known = known.withColumn("both", F.coalesce("f_both", F.lit(1 << 40))).withColumn("n", F.coalesce("n_u", F.lit(0)))
-    beyond = known.withColumn("b", F.explode("surplus")).withColumn("b", F.xxhash64("b", "__v"))
-    beyond = beyond.withColumns({"both": F.lit(1 << 40), "n": F.lit(0)}).select(*members.columns).dropDuplicates(["b", "k"])
-    return known.select(*members.columns).unionByName(beyond)
+    blocks = 1 + F.floor(F.count(F.lit(1)) / BLOCK_ROWS) + F.floor(F.sum("size") / BLOCK_BYTES)
+    sizes = members.groupBy(F.col("b").alias("__b")).agg(blocks.cast("int").alias("blocks"))
+    sizes = sizes.filter("blocks > 1") if across else sizes
+    own = members.join(sizes, F.col("b") == F.col("__b")).withColumn("own", F.expr("cast(pmod(xxhash64(k), blocks) as int)"))
+    if across:
+        own = own.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).filter("other != own")
+    else:
+        own = own.withColumn("other", F.col("own"))
+    places = [F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("kind")]
+    return own.select("b", *places, "k", "root", *SKETCH)
+
+
+def _whole_groups(batches):
+    """The rows of a sorted partition as tables of whole groups (b, p, q); the last group of a batch waits for its rest."""
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch])
+        keys = np.stack([table.column(c).to_numpy() for c in ("b", "p", "q")])
+        change = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0))
+        cut = int(change[-1]) + 1 if len(change) else 0
+        if cut:
+            yield table.slice(0, cut)
+        rest = table.slice(cut)
+    if rest is not None and len(rest):
+        yield rest
+
+
+def likely_pairs(rows: pa.Table):
+    """Row numbers (i, j), in portions, of pairs of one group that have ``LEAST_EQUAL`` equal components and are not yet in one component."""
+    keys = np.stack([rows.column(c).to_numpy() for c in ("b", "p", "q")])
+    kind, root = rows.column("kind").to_numpy(), rows.column("root").to_numpy()
+    sketch = np.stack([rows.column(c).to_numpy().view(np.uint64) for c in SKETCH], axis=1)
+    n = len(rows)
+    first = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)]))
+    size = np.diff(np.append(first, n))
+    end = np.repeat(first + size, size)
+    # partners: in a block the rows that follow; between two blocks the rows of the second
+    seconds = np.repeat(np.add.reduceat(kind, first), size)
+    low = np.where(keys[1] == keys[2], np.arange(n) + 1, end - seconds)
+    partners = np.where(kind == 0, end - low, 0)
+    before = np.concatenate([[0], np.cumsum(partners)])
+    lo = 0
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(before, before[lo] + PAIRS_AT_ONCE, "right")) - 1)
+        count = partners[lo:hi]
+        i = np.repeat(np.arange(lo, hi), count)
+        j = np.repeat(low[lo:hi] - (before[lo:hi] - before[lo]), count) + np.arange(len(i))
+        apart = root[i] != root[j]
+        i, j = i[apart], j[apart]
+        x = sketch[i] ^ sketch[j]
+        x |= x >> np.uint64(1)
+        x |= x >> np.uint64(2)
+        differ = np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(axis=1, dtype=np.int64)
+        likely = differ <= BANDS * ROWS - LEAST_EQUAL
+        yield i[likely], j[likely]
+        lo = hi
+
+
+def _with_partners(blocks: DataFrame) -> DataFrame:
+    """The rows of blocks that are in a likely pair of their blocks."""
+
+    def run(batches):
+        for rows in _whole_groups(batches):
+            some = np.zeros(len(rows), bool)
+            for i, j in likely_pairs(rows):
+                some[i] = some[j] = True
+            yield from rows.filter(pa.array(some)).to_batches()
+
+    return _dealt(blocks).mapInArrow(run, blocks.schema)
+
+
+def _dealt(blocks: DataFrame) -> DataFrame:
+    tasks = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return blocks.repartition(tasks, "b", "p", "q").sortWithinPartitions("b", "p", "q", "kind")
+
+
+def block_links(blocks: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Links (u, v) that tie the members of each group (b, p, q) as all links of its pairs do.
+
+    A pair is judged in the first bucket that both texts are in, by its exact overlap, unless links already found
+    in the same rows tie it. A task holds one group, whose rows and bytes are bounded, and one batch.
+    """
+
+    def run(batches):
+        for rows in _whole_groups(batches):
+            bucket, k, root = (rows.column(c).to_numpy() for c in ("b", "k", "root"))
+            bands = rows.column("bands").combine_chunks()
+            bands = bands.flatten().to_numpy().reshape(len(rows), BANDS)
+            text = rows.column("text").combine_chunks()
+            parent: dict[int, int] = {}
+
+            def top(x, parent=parent):
+                while x in parent:
+                    x = parent[x]
+                return x
+
+            known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            found = []
+            for i, j in likely_pairs(rows):
+                shared = bands[i] == bands[j]
+                here = bands[i, shared.argmax(axis=1)] == bucket[i]
+                i, j = i[here], j[here]
+                new = [r for r in np.unique(np.concatenate([i, j])).tolist() if r not in known]
+                if not len(i):
+                    continue
+                owner, shingle, count, _ = bags(text.take(pa.array(new, pa.int64())))
+                ends = np.searchsorted(owner, np.arange(len(new) + 1))
+                known.update((r, (shingle[a:b], count[a:b])) for r, a, b in zip(new, ends[:-1], ends[1:], strict=True))
+                for a, b in zip(i.tolist(), j.tolist(), strict=True):
+                    x, y = top(root[a]), top(root[b])
+                    if x != y:
+                        both, n_a, n_b = overlap(known[a], known[b])
+                        if both >= least * (n_a + n_b - both) - 1e-6:
+                            parent[max(x, y)] = min(x, y)
+                            found.append((k[a], k[b]))
+            columns = zip(*found, strict=True) if found else [()] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["u", "v"])
+
+    near = stored(_with_partners(blocks), "near")
+    full = near.join(texts.withColumnRenamed("k", "__k"), F.col("k") == F.col("__k")).drop("__k")
+    return _dealt(full).mapInArrow(run, "u bigint, v bigint")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
@@ -209,14 +320,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
 
     Texts with the same words in the same order are one node. Nodes are linked if the weighted Jaccard similarity of
     their 5-word shingle multisets is ``least`` or more; classes are the connected components. Candidates are the
-    nodes that share a band of their signatures and have ``LEAST_EQUAL`` equal components. In each bucket all
-    members are compared with the bucket's leader, the member that meets the most others; a leader has then met
-    all members and leaves. Buckets whose remaining members already belong to one component are done: no further
-    link could change a class. The others go on with new leaders, ``LEADERS_GROW`` times as many each round, until no
-    bucket is left. After the first round only pairs
-    are compared that can be links by what each has in common with the leader (see ``_split_by_leader``). So no
-    candidate that could join two classes is passed over, yet the members of a large group of copies are not
-    paired with each other.
+    nodes that share a band of their signatures and have ``LEAST_EQUAL`` equal components. First all members of a
+    bucket are compared with its leader, the member that meets the most others; the leader has then met
+    all and leaves. That settles groups of copies of one text: buckets whose remaining members already belong to one
+    component are done, as no further link could change a class. The members of the others are compared block by
+    block inside tasks (see ``block_links``), first inside each block, then, in buckets still open, across blocks;
+    only links leave a task. So no candidate that could join two classes is passed over, yet pairs never
+    become rows.
 
     Bands, candidate texts, links and labels are stored tables; none of them is collected. Texts without words
     (null, empty, blank) are one class. Starts jobs when called.
@@ -225,52 +335,43 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     keys = [k.alias(n) for k, n in zip(row_key(id_col, text_col), ("id", "th"), strict=True)]
     source = docs.select(*keys, F.col(text_col).cast("string").alias("text"))
     signed = stored(signatures(source), "signatures")
-    nodes = signed.groupBy("k").agg(F.min(F.struct("id", "th")).alias("rep"), F.first("bands").alias("bands"), *[F.first(c).alias(c) for c in SKETCH])
-    nodes = stored(nodes.select("k", F.col("rep.id").alias("id"), F.col("rep.th").alias("th"), "bands", *SKETCH), "nodes")
+    nodes = signed.groupBy("k").agg(F.min(F.struct("id", "th")).alias("rep"), F.max("size").alias("size"), F.first("bands").alias("bands"), *[F.first(c).alias(c) for c in SKETCH])
+    nodes = stored(nodes.select("k", F.col("rep.id").alias("id"), F.col("rep.th").alias("th"), "size", "bands", *SKETCH), "nodes")
     members = nodes.select(F.explode("bands").alias("b"), "k", F.col("k").alias("root"))
     members = stored(_mixed(members), "buckets")  # buckets of two nodes and more
     # the member that meets the most others is the likeliest to be what the others were copied from: it leads
     sizes = members.groupBy(F.col("b").alias("__b")).agg(F.count(F.lit(1)).alias("n"))
     ranks = members.join(sizes, F.col("b") == F.col("__b")).groupBy(F.col("k").alias("__k")).agg(F.sum("n").alias("rank"))
-    sketches = nodes.select(F.col("k").alias("__k"), *SKETCH).join(ranks, "__k")
+    sketches = nodes.select(F.col("k").alias("__k"), "size", *SKETCH).join(ranks, "__k")
     members = stored(members.join(sketches, F.col("k") == F.col("__k")).drop("__k"), "members")
-    wanted = members.select("k").distinct().join(nodes.select("k", "id", "th"), "k")
-    wanted = wanted.select("k", F.col("id").alias("__id"), F.col("th").alias("__th"))
-    texts = source.join(wanted, (F.col("id") == F.col("__id")) & (F.col("th") == F.col("__th"))).select("k", "text")
+    wanted = members.select("k").distinct().join(nodes.select("k", "id", "th", "bands"), "k")
+    wanted = wanted.select("k", "bands", F.col("id").alias("__id"), F.col("th").alias("__th"))
+    texts = source.join(wanted, (F.col("id") == F.col("__id")) & (F.col("th") == F.col("__th"))).select("k", "bands", "text")
     # equal rows hold the same text
     texts = stored(texts, "texts")
     single = texts.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count() == 0
     texts = texts if single else stored(texts.dropDuplicates(["k"]), "texts")
-    links = done = roots = None
-    # until a leader is known, nothing is known to keep two members apart
-    members = members.withColumns({"both": F.lit(1 << 40), "n": F.lit(0)})
-    leaders_per_bucket = 1
-    while not members.isEmpty():
-        turn = F.pmod(F.xxhash64("k", F.lit(leaders_per_bucket)), F.lit(leaders_per_bucket))
-        told = ["root", "both", "n", *SKETCH]
-        leaders = members.groupBy("b", turn.alias("turn")).agg(F.max(F.struct("rank", "k", *told)).alias("lead"))
-        leaders = leaders.select(F.col("b").alias("__b"), F.col("lead.k").alias("v"), *[F.col(f"lead.{c}").alias(f"v_{c}") for c in told])
+    links = roots = None
+    if not members.isEmpty():
+        leaders = members.groupBy("b").agg(F.max(F.struct("rank", "k", *SKETCH)).alias("lead"))
+        leaders = leaders.select(F.col("b").alias("__b"), F.col("lead.k").alias("v"), *[F.col(f"lead.{c}").alias(f"v_{c}") for c in SKETCH])
         leaders = stored(leaders, "leaders")
-        apart = F.col("root") != F.col("v_root")
-        if done is not None:
-            # a link's weight in common is 4/9 of both weights at least
-            possible = F.least("both", "v_both") >= F.lit(least / (1 + least)) * (F.col("n") + F.col("v_n")) - 1e-6
-            apart = apart & possible & (_equal_components() >= LEAST_EQUAL)
-        pairs = members.join(leaders, (F.col("b") == F.col("__b")) & apart).select(F.col("k").alias("u"), "v").distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["u", "v"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        facts = stored(compared(pairs, texts), "compared")
+        likely = (F.col("k") != F.col("v")) & (_equal_components() >= LEAST_EQUAL)
+        pairs = members.join(leaders, (F.col("b") == F.col("__b")) & likely).select(F.col("k").alias("u"), "v").distinct()
+        facts = compared(stored(pairs, "pairs"), texts.select("k", "text"))
         linked = facts.filter(F.col("both") >= F.lit(least) * (F.col("n_u") + F.col("n_v") - F.col("both")) - 1e-6)
-        links = linked.select("u", "v") if links is None else links.unionByName(linked.select("u", "v"))
-        first_round, done = done is None, pairs if done is None else done.unionByName(pairs)
+        links = stored(linked.select("u", "v"), "linked")
+        members = members.join(leaders.select(F.col("__b").alias("b"), F.col("v").alias("k")), ["b", "k"], "left_anti")
+    for across in (False, True):
+        roots = None if links is None else components(links).select(F.col("node").alias("__k"), F.col("root").alias("new_root"))
+        if roots is None or members.isEmpty():
+            continue
+        members = members.drop("root").join(roots, F.col("k") == F.col("__k"), "left").withColumn("root", F.coalesce("new_root", "k")).drop("__k", "new_root")
+        members = stored(_mixed(members), "members")
+        more = stored(block_links(_blocks(members, across), texts, least), "linked")
+        links = links.unionByName(more)
+    if links is not None:
         roots = components(links).select(F.col("node").alias("__k"), F.col("root").alias("new_root"))
-        left = members.drop("root").join(leaders.select(F.col("__b").alias("b"), F.col("v").alias("k")), ["b", "k"], "left_anti")
-        left = left.join(roots, F.col("k") == F.col("__k"), "left").withColumn("root", F.coalesce("new_root", "k")).drop("__k", "new_root")
-        if first_round:
-            left = _split_by_leader(stored(_mixed(left), "members"), leaders, facts)
-        members = stored(_mixed(left), "members")
-        leaders_per_bucket *= LEADERS_GROW
     # null first ids stand last, so the smallest id of a class is its first row's
     labelled = nodes.select("k", "id")
     if roots is None:

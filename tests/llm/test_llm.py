@@ -129,6 +129,32 @@ def test_near_duplicates(docs):
     assert sorted(kept.select("doc_id").collect(), key=str) == sorted(((v,) for v in set(expected.values())), key=str)
 
 
+@pytest.mark.parametrize("rows", [8, 512])
+def test_a_cloud_of_copies_keeps_every_link(spark, monkeypatch, rows):
+    """Copies of one text with similarities around the bound, compared in one block and in several."""
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", rows)
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(500)]
+    base = [rng.choice(vocabulary) for _ in range(120)]
+    texts = []
+    for _ in range(70):
+        ws = list(base)
+        for at in rng.sample(range(120), rng.randint(0, 5)):
+            ws[at] = rng.choice(vocabulary)
+        texts.append(" ".join(ws))
+    prepare(spark)
+    cloud = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    bags = [Counter(tuple(t.split()[i : i + 5]) for i in range(116)) for t in texts]
+    root = list(range(70))
+    for a in range(70):
+        for b in range(a):
+            if jaccard(bags[a], bags[b]) >= 0.8:
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = [new if r == old else r for r in root]
+    assert 1 < len(set(root)) < 70
+    assert {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(cloud).collect()} == dict(enumerate(root))
+
+
 def test_signatures_estimate_the_similarity():
     rng = np.random.default_rng(2)
     element = rng.integers(1, 1 << 62, 300).astype(np.uint64)
