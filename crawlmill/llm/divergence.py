@@ -19,6 +19,7 @@ MOST_WORD_DISTANCE = 0.50
 SPACES = r"[\x20\x09-\x0D]+"
 # character classes, counted one after the other; what none of them holds is the last class
 CLASSES = (r"\p{Ll}+", SPACES, r"\p{Lu}+", r"\p{Nd}+", r"[.,;:?'\"()-]+", r"\p{L}+")
+SYMBOLS = r"[#*$%&|<>]+"  # of the last class, counted apart for the base counts
 
 
 def words_of(text: Column) -> Column:
@@ -33,8 +34,7 @@ def repeated_words(words: Column) -> Column:
     """
     n = F.greatest(F.size(words), F.lit(1))
     last = F.greatest(F.size(words) - 2, F.lit(0))
-    windows = F.arrays_zip(F.slice(words, 1, last).alias("a"), F.slice(words, 2, last).alias("b"), F.slice(words, 3, n).alias("c"))
-    hashes = F.transform(windows, lambda w: F.xxhash64(w))
+    hashes = F.slice(F.transform(words, lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2))), 1, last)
 
     def covered(at: Column) -> Column:
         gaps = F.zip_with(at, F.slice(at, 2, n), lambda p, q: F.least(F.lit(3), F.coalesce(q - p, F.lit(3))))
@@ -59,13 +59,10 @@ def repeated_words(words: Column) -> Column:
 
 
 def base_counts(text: Column, words: Column) -> dict[str, Column]:
-    """``word_chars``, ``n_symbols``, ``n_dup_lines`` and ``n_repeat_words`` of a text and its words."""
+    """``n_dup_lines`` and ``n_repeat_words`` of a text and its words."""
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    bigint = "bigint"
     return {
-        "word_chars": F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast(bigint),
-        "n_symbols": (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast(bigint),
-        "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast(bigint),
+        "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint"),
         "n_repeat_words": repeated_words(words),
     }
 
@@ -78,14 +75,15 @@ def common_words(docs: DataFrame, text_col: str, n: int = COMMON_WORDS) -> list[
 
 
 def class_counts(text: Column) -> Column:
-    """Characters of each class, by what is left after taking one class after the other away."""
+    """Characters of each class, by what is left after taking one class after the other away; symbols stand before the rest."""
+
     def step(rest: Column, patterns: tuple[str, ...]) -> Column:
         size = F.length(rest).cast("double")
         if not patterns:
             return F.array(size)
         return let(F.regexp_replace(rest, patterns[0], ""), lambda left: F.concat(F.array(size - F.length(left)), step(left, patterns[1:])))
 
-    return step(text, CLASSES)
+    return step(text, (*CLASSES, SYMBOLS))
 
 
 def bin_counts(words: Column, common: list[str]) -> Column:
@@ -155,11 +153,17 @@ def judge(
         return F.struct(F.size(words).cast("bigint").alias("n_words"), *base, bin_counts(words, common).alias("bins"))
 
     counts = body.select("id", "lang", let(words_of(F.col("text")), measures).alias("m"), class_counts(F.col("text")).alias("chars"))
-    counts = counts.select("id", "lang", "m.*", "chars")
+    bins = len(CLASSES) + 1
+    sizes = {
+        "word_chars": F.aggregate("chars", F.lit(0.0), lambda s, v: s + v) - F.col("chars")[CLASSES.index(SPACES)],
+        "n_symbols": F.col("chars")[bins - 1],
+    }
+    merged = F.concat(F.slice("chars", 1, bins - 1), F.array(F.col("chars")[bins - 1] + F.col("chars")[bins]))
+    counts = counts.select("id", "lang", "m.*", *[c.cast("bigint").alias(k) for k, c in sizes.items()], merged.alias("chars"))
     counts = stored(counts, "histograms")
     per_language = counts.groupBy(F.col("lang").alias("__lang")).agg(
         F.sum("n_words").alias("lang_words"),
-        F.array(*[F.sum(F.col("chars")[i]) for i in range(len(CLASSES) + 1)]).alias("lang_chars"),
+        F.array(*[F.sum(F.col("chars")[i]) for i in range(bins)]).alias("lang_chars"),
         F.array(*[F.sum(F.col("bins")[i]) for i in range(len(common) + 1)]).alias("lang_bins"),
     )
     joined = counts.join(per_language, F.col("lang").eqNullSafe(F.col("__lang")))
