@@ -151,11 +151,22 @@ def _filled(name: str) -> Column:
 
 
 def item_completeness(
-    items: DataFrame, keys: Sequence[str], required_fields: Sequence[str], min_items: int = 0
+    items: DataFrame,
+    keys: Sequence[str],
+    required_fields: Sequence[str],
+    min_items: int = 0,
+    lists: DataFrame | None = None,
 ) -> DataFrame:
-    """Share of filled required fields per item list in percent, one decimal, and the count warning."""
+    """Share of filled required fields per item list in percent, one decimal, and the count warning.
+
+    ``lists`` names all item lists by their keys (rows may repeat), so that lists without items get a row too: they
+    lack no field (100 %) and have too few items. Both inputs are counted together, in one shuffle.
+    """
     present = sum((_filled(f).cast("bigint") for f in required_fields), F.lit(0).cast("bigint"))
-    sums = items.groupBy(*keys).agg(F.count(F.lit(1)).alias("item_count"), F.sum(present).alias("present_fields"))
+    rows = items.select(*keys, F.lit(1).alias("items"), present.alias("present"))
+    if lists is not None:
+        rows = rows.unionByName(lists.select(*keys, F.lit(0).alias("items"), F.lit(0).cast("bigint").alias("present")))
+    sums = rows.groupBy(*keys).agg(F.sum("items").alias("item_count"), F.sum("present").alias("present_fields"))
     total = F.col("item_count") * len(required_fields)
     score = F.coalesce(round_to(ratio(F.col("present_fields"), total) * 100, 1), F.lit(100.0))
     few = F.concat(

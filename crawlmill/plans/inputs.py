@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from ..operators.extract import Target, extract_items
 from ..operators.ordering import spread
 from ..sources.readers import read_table
-from .registry import fill
 
 
 def observations(spark: SparkSession, folder: str) -> DataFrame:
@@ -258,7 +257,3 @@ SNAPSHOTS_SQL = """snaps AS (
   FROM conversations)"""
 
 HASH_SQL = "substr(sha256(content), 1, 16)"
-
-
-def full(sql: str, **parts: str) -> str:
-    return fill(sql, **parts)

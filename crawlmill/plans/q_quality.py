@@ -383,14 +383,16 @@ def _items(spark, folder):
 
 @query(
     "item_completeness",
-    f"""WITH {_ITEMS_SQL}, s AS (SELECT l_orderkey, count(*) AS item_count, CAST(sum((CASE WHEN title <> '' THEN 1 ELSE 0 END)
-  + (CASE WHEN price <> '' THEN 1 ELSE 0 END) + (CASE WHEN label <> '' THEN 1 ELSE 0 END)) AS BIGINT) AS present_fields
-  FROM items GROUP BY l_orderkey)
-SELECT *, {rnd("present_fields / (item_count * 3) * 100", 1)} AS completeness_score,
+    f"""WITH {_ITEMS_SQL}, r AS (SELECT l_orderkey, 1 AS n, (CASE WHEN title <> '' THEN 1 ELSE 0 END)
+  + (CASE WHEN price <> '' THEN 1 ELSE 0 END) + (CASE WHEN label <> '' THEN 1 ELSE 0 END) AS p FROM items
+  UNION ALL SELECT o_orderkey, 0, 0 FROM orders),
+s AS (SELECT l_orderkey, CAST(sum(n) AS BIGINT) AS item_count, CAST(sum(p) AS BIGINT) AS present_fields FROM r GROUP BY l_orderkey)
+SELECT *, CASE WHEN item_count = 0 THEN 100.0::DOUBLE ELSE {rnd("present_fields / (item_count * 3) * 100", 1)} END AS completeness_score,
   CASE WHEN item_count < 3 THEN 'Expected at least 3 items, got ' || item_count END AS count_warning FROM s""",
 )
 def item_completeness(spark, folder):
-    return V.item_completeness(_items(spark, folder), ["l_orderkey"], ["title", "price", "label"], 3)
+    lists = read_table(spark, folder, "orders").select(F.col("o_orderkey").alias("l_orderkey"))
+    return V.item_completeness(_items(spark, folder), ["l_orderkey"], ["title", "price", "label"], 3, lists)
 
 
 @query(

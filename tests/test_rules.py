@@ -97,3 +97,10 @@ def test_item_completeness(spark):
     ]
     assert V.item_completeness(df, ["k"], []).first()["completeness_score"] == 100.0
     assert V.missing_item_fields(df, ["k"], []).count() == 0
+
+
+def test_empty_item_lists_are_warned_of(spark):
+    items = spark.createDataFrame([("t", 0, {"title": "x"}), (None, 0, {"title": ""})], "k string, pos int, fields map<string,string>")
+    lists = spark.createDataFrame([("t",), ("empty",), ("empty",), (None,)], "k string")
+    got = {r["k"]: tuple(r)[1:] for r in V.item_completeness(items, ["k"], ["title"], 1, lists).collect()}
+    assert got == {"t": (1, 1, 100.0, None), None: (1, 0, 0.0, None), "empty": (0, 0, 100.0, "Expected at least 1 items, got 0")}
