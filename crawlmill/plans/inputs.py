@@ -142,8 +142,8 @@ RICH_PAGES_SQL = "rich AS (SELECT page_id, url, html || CASE page_id % 4 {} END
 
 
 def odd_urls(spark: SparkSession, folder: str) -> DataFrame:
-    """Page URLs, seven of eight changed: other schemes, spaces, missing parts."""
-    u, kind = F.col("url"), F.col("page_id") % 8
+    """Page URLs as they are, but for 7 of 32: other schemes, spaces, missing parts."""
+    u, kind = F.col("url"), F.col("page_id") % 32
     odd = (
         F.when(kind == 1, F.concat(F.lit("ftp"), F.substring_index(u, "://", -1)))
         .when(kind == 2, F.substring_index(u, "://", -1))
@@ -158,7 +158,7 @@ def odd_urls(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ODD_URLS_SQL = r"""odd AS (
-  SELECT page_id, html, CASE page_id % 8
+  SELECT page_id, html, CASE page_id % 32
       WHEN 1 THEN 'ftp' || regexp_extract(url, '://(.*)$', 1)
       WHEN 2 THEN regexp_extract(url, '://(.*)$', 1)
       WHEN 3 THEN url || ' x'
@@ -221,7 +221,7 @@ def articles(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id",
         "text",
         F.substring_index("text", "\n", 1).alias("title"),
-        F.substring("text", 1, 160).alias("meta"),
+        F.substring_index("text", "\n", -1).alias("meta"),
         F.array(*[F.lit(k) for k in ARTICLE_KEYWORDS]).alias("keywords"),
     )
 
@@ -229,31 +229,30 @@ def articles(spark: SparkSession, folder: str) -> DataFrame:
 ARTICLES_SQL = (
     DOCS_SQL
     + """, articles AS (
-  SELECT doc_id, text, split_part(text, chr(10), 1) AS title, substr(text, 1, 160) AS meta FROM docs)"""
+  SELECT doc_id, text, split_part(text, chr(10), 1) AS title, split_part(text, chr(10), -1) AS meta FROM docs)"""
 )
 
 # --- snapshots ------------------------------------------------------------------------------------
 
 
 def snapshots_of(conversations: DataFrame) -> DataFrame:
-    """Conversation turns as page versions; every third page never changes."""
-    content = F.when(F.col("conv_id") % 3 == 0, "static page\nno change").otherwise(
-        F.concat(F.lit("Page "), F.col("conv_id").cast("string"), F.lit("\n"), "text", F.lit("\n"), "role", F.lit("\n"))
-    )
+    """Conversation turns as page versions; beside every third page stands one that never changes."""
+    conv = F.col("conv_id").cast("bigint")
+    content = F.concat(F.lit("Page "), F.col("conv_id").cast("string"), F.lit("\n"), "text", F.lit("\n"), "role", F.lit("\n"))
+    page = F.struct(conv.alias("url"), content.alias("content"))
+    still = F.struct((-1 - conv).alias("url"), F.lit("static page\nno change").alias("content"))
+    versions = F.when(conv % 3 == 0, F.array(page, still)).otherwise(F.array(page))
     base = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("turn") * 3600)
-    return conversations.select(
-        F.col("conv_id").alias("url"), content.alias("content"), base.alias("ts"), F.col("turn").alias("seq")
-    )
+    return conversations.select(F.inline(versions), base.alias("ts"), F.col("turn").alias("seq"))
 
 
 def snapshots(spark: SparkSession, folder: str) -> DataFrame:
     return snapshots_of(read_table(spark, folder, "conversations"))
 
 
-SNAPSHOTS_SQL = """snaps AS (
-  SELECT conv_id AS url, turn AS seq, TIMESTAMP '2023-11-14 22:13:20' + to_hours(turn) AS ts,
-    CASE WHEN conv_id % 3 = 0 THEN 'static page' || chr(10) || 'no change'
-      ELSE 'Page ' || conv_id || chr(10) || text || chr(10) || role || chr(10) END AS content
-  FROM conversations)"""
+SNAPSHOTS_SQL = """turns AS (SELECT *, TIMESTAMP '2023-11-14 22:13:20' + to_hours(turn) AS ts FROM conversations),
+snaps AS (
+  SELECT conv_id AS url, turn AS seq, ts, 'Page ' || conv_id || chr(10) || text || chr(10) || role || chr(10) AS content FROM turns
+  UNION ALL SELECT -1 - conv_id, turn, ts, 'static page' || chr(10) || 'no change' FROM turns WHERE conv_id % 3 = 0)"""
 
 HASH_SQL = "substr(sha256(content), 1, 16)"

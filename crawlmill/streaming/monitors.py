@@ -69,16 +69,31 @@ def page_changes(snapshots: DataFrame) -> DataFrame:
     )
 
 
-def run_counts(runs: DataFrame, interval: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Successes and errors per job-independent time window; rows later than ``late`` are not counted."""
+def _per_window(runs: DataFrame, interval: str) -> DataFrame:
     return (
-        runs.withWatermark("ts", late)
-        .groupBy(F.window("ts", interval))
+        runs.groupBy(F.window("ts", interval))
         .agg(F.count_if("success").alias("run_count"), F.count_if(~F.col("success")).alias("error_count"))
         .select("window.start", "window.end", "run_count", "error_count")
     )
 
 
+def run_counts(runs: DataFrame, interval: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """Successes and errors per job-independent time window; rows later than ``late`` are not counted.
+
+    A window comes out once ``late`` has passed after its end; ``open_windows`` gives the ones left when a stream ends.
+    """
+    return _per_window(runs.withWatermark("ts", late), interval)
+
+
+def open_windows(runs: DataFrame, interval: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """The windows that ``run_counts`` still holds open after all ``runs``, a table here. Starts a job when called."""
+    newest = runs.agg(F.date_trunc("millisecond", F.max("ts")).alias("at"))
+    closed = newest.select((F.col("at") - F.expr(f"interval {late}")).alias("at")).first()["at"]
+    if closed is None:
+        return _per_window(runs, interval)
+    return _per_window(runs.filter(F.window("ts", interval)["end"] > F.lit(closed)), interval)
+
+
 def drain(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Run a stream over everything available into parquet files and stop."""
     query = (

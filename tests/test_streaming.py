@@ -52,3 +52,6 @@ def test_run_counts_close_windows(spark, tmp_path):
     got = drained(spark, lambda d: M.run_counts(d, "1 hour", "10 minutes"), df, 2, tmp_path)
     # the newest row is at 4:55, so windows ending at 4:00 or before are closed
     assert rows(got.orderBy("start"), "run_count", "error_count") == [(8, 4)] * 4
+    left = M.open_windows(df, "1 hour", "10 minutes")
+    assert rows(left, "run_count", "error_count") == [(8, 4)]
+    assert M.open_windows(df.limit(0)).count() == 0
