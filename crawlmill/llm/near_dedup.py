@@ -316,7 +316,9 @@ def block_links(blocks: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
-    """``(id, th, class_id)`` of every row, keys as in ``common.row_key``: the smallest id of the row's class.
+    """``(id, th, root, class_id)`` of every row, keys as in ``common.row_key``: the row's class and the smallest id in it.
+
+    ``root`` names the class. ``class_id`` does not: classes whose smallest ids are equal or null share it.
 
     Texts with the same words in the same order are one node. Nodes are linked if the weighted Jaccard similarity of
     their 5-word shingle multisets is ``least`` or more; classes are the connected components. Candidates are the
@@ -380,24 +382,27 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
         labelled = labelled.join(roots, F.col("k") == F.col("__k"), "left").select("k", "id", F.coalesce("new_root", "k").alias("root"))
     labelled = stored(labelled, "labels")
     firsts = labelled.groupBy("root").agg(F.min("id").alias("class_id"))
-    named = labelled.join(firsts, "root").select("k", "class_id")
-    return signed.select("id", "th", "k").join(named, "k").select("id", "th", "class_id")
+    named = labelled.join(firsts, "root").select("k", "root", "class_id")
+    return signed.select("id", "th", "k").join(named, "k").select("id", "th", "root", "class_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
-    """One row per document: id and ``class_id``, the smallest id among its exact and near copies (see ``classes``).
+    """One row per document: id, ``class_id``, the smallest id among its exact and near copies, and ``class_key`` (see ``classes``).
 
-    A null id counts as the largest: its class has a null name only if no other row is in it. Repeated rows are
-    in one class. An empty table gives an empty result; other columns are ignored.
+    A null id counts as the largest: ``class_id`` is null only if no row of the class has an id. Where ids are null or
+    repeat, different classes can have one ``class_id``; ``class_key`` tells them apart. Repeated rows are in one class. An empty table gives an empty result; other columns are ignored.
     """
     none = F.lit((1 << 63) - 1)
     found = classes(docs, id_col, text_col, least)
-    return found.select(F.nullif("id", none).alias(id_col), F.nullif("class_id", none).alias("class_id"))
+    return found.select(F.nullif("id", none).alias(id_col), F.nullif("class_id", none).alias("class_id"), F.col("root").alias("class_key"))
 
 
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
-    """The rows of ``docs`` with one row for each class: that of the smallest id, of the smallest text hash if it repeats."""
-    chosen = classes(docs, id_col, text_col, least).groupBy("class_id").agg(F.min(F.struct("id", "th")).alias("first"))
+    """The rows of ``docs`` with one row for each class: that of the smallest id, of the smallest text hash if it repeats.
+
+    Rows with null or repeated ids that are no copies of each other are all kept.
+    """
+    chosen = classes(docs, id_col, text_col, least).groupBy("root").agg(F.min(F.struct("id", "th")).alias("first"))
     chosen = chosen.select(F.col("first.id").alias("__cid"), F.col("first.th").alias("__cth"))
     keys = row_key(id_col, text_col)
     keyed = docs.withColumns({"__id": keys[0], "__text": keys[1]})

@@ -129,6 +129,25 @@ def test_near_duplicates(docs):
     assert sorted(kept.select("doc_id").collect(), key=str) == sorted(((v,) for v in set(expected.values())), key=str)
 
 
+def test_null_and_equal_ids_of_different_texts_are_classes_of_their_own(spark):
+    prepare(spark)
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcde")
+    near = " ".join([*b.split()[:-1], "edit"])
+    rows = [(None, a), (None, b), (None, near), (5, c), (5, d), (5, c), (None, e), (9, e)]
+    odd = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    # b and its near copy have no id: the smaller text hash decides
+    kept = [tuple(r) for r in near_dedup.first_of_each(odd).collect()]
+    assert len(kept) == 5 and {(None, a), (5, c), (5, d), (9, e)} < set(kept) and {(None, b), (None, near)} & set(kept)
+    got = near_dedup.near_duplicates(odd).collect()
+    groups = defaultdict(list)
+    for r in got:
+        groups[r["class_key"]].append((r["doc_id"], r["class_id"]))
+    none = (None, None)
+    assert sorted(map(str, (sorted(v, key=str) for v in groups.values()))) == sorted(
+        map(str, ([none], [none, none], [(5, 5), (5, 5)], [(5, 5)], [(9, 9), (None, 9)]))
+    )
+
+
 @pytest.mark.parametrize("rows", [8, 512])
 def test_a_cloud_of_copies_keeps_every_link(spark, monkeypatch, rows):
     """Copies of one text with similarities around the bound, compared in one block and in several."""
