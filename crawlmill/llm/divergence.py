@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.core import let
 from .common import stored
 
-COMMON_WORDS = 48  # words of the corpus that have bins of their own
+COMMON_WORDS = 48  # words of each language that have bins of their own
 LEAST_WORDS = 50  # a document below this fails at once
 MOST_REPEATED = 50  # percent of the words that may lie in repeated 3-word windows
 JUDGED_WORDS = 50  # shorter documents have too few words for a histogram
 REFERENCE_WORDS = 5_000  # a language with fewer words has no reference
 MOST_CHAR_DISTANCE = 0.28  # Jensen-Shannon distances (base 2) beyond which a document is odd
-MOST_WORD_DISTANCE = 0.50
+MOST_WORD_DISTANCE = 0.40  # a text without any common word has 0.409 to 0.415 on sf0.1
+MOST_WORD_SHARE = 0.97  # of the distance of such a text in its own language: the bound of languages where that is less
 
 SPACES = r"[\x20\x09-\x0D]+"
 # character classes, counted one after the other; what none of them holds is the last class
@@ -67,11 +69,12 @@ def base_counts(text: Column, words: Column) -> dict[str, Column]:
     }
 
 
-def common_words(docs: DataFrame, text_col: str, n: int = COMMON_WORDS) -> list[str]:
-    """The ``n`` most frequent lower-cased words of all documents, counted exactly; ties by code point."""
-    each = docs.select(F.explode(F.split(F.lower(F.col(text_col)), SPACES)).alias("w")).filter(F.col("w") != "")
-    top = each.groupBy("w").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "w").limit(n)
-    return [r["w"] for r in top.collect()]
+def common_words(body: DataFrame, n: int = COMMON_WORDS) -> DataFrame:
+    """``(lang, common)``: the ``n`` most frequent lower-cased words of each language of (lang, text), counted exactly; ties by code point."""
+    each = body.select("lang", F.explode(F.split(F.lower("text"), SPACES)).alias("w")).filter(F.col("w") != "")
+    counts = each.groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n"))
+    top = counts.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "w"))).filter(F.col("rank") <= n)
+    return top.groupBy("lang").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "w"))), lambda x: x["w"]).alias("common"))
 
 
 def class_counts(text: Column) -> Column:
@@ -86,15 +89,14 @@ def class_counts(text: Column) -> Column:
     return step(text, (*CLASSES, SYMBOLS))
 
 
-def bin_counts(words: Column, common: list[str]) -> Column:
-    """How often each common word is among the words, then all other words."""
+def bin_counts(words: Column, common: Column) -> Column:
+    """How often each word of ``common``, an array of ``COMMON_WORDS`` at most, is among the words, then all other words."""
 
     # one character of the private use area stands for each common word, so that counting reads short strings
-    signs = [chr(0xE000 + i) for i in range(len(common))]
-    known = F.array(*[F.lit(w) for w in common]) if common else F.array().cast("array<string>")
+    signs = [chr(0xE000 + i) for i in range(COMMON_WORDS)]
 
     def counted(found: Column) -> Column:
-        sign = F.transform(found, lambda w: F.substring(F.lit("".join(signs)), F.array_position(known, w).cast("int"), F.lit(1)))
+        sign = F.transform(found, lambda at: F.substring(F.lit("".join(signs)), at.cast("int"), F.lit(1)))
         others = (F.size(words) - F.size(found)).cast("double")
 
         def each(x: Column) -> Column:
@@ -103,7 +105,7 @@ def bin_counts(words: Column, common: list[str]) -> Column:
 
         return let(F.array_join(sign, ""), each)
 
-    return let(F.filter(F.transform(words, F.lower), lambda w: w.isin(common)), counted)
+    return let(F.filter(F.transform(words, lambda w: F.array_position(common, F.lower(w))), lambda at: at > 0), counted)
 
 
 def distance(p: Column, q: Column) -> Column:
@@ -135,22 +137,25 @@ def judge(
 ) -> DataFrame:
     """Base counts and verdict of every document; DataFrame functions only.
 
-    A document's characters by class and its words by common word are compared with the sums over all documents
-    of its language by Jensen-Shannon distance. ``kept`` is false for a failed base rule, else unless a distance
-    is beyond its bound; documents below ``JUDGED_WORDS`` words and languages below ``REFERENCE_WORDS`` are
-    not judged by distance. Only the common words (``COMMON_WORDS`` of them) reach the driver. Counts of each document
-    are stored once; references are sums per language, whatever share of the rows a language holds.
+    A document's characters by class and its words by common word of its language are compared with the sums over all
+    documents of that language by Jensen-Shannon distance. ``kept`` is false for a failed base rule, else unless a
+    distance is beyond its bound; the word bound is ``most_word`` or, if less, ``MOST_WORD_SHARE`` of the distance of a
+    text without common words, so such a text is never kept. Documents below ``JUDGED_WORDS`` words and languages below ``REFERENCE_WORDS`` are
+    not judged by distance. The common words (``COMMON_WORDS`` of each language) are stored and joined by language.
+    Counts of each document are stored once; references are sums per language, whatever share of the rows a language holds.
 
     Null text: no words, so it fails; a null language is one language; a null id is kept; repeated rows are
     judged each on its own; an empty table gives an empty result. Starts jobs when called.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    common = common_words(docs, text_col)
     body = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), text.alias("text"))
+    common = stored(common_words(body).select(F.col("lang").alias("__lang"), "common"), "common")
+    body = body.join(common, F.col("lang").eqNullSafe(F.col("__lang")), "left")
+    known = F.coalesce("common", F.array().cast("array<string>"))
 
     def measures(words: Column) -> Column:
         base = [c.alias(k) for k, c in base_counts(F.col("text"), words).items()]
-        return F.struct(F.size(words).cast("bigint").alias("n_words"), *base, bin_counts(words, common).alias("bins"))
+        return F.struct(F.size(words).cast("bigint").alias("n_words"), *base, bin_counts(words, known).alias("bins"))
 
     counts = body.select("id", "lang", let(words_of(F.col("text")), measures).alias("m"), class_counts(F.col("text")).alias("chars"))
     bins = len(CLASSES) + 1
@@ -164,8 +169,10 @@ def judge(
     per_language = counts.groupBy(F.col("lang").alias("__lang")).agg(
         F.sum("n_words").alias("lang_words"),
         F.array(*[F.sum(F.col("chars")[i]) for i in range(bins)]).alias("lang_chars"),
-        F.array(*[F.sum(F.col("bins")[i]) for i in range(len(common) + 1)]).alias("lang_bins"),
+        F.array(*[F.sum(F.col("bins")[i]) for i in range(COMMON_WORDS + 1)]).alias("lang_bins"),
     )
+    none = F.array(*[F.lit(0.0)] * COMMON_WORDS, F.lit(1.0))
+    per_language = per_language.withColumn("none_distance", distance(none, F.col("lang_bins")))
     joined = counts.join(per_language, F.col("lang").eqNullSafe(F.col("__lang")))
     judged = (F.col("n_words") >= JUDGED_WORDS) & (F.col("lang_words") >= REFERENCE_WORDS)
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
@@ -179,6 +186,8 @@ def judge(
         failed.alias("base_failed"),
         F.when(judged, distance(F.col("chars"), F.col("lang_chars"))).alias("char_distance"),
         F.when(judged, distance(F.col("bins"), F.col("lang_bins"))).alias("word_distance"),
+        F.col("none_distance"),
     )
-    odd = (F.col("char_distance") > most_char) | (F.col("word_distance") > most_word)
-    return measured.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(odd, F.lit(False)))
+    bound = F.least(F.lit(most_word), MOST_WORD_SHARE * F.col("none_distance"))
+    odd = (F.col("char_distance") > most_char) | (F.col("word_distance") > bound)
+    return measured.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(odd, F.lit(False))).drop("none_distance")

@@ -350,6 +350,41 @@ def test_histogram_rules(docs):
         assert r["base_failed"] == (len(w) < 50 or 100 * len(again) > 50 * len(w)) and not (r["base_failed"] and r["kept"])
 
 
+def test_word_distance_uses_the_words_of_each_language(spark):
+    prepare(spark)
+    rng = random.Random(8)
+    rows = []
+    for lang, n in (("en", 90), ("fr", 12), (None, 12)):
+        common = [f"{lang}{chr(97 + i % 26)}{i // 26}" for i in range(60)]
+        for i in range(n):
+            # a tenth has no common word
+            pick = lambda: f"rare{rng.randrange(10**9)}" if i % 10 == 9 or rng.random() < 0.6 else common[min(int(rng.expovariate(0.08)), 59)]  # noqa: B023, E731
+            rows.append((len(rows), " ".join(pick() for _ in range(600)), lang))
+    got = divergence.judge(spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(3)).collect()
+    counts = defaultdict(Counter)
+    for _, t, lang in rows:
+        counts[lang].update(t.lower().split())
+    top = {g: [w for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:48]] for g, c in counts.items()}
+
+    def histogram(c, lang):
+        h = np.array([c[w] for w in top[lang]] + [sum(c.values()) - sum(c[w] for w in top[lang])], float)
+        return h / h.sum()
+
+    def distance(p, q):
+        m = (p + q) / 2
+        part = lambda x: sum(a * np.log2(a / b) for a, b in zip(x, m, strict=True) if a > 0)
+        return np.sqrt(max(0.0, (part(p) + part(q)) / 2))
+
+    by = {r["doc_id"]: r for r in got}
+    for i, t, lang in rows:
+        want = distance(histogram(Counter(t.lower().split()), lang), histogram(counts[lang], lang))
+        none = distance(np.array([0.0] * 48 + [1.0]), histogram(counts[lang], lang))
+        assert abs(by[i]["word_distance"] - want) < 1e-9
+        assert by[i]["char_distance"] < 0.28
+        assert by[i]["kept"] == (want <= min(0.40, 0.97 * none))
+    assert {r["kept"] for r in got} == {True, False}
+
+
 def test_tool_calls(spark):
     prepare(spark)
     call = lambda turn, i, deps=(), name="search", args='{"limit":3,"query":"q"}', conv=1: (conv, turn, i, name, args, list(deps))
