@@ -98,7 +98,7 @@ def snapshot_bag_similarity(spark, folder):
 
 
 def _stream(spark, folder, name):
-    """A table folder read as a stream; a micro-batch has about 256 MB, so that the rows of one key fit a worker."""
+    """A table folder read as a stream; a micro-batch has about 256 MB or one file, cut into ranges for its tasks."""
     schema = read_table(spark, folder, name).schema
     reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
     return reader.option("maxBytesPerTrigger", 256 << 20).parquet(folder)

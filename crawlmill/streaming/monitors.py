@@ -1,15 +1,21 @@
 """Continuous price alerts, page-change events and run counts.
 
 The keyed monitors keep one small value per key. Rows of one key must arrive in order across
-micro-batches; inside a batch they are sorted. Bound the micro-batch with ``maxFilesPerTrigger`` or
-``maxBytesPerTrigger`` at the source: that also bounds what one key can bring to its task at a time.
+micro-batches; inside a batch they are sorted. A micro-batch is cut into ranges of key and order, as many as there are
+shuffle partitions, so a heavy key is spread over tasks; only the first and last row of a key's stretch in a range meet in
+the key's task. A task so holds about its share of the micro-batch, whatever the keys; bound the micro-batch
+with ``maxFilesPerTrigger`` or ``maxBytesPerTrigger`` at the source.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -19,8 +25,53 @@ from ..operators.prices import DEFAULT_THRESHOLD, change_alert
 from ..operators.snapshots import content_hash
 
 
-class _Previous(StatefulProcessor):
-    """Emit each row with the value of the row before it in its key, NULL for the first."""
+SHORT = 1_000  # a key's stretch in a range goes to the key's task whole up to this many rows
+_FIRST, _SLOT = "stretch_first", "stretch_slot"  # rows reach the processor as named tuples: no leading underscore
+
+
+def _stretches(keys: list[str], order: list[str], value: str):
+    """Rows of one range with the value before each, which is not known for the first row of a key's stretch.
+
+    Slot 0 has the rows that the key's task needs: first and last rows, and short stretches. The other rows
+    are complete; they go to a slot of their own for each range.
+    """
+    short = SHORT
+
+    def run(batches):
+        found = [b for b in batches if b.num_rows]
+        if not found:
+            return
+        table = pa.Table.from_batches(found)
+        # nulls stand first, as in Spark
+        by = [(c, "ascending") for c in [*keys, *order]]
+        table = table.take(pc.sort_indices(table, sort_keys=by, null_placement="at_start")).combine_chunks()
+        n = table.num_rows
+        starts = np.zeros(n, bool)
+        starts[0] = True
+        for k in keys:
+            column = table.column(k).combine_chunks()
+            left, right = column.slice(0, n - 1), column.slice(1)
+            unlike = pc.fill_null(pc.not_equal(left, right), pc.xor(pc.is_null(left), pc.is_null(right))) if n > 1 else pa.array([], pa.bool_())
+            starts[1:] |= unlike.to_numpy(zero_copy_only=False)
+        ends = np.append(starts[1:], True)
+        lengths = np.diff(np.append(np.flatnonzero(starts), n))
+        inner = ~starts & ~ends & (np.repeat(lengths, lengths) > short)
+        context = TaskContext.get()
+        slot = np.where(inner, 1 + (context.partitionId() if context else 0), 0).astype(np.int32)
+        before = table.column(value).take(pa.array(np.arange(-1, n - 1), mask=np.arange(n) == 0))
+        before = pc.if_else(pa.array(starts), pa.scalar(None, before.type), before)
+        out = table.append_column("previous", before).append_column(_FIRST, pa.array(starts)).append_column(_SLOT, pa.array(slot))
+        out = out.select([*keys, _SLOT, *order, value, "previous", _FIRST])
+        yield from out.to_batches(max_chunksize=10_000)
+
+    return run
+
+
+class _Stitched(StatefulProcessor):
+    """Give the first row of each stretch of a key the value of the last row of the stretch before it, NULL for the first of all.
+
+    Only slot 0 has state and is gathered; rows of other slots pass by piece by piece.
+    """
 
     def __init__(self, keys: list[str], order: list[str], value: str, value_type: str):
         self.keys, self.order, self.value, self.value_type = keys, order, value, value_type
@@ -29,12 +80,18 @@ class _Previous(StatefulProcessor):
         self.last = handle.getValueState("last", f"value {self.value_type}")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(self.order, kind="stable")
+        columns = [*self.keys, *self.order, self.value, "previous"]
+        if key[-1] != 0:
+            yield from (part[columns] for part in rows)
+            return
+        batch = pd.concat(list(rows)).sort_values(self.order, kind="stable", na_position="first")
         before = self.last.get()[0] if self.last.exists() else None
         values = batch[self.value].tolist()
-        batch["previous"] = [before, *values[:-1]]
+        first = batch[_FIRST].tolist()
+        shifted = [before, *values[:-1]]
+        batch["previous"] = [s if f else p for s, f, p in zip(shifted, first, batch["previous"].tolist(), strict=True)]
         self.last.update((values[-1],))
-        yield batch[[*self.keys, *self.order, self.value, "previous"]]
+        yield batch[columns]
 
     def close(self) -> None:
         pass
@@ -44,9 +101,12 @@ def _with_previous(stream: DataFrame, keys: list[str], order: list[str], value:
     slim = stream.select(*keys, *order, value)
     fields = {f.name: f.dataType.simpleString() for f in slim.schema}
     schema = ", ".join(f"{n} {t}" for n, t in fields.items()) + f", previous {fields[value]}"
-    return slim.groupBy(*keys).transformWithStateInPandas(
-        _Previous(keys, order, value, fields[value]), schema, "append", "None"
-    )
+    pieces = int(stream.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = slim.repartitionByRange(pieces, *keys, *order)
+    types = fields | {"previous": fields[value], _FIRST: "boolean", _SLOT: "int"}
+    names = [*keys, _SLOT, *order, value, "previous", _FIRST]
+    marked = ranges.mapInArrow(_stretches(keys, order, value), ", ".join(f"{n} {types[n]}" for n in names))
+    return marked.groupBy(*keys, _SLOT).transformWithStateInPandas(_Stitched(keys, order, value, fields[value]), schema, "append", "None")
 
 
 def price_alerts(observations: DataFrame, threshold_pct: float = DEFAULT_THRESHOLD) -> DataFrame:

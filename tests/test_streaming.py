@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from helpers import rows
 from pyspark.sql import functions as F
@@ -36,6 +37,23 @@ def test_alerts(spark, tmp_path, files):
     assert sorted(rows(got.select(want.columns))) == sorted(rows(want))
 
 
+def test_a_heavy_key_is_cut_and_stitched(spark, tmp_path, monkeypatch):
+    """One key with most rows, unordered in the files: few of its rows reach the key's task, and none is lost."""
+    monkeypatch.setattr(M, "SHORT", 5)
+    rng = random.Random(3)
+    data = [("p" if i % 10 else rng.choice("pqr"), float(rng.choice([10, 11, 20])), None if i % 97 == 0 else "s", i) for i in range(4000)]
+    rng.shuffle(data)
+    df = spark.createDataFrame(data, "product string, price double, source string, seq bigint")
+    df = df.withColumn("observed_at", F.timestamp_seconds((F.col("seq") / 7).cast("bigint")))
+    got = drained(spark, M.price_alerts, df, 2, tmp_path)
+    want = P.price_alerts(df)
+    assert sorted(rows(got.select(want.columns)), key=str) == sorted(rows(want), key=str)
+    batch = pa.RecordBatch.from_pylist([{"k": k, "at": at, "v": at * at} for k, at in [("a", 2), ("b", 1), *(("a", i) for i in range(3, 500))]])
+    marked = pa.Table.from_batches(M._stretches(["k"], ["at"], "v")([batch])).to_pylist()
+    assert len(marked) == 499 and [(r["k"], r["at"]) for r in marked if r["stretch_slot"] == 0] == [("a", 2), ("a", 499), ("b", 1)]
+    assert [r["previous"] for r in marked if r["k"] == "a"] == [None, *(i * i for i in range(2, 499))] and marked[-1]["previous"] is None
+
+
 def test_changes_back_and_forth(spark, tmp_path):
     data = [("u", c, i) for i, c in enumerate("AABAAB")]
     df = spark.createDataFrame(data, "url string, content string, seq bigint").withColumn("ts", F.timestamp_seconds("seq"))
