@@ -7,7 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_path
-from . import chat, divergence, language_model, line_crf, mixing, near_dedup, order_minhash, packing, substring, token_files
+from . import (
+    chat,
+    divergence,
+    language_model,
+    line_crf,
+    line_dedup,
+    mixing,
+    near_dedup,
+    order_minhash,
+    packing,
+    periodic_runs,
+    substring,
+    token_files,
+)
 from .common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +99,16 @@ def op2_bag_minhash(spark, folder):
 def op3_tool_call_linking(spark, folder):
     calls, results = chat.calls_of(table(spark, folder, "conversations"))
     return chat.link(calls, results, chat.TOOLS)
+
+
+@query
+def op11_line_dedup(spark, folder):
+    return line_dedup.dedup(table(spark, folder, "documents")).drop("dropped")
+
+
+ORACLES["op11_line_dedup"] = line_dedup.ORACLE
+
+
+@query
+def op13_periodic_runs(spark, folder):
+    return periodic_runs.digests(periodic_runs.find_runs(periodic_runs.planted(table(spark, folder, "documents"))))
