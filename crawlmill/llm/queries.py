@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_path
 from . import (
+    alignment,
     chat,
     divergence,
     language_model,
@@ -112,3 +113,9 @@ ORACLES["op11_line_dedup"] = line_dedup.ORACLE
 @query
 def op13_periodic_runs(spark, folder):
     return periodic_runs.digests(periodic_runs.find_runs(periodic_runs.planted(table(spark, folder, "documents"))))
+
+
+@query
+def op12_token_alignment(spark, folder):
+    files = tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model")
+    return alignment.compare(table(spark, folder, "documents"), *files)
