@@ -54,6 +54,16 @@ def row_key(id_col: str, text_col: str) -> list[Column]:
     ]
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns as one struct ``row``, so that no column made beside it can meet a name of theirs."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+
+
+def row_columns(df: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
+    """The columns of ``docs`` from ``row``, those in ``changed`` by their expressions."""
+    return df.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+
+
 def worker_memo(name: str, make):
     """An object that lives as long as its Python worker, so that later tasks find it filled."""
     holder = sys.modules.setdefault("crawlmill_worker_memo", types.ModuleType("crawlmill_worker_memo"))
@@ -89,16 +99,19 @@ _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-def _powers(n: int, base: int) -> np.ndarray:
-    def make():
-        return {}
+_AT_ONCE = 1 << 18  # bytes hashed in one step
+
 
-    memo = worker_memo("powers", make)
-    if base not in memo or len(memo[base]) < n:
-        p = np.full(max(n, 1 << 16), np.uint64(base))
-        p[0] = 1
-        memo[base] = np.multiply.accumulate(p)
-    return memo[base][:n]
+def _powers(n: int, base: int) -> np.ndarray:
+    memo = worker_memo("powers", dict)
+    if n <= _AT_ONCE + 1 and base in memo:
+        return memo[base][:n]
+    p = np.full(max(n, _AT_ONCE + 1), np.uint64(base))
+    p[0] = 1
+    p = np.multiply.accumulate(p)
+    if n <= _AT_ONCE + 1:  # those of a longer word are not kept
+        memo[base] = p
+    return p[:n]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -128,9 +141,20 @@ def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     last = np.zeros(n + 1, bool)
     last[1:] = solid[:-1] & (~solid[1:] | first[1:])
     starts, ends = np.flatnonzero(first), np.flatnonzero(last)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(n, _BASE), out=total[1:])
-    h = (total[ends] - total[starts]) * _powers(n + 1, _INVERSE)[starts]
+    h = np.empty(len(starts), np.uint64)
+    # some hundred thousand bytes at once, a longer word alone: only bits and words are held for the whole column
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + _AT_ONCE)))
+        base = starts[i]
+        part = data[base : ends[j - 1]].astype(np.uint64)
+        part += np.uint64(1)
+        part *= _powers(len(part), _BASE)
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part, out=total[1:])
+        a, b = starts[i:j] - base, ends[i:j] - base
+        h[i:j] = (total[b] - total[a]) * _powers(len(part) + 1, _INVERSE)[a]
+        i = j
     h = mix(h ^ ((ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
     return h, starts, ends, np.searchsorted(starts, offsets), data
 

@@ -6,10 +6,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import slices, words
+from .common import row_columns, slices, whole_row, words
 
 TRAIN_DOCS = 6_000  # labelled documents the field is fitted on, chosen by a hash of their id
+TRAIN_LINES = 200_000  # lines of all of them together; a document that no longer fits is passed over
 STEPS = 300
 RIDGE = 1e-3
 KEEP = 0.7  # score from which a document counts as good
@@ -186,16 +188,24 @@ def held_out(id_col: str):
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Field | None:
     """Fit on at most ``TRAIN_DOCS`` labelled documents that are not held out; None if either label is missing.
 
-    The documents are those with the smallest hashes of their ids, so the choice is the same at every run. Line
-    features are made on the executors; the driver receives those of the sample only.
+    The documents are those with the smallest hashes of their ids, so the choice is the same at every run; those that
+    would bring their lines above ``TRAIN_LINES`` are passed over. Line features are made on the executors; the
+    driver receives those of the sample only, at most 90 numbers for each of these lines.
     """
     spark = docs.sparkSession
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     known = known.groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("label"))
     # a few more ids than needed, as some labels may have no document here
-    there = docs.select(F.col(id_col).alias("id"))
-    chosen = known.join(there, "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(TRAIN_DOCS).collect()
-    if len({r["label"] for r in chosen}) < 2:
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    lines = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+    there = docs.select(F.col(id_col).alias("id"), lines.alias("lines")).groupBy("id").agg(F.max("lines").cast("bigint").alias("lines"))
+    first = known.join(there, "id").orderBy(F.xxhash64("id"), "id").limit(TRAIN_DOCS).collect()
+    chosen, left = [], TRAIN_LINES
+    for r in first:
+        if r["lines"] <= left:
+            chosen.append((r["id"], r["label"]))
+            left -= r["lines"]
+    if len({label for _, label in chosen}) < 2:
         return None
     picked = spark.createDataFrame(chosen, known.schema)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -218,19 +228,18 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def _scored(docs: DataFrame, field: Field | None, text_col: str) -> DataFrame:
-    """All columns of ``docs`` and ``__score``."""
-    source = docs.withColumn("__scored", F.col(text_col).cast("string"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    """``row`` (all columns of ``docs``) and ``score``."""
+    source = docs.select(whole_row(docs), F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def run(batches):
         for batch in batches:
-            for lo, hi in slices(batch, "__scored"):
+            for lo, hi in slices(batch, "text"):
                 part = batch.slice(lo, hi - lo)
-                s = np.ones(hi - lo) if field is None else field.scores(part.column("__scored"))
-                names = [n for n in part.schema.names if n != "__scored"]
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(s)], names=[*names, "__score"])
+                s = np.ones(hi - lo) if field is None else field.scores(part.column("text"))
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(s)], names=["row", "score"])
 
-    return source.mapInArrow(run, f"{schema}, __score double")
+    schema = T.StructType([source.schema["row"], T.StructField("score", T.DoubleType())])
+    return source.mapInArrow(run, schema)
 
 
 def score(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -240,15 +249,22 @@ def score(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_col
     a null id is kept; repeated rows are scored each on its own; an empty table gives an empty result; other
     columns are ignored. Without a field (no usable labels) every score is 1.0.
     """
-    found = _scored(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), field, "text")
+    source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            for lo, hi in slices(batch, "text"):
+                part = batch.slice(lo, hi - lo)
+                s = np.ones(hi - lo) if field is None else field.scores(part.column("text"))
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(s)], names=["id", "score"])
+
+    found = source.mapInArrow(run, f"id {kind}, score double")
     return found.select(
-        F.col("id").alias(id_col),
-        held_out("id").alias("held_out"),
-        F.col("__score").alias("score"),
-        (F.col("__score") >= KEEP).cast("int").alias("predicted"),
+        F.col("id").alias(id_col), held_out("id").alias("held_out"), "score", (F.col("score") >= KEEP).cast("int").alias("predicted")
     )
 
 
 def good_rows(docs: DataFrame, field: Field | None, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose score reaches ``KEEP``, with their columns."""
-    return _scored(docs, field, text_col).filter(F.col("__score") >= KEEP).select(*docs.columns)
+    return row_columns(_scored(docs, field, text_col).filter(F.col("score") >= KEEP), docs)

@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_runs, mix, row_key, slices, stored, words
+from .common import hash_runs, mix, row_columns, row_key, slices, stored, whole_row, words
 from .graph import components
 
 SHINGLE = 5  # words
@@ -404,7 +404,6 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     chosen = classes(docs, id_col, text_col, least).groupBy("root").agg(F.min(F.struct("id", "th")).alias("first"))
     chosen = chosen.select(F.col("first.id").alias("__cid"), F.col("first.th").alias("__cth"))
-    keys = row_key(id_col, text_col)
-    keyed = docs.withColumns({"__id": keys[0], "__text": keys[1]})
+    keyed = docs.select(*row_key(id_col, text_col), whole_row(docs))
     kept = keyed.join(chosen, (F.col("__id") == F.col("__cid")) & (F.col("__text") == F.col("__cth")), "left_semi")
-    return kept.dropDuplicates(["__id", "__text"]).select(*docs.columns)
+    return row_columns(kept.dropDuplicates(["__id", "__text"]), docs)

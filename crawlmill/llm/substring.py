@@ -8,14 +8,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import hash_runs, mix, row_key, slices, stored, words
+from .common import hash_runs, mix, row_columns, row_key, slices, stored, whole_row, words
 from .fm_index import FmIndex
 
 WINDOW = 13  # words
 ANCHOR = 4  # words of an anchor; the smallest anchor hash in a window decides the window's shard
-SHARD_BYTES = 4 << 20  # text whose windows make one shard, about
-SHARDS_PER_TASK = 4
+SHARD_BYTES = 1 << 20  # text whose windows make one shard, about
+SHARDS_PER_TASK = 16
+SLICE_BYTES = 2 << 20  # text cut into segments at once
 SAMPLE_DOCS = 2_000  # documents looked at to find anchors so common that one shard could not hold them
 HOT_SHARE = 0.02  # share of those documents that makes an anchor common
 MOST_HOT = 1_000
@@ -82,7 +84,7 @@ def route(shards: int, hot: set[int], window: int, anchor: int):
 
     def run(batches):
         for batch in batches:
-            for lo, hi in slices(batch, "text"):
+            for lo, hi in slices(batch, "text", SLICE_BYTES):
                 part = batch.slice(lo, hi - lo)
                 (text, start, size, key), (h, first, end, at, data) = segments(part.column("text"), window, anchor)
                 if not len(start):
@@ -240,7 +242,7 @@ def repeated_ranges(source: DataFrame, window: int = WINDOW, anchor: int = ANCHO
 
 
 def _kept(docs: DataFrame, id_col: str, text_col: str, window: int, anchor: int) -> DataFrame:
-    """All columns of ``docs`` and ``__n_words``, ``__n_removed``, ``__sha`` and ``__kept``, the text without its repeated words."""
+    """``row`` (all columns of ``docs``), ``n_words``, ``n_removed``, ``sha`` and ``kept``, the text without its repeated words."""
     text = F.col(text_col).cast("string")
     keys = [k.alias(n) for k, n in zip(row_key(id_col, text_col), ("id", "th"), strict=True)]
     ranges = repeated_ranges(docs.select(*keys, text.alias("text")), window, anchor)
@@ -248,17 +250,16 @@ def _kept(docs: DataFrame, id_col: str, text_col: str, window: int, anchor: int)
         # a document's ranges, at most its windows
         F.collect_set(F.struct("start", "n")).alias("__ranges")
     )
-    keys = row_key(id_col, text_col)
-    wide = docs.withColumns({"__id": keys[0], "__text": keys[1], "__body": text})
+    wide = docs.select(*row_key(id_col, text_col), whole_row(docs), text.alias("body"))
     joined = wide.join(per_doc, (F.col("__id") == F.col("__rid")) & (F.col("__text") == F.col("__rth")), "left")
-    names = docs.columns
-    joined = joined.select(*names, "__body", F.col("__ranges.start").alias("__start"), F.col("__ranges.n").alias("__n"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    joined = joined.select("row", "body", F.col("__ranges.start").alias("start"), F.col("__ranges.n").alias("n"))
+    made = "n_words bigint, n_removed bigint, sha string, kept string"
+    schema = T.StructType([joined.schema["row"], *T.StructType.fromDDL(made)])
 
     def run(batches):
         for batch in batches:
             n_words, removed, sha, texts = [], [], [], []
-            columns = (batch.column(c).to_pylist() for c in ("__body", "__start", "__n"))
+            columns = (batch.column(c).to_pylist() for c in ("body", "start", "n"))
             for body, starts, sizes in zip(*columns, strict=True):
                 ws = body.encode().split() if body else []
                 left = ws
@@ -273,11 +274,9 @@ def _kept(docs: DataFrame, id_col: str, text_col: str, window: int, anchor: int)
                 sha.append(hashlib.sha256(line).hexdigest())
                 texts.append(line.decode() if len(left) < len(ws) else body)
             made = [pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(texts, pa.string())]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in names), *made], names=[*names, "__n_words", "__n_removed", "__sha", "__kept"]
-            )
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *made], names=["row", "n_words", "n_removed", "sha", "kept"])
 
-    return joined.mapInArrow(run, f"{schema}, __n_words bigint, __n_removed bigint, __sha string, __kept string")
+    return joined.mapInArrow(run, schema)
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
@@ -298,12 +297,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     """
     two = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("body"))
     found = _kept(two, "doc", "body", window, anchor)
-    return found.select(
-        F.col("doc").alias(id_col), F.col("__n_words").alias("n_words"), F.col("__n_removed").alias("n_removed"), F.col("__sha").alias("kept_sha256")
-    )
+    return found.select(F.col("row.doc").alias(id_col), "n_words", "n_removed", F.col("sha").alias("kept_sha256"))
 
 
 def rewritten(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """The rows and columns of ``docs``; a text that lost words becomes its kept words joined by spaces, others stay."""
     found = _kept(docs, id_col, text_col, window, anchor)
-    return found.select(*[F.col("__kept").alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    return row_columns(found, docs, **{text_col: F.col("kept")})
