@@ -20,6 +20,8 @@ SLICE_BYTES = 1 << 20  # text aligned at once; a longer text alone
 MEMO_UNITS = 300_000  # stretches between spaces whose ids a worker remembers; a full memo starts anew
 LONG_UNIT = 64  # code points; longer stretches are not remembered
 
+_LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
+
 
 def _byte_level() -> dict[str, int]:
     """Byte of each character in a byte-level vocabulary: printable ones stand for themselves, the others follow from 256 on."""
@@ -53,38 +55,70 @@ class Pair:
         self.b_sizes = np.array([len(x) for x in self.b_bytes], np.int64)
         # no token of either has a space after anything but white space, so text can be cut before a lone space
         self.cuts = not any(re.search(r"\S ", x.decode("utf-8", "ignore")) for x in chain(self.a_bytes, self.b_bytes))
-        self.memo: dict[str, tuple[bytes, bytes]] = {}
+        self.memo_a: dict[str, bytes] = {}
+        self.memo_b: dict[str, bytes] = {}
         # ids as text, with what follows them: inside a group, at the end of its A side, at the end of the group
         ids = range(max(len(self.a_bytes), len(self.b_bytes)))
         self.names = np.array([f"{i}{c}" for c in ",|;" for i in ids], "S")
         self.n_names = len(ids)
 
-    def _encode(self, units: list[str]) -> list[tuple[bytes, bytes]]:
-        a = self.a.encode_batch_fast([" " + u for u in units], add_special_tokens=False)
-        b = self.b.encode(units, num_threads=1)
-        return [(np.array(x.ids, "<u4").tobytes(), np.array(y, "<u4").tobytes()) for x, y in zip(a, b, strict=True)]
+    def _joined(self, ids: np.ndarray, names: list[bytes], whole: bytes) -> bytes:
+        """``ids`` as bytes if their tokens join to ``whole``, else none."""
+        return ids.tobytes() if b"".join([names[i] for i in ids.tolist()]) == whole else b""
+
+    def _one(self, text: str) -> tuple[bytes, bytes]:
+        """Ids of a space and the text by A and B; without ids where the tokenizer changes its bytes."""
+        whole = b" " + text.encode()
+        a = np.array(self.a.encode(" " + text, add_special_tokens=False).ids, "<u4")
+        b = np.array(self.b.encode(text, num_threads=1), "<u4")
+        return self._joined(a, self.a_bytes, whole), self._joined(b, self.b_bytes, whole)
+
+    def _remember(self, units: list[str]) -> None:
+        """Encode many units in one text and cut its ids where they end; one by one if ids do not end there."""
+        text = " ".join(units)
+        whole = b" " + text.encode()
+        a = np.array(self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, "<u4")
+        b = np.array(self.b.encode(text, num_threads=1), "<u4")
+        want = np.cumsum([len(u.encode()) + 1 for u in units])
+        cuts = []
+        for ids, names, sizes in ((a, self.a_bytes, self.a_sizes), (b, self.b_bytes, self.b_sizes)):
+            if self._joined(ids, names, whole):
+                ends = np.cumsum(sizes[ids])
+                cut = np.searchsorted(ends, want)
+                if (ends[cut] == want).all():
+                    cuts.append([0, *(4 * (cut + 1)).tolist()])
+        if len(cuts) < 2:
+            for u in units:
+                self.memo_a[u], self.memo_b[u] = self._one(u)
+            return
+        for memo, ids, cut in zip((self.memo_a, self.memo_b), (a, b), cuts, strict=True):
+            data = ids.tobytes()
+            memo.update(zip(units, [data[x:y] for x, y in zip(cut, cut[1:], strict=False)], strict=True))
 
     def ids(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
-        """Ids of a space and each text, by A and by B, as little-endian 32-bit numbers."""
+        """Ids of a space and each text, by A and by B, as little-endian 32-bit numbers; none if either changes its bytes."""
         if not self.cuts:
-            return self._encode(texts)
+            return [(x, y) if x and y else (b"", b"") for x, y in map(self._one, texts)]
         gc.disable()  # nothing here makes cycles, and collections over many small objects are slow
         try:
-            split = [re.split(r"(?<=\S) (?=\S)", t) for t in texts]
-            new = list(set(chain.from_iterable(split)).difference(self.memo))
+            split = [_LONE_SPACE.split(t) for t in texts]
+            new = list(set(chain.from_iterable(split)).difference(self.memo_a))
+            if len(self.memo_a) + len(new) > MEMO_UNITS:
+                self.memo_a.clear(), self.memo_b.clear()
+                new = list(set(chain.from_iterable(split)))
             long = [u for u in new if len(u) > LONG_UNIT]
-            new = [u for u in new if len(u) <= LONG_UNIT]
-            if len(self.memo) + len(new) > MEMO_UNITS:
-                self.memo.clear()
-                new = list({u for u in chain.from_iterable(split) if len(u) <= LONG_UNIT})
-            found = {}
-            for into, units, step in ((self.memo, new, 5000), (found, long, 50)):
+            short = [u for u in new if len(u) <= LONG_UNIT]
+            for units, step in ((short, 500), (long, 1)):
                 for at in range(0, len(units), step):
-                    part = units[at : at + step]
-                    into.update(zip(part, self._encode(part), strict=True))
-            memo = self.memo
-            rows = [[memo.get(u) or found[u] for u in us] for us in split]
-            return [(b"".join([x for x, _ in r]), b"".join([y for _, y in r])) for r in rows]
+                    self._remember(units[at : at + step])
+            get_a, get_b = self.memo_a.__getitem__, self.memo_b.__getitem__
+            out = []
+            for us in split:
+                a, b = list(map(get_a, us)), list(map(get_b, us))
+                out.append((b"".join(a), b"".join(b)) if all(a) and all(b) else (b"", b""))
+            for u in long:
+                del self.memo_a[u], self.memo_b[u]
+            return out
         finally:
             gc.enable()
 
@@ -96,29 +130,28 @@ def most_pairs(a_bytes: list[bytes], b_bytes: list[bytes]) -> int:
     return tails(a, b) + tails(b, a)
 
 
-def overlaps(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-    """All pairs of overlapping tokens: ``doc``, places ``i`` and ``j``, ``a_end``, ``b_end``, in text order.
+def overlaps(a: pd.DataFrame, b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of overlapping tokens, as places ``i`` in ``a`` and ``j`` in ``b``; in no order, each once.
 
-    Both frames have ``doc``, ``start`` and ``end`` in order, places counted over the whole batch. Each token's start lies in
-    one token of the other side: the last one that starts there or before. A pair overlaps exactly if one of the
-    two starts inside the other, so the union of both directions is complete.
+    Both frames have ``doc`` and ``start`` in order, one row a token. Each token's start lies in one token of the other side:
+    the last one that starts there or before. A pair overlaps exactly if one of the two starts inside the other,
+    so the union of both directions is complete.
     """
-    left = a.rename(columns={"end": "a_end"}).assign(i=np.arange(len(a)))
-    right = b.rename(columns={"end": "b_end"}).assign(j=np.arange(len(b)))
+    left, right = a.assign(i=np.arange(len(a))), b.assign(j=np.arange(len(b)))
     one = pd.merge_asof(left, right, on="start", by="doc")
     two = pd.merge_asof(right, left, on="start", by="doc")
-    both = pd.concat([one, two[one.columns]], ignore_index=True)
-    # starts at the same place are found from both sides
-    key = (both["i"].to_numpy() * (len(b) + 1)) + both["j"].to_numpy()
-    return both.iloc[np.unique(key, return_index=True)[1]]
+    # starts at the same place are found in the first direction already
+    two = two[a["start"].to_numpy()[two["i"].to_numpy()] != b["start"].to_numpy()]
+    pairs = [np.concatenate([one[c].to_numpy(), two[c].to_numpy()]) for c in "ij"]
+    return pairs[0], pairs[1]
 
 
-def _frame(ids: list[np.ndarray], sizes: np.ndarray) -> tuple[np.ndarray, pd.DataFrame]:
-    """All ids of a batch, and each token's text and place among the bytes of all texts."""
+def _frame(ids: list[np.ndarray], sizes: np.ndarray) -> tuple[np.ndarray, pd.DataFrame, np.ndarray]:
+    """All ids of a batch, each token's text and start among the bytes of all texts, and its end."""
     flat = np.concatenate([*ids, np.zeros(0, np.uint32)]).astype(np.int64)
     doc = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
     ends = np.cumsum(sizes[flat])
-    return flat, pd.DataFrame({"doc": doc, "start": ends - sizes[flat], "end": ends})
+    return flat, pd.DataFrame({"doc": doc, "start": ends - sizes[flat]}), ends
 
 
 def _aligned(texts: list[str | None], pair: Pair, with_overlaps: bool):
@@ -127,17 +160,16 @@ def _aligned(texts: list[str | None], pair: Pair, with_overlaps: bool):
     out = [(0, 0, None, np.zeros(0, np.int64), [])] * len(texts)
     ids_a, ids_b, kept = [], [], []
     for k, (x, y) in zip(live, pair.ids([texts[k] for k in live]), strict=True):
-        a, b = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
-        whole = b" " + texts[k].encode()
-        if b"".join([pair.a_bytes[i] for i in a.tolist()]) == whole and b"".join([pair.b_bytes[i] for i in b.tolist()]) == whole:
-            ids_a.append(a), ids_b.append(b), kept.append(k)
+        if x:
+            ids_a.append(np.frombuffer(x, "<u4")), ids_b.append(np.frombuffer(y, "<u4")), kept.append(k)
     if not kept:
         return out
-    flat_a, a = _frame(ids_a, pair.a_sizes)
-    flat_b, b = _frame(ids_b, pair.b_sizes)
-    every = overlaps(a, b)
-    ends = every[every["a_end"].to_numpy() == every["b_end"].to_numpy()]
-    i, j, doc = ends["i"].to_numpy(), ends["j"].to_numpy(), ends["doc"].to_numpy()
+    flat_a, a, a_ends = _frame(ids_a, pair.a_sizes)
+    flat_b, b, b_ends = _frame(ids_b, pair.b_sizes)
+    all_i, all_j = overlaps(a, b)
+    together = a_ends[all_i] == b_ends[all_j]
+    i, j = np.sort(all_i[together]), np.sort(all_j[together])
+    doc = a["doc"].to_numpy()[i]
     links = flat_a[i] * len(pair.b_bytes) + flat_b[j]
     # written order: a group's A tokens, then its B tokens
     last_a, last_b = np.zeros(len(flat_a), bool), np.zeros(len(flat_b), bool)
@@ -156,12 +188,14 @@ def _aligned(texts: list[str | None], pair: Pair, with_overlaps: bool):
     cut = np.searchsorted(doc, np.arange(len(kept) + 1))
     if with_overlaps:
         first_a, first_b = np.cumsum([0, *map(len, ids_a)]), np.cumsum([0, *map(len, ids_b)])
-        by_doc = np.searchsorted(every["doc"].to_numpy(), np.arange(len(kept) + 1))
+        order = np.lexsort((all_j, all_i))
+        all_i, all_j = all_i[order], all_j[order]
+        by_doc = np.searchsorted(a["doc"].to_numpy()[all_i], np.arange(len(kept) + 1))
     for n, k in enumerate(kept):
         pairs = []
         if with_overlaps:
-            rows = every.iloc[by_doc[n] : by_doc[n + 1]]
-            pairs = [{"a": x, "b": y} for x, y in zip((rows["i"] - first_a[n]).tolist(), (rows["j"] - first_b[n]).tolist(), strict=True)]
+            rows = slice(by_doc[n], by_doc[n + 1])
+            pairs = [{"a": x, "b": y} for x, y in zip((all_i[rows] - first_a[n]).tolist(), (all_j[rows] - first_b[n]).tolist(), strict=True)]
         out[k] = len(ids_a[n]), len(ids_b[n]), data[at[n] : at[n + 1] - 1], links[cut[n] : cut[n + 1]], pairs
     return out
 

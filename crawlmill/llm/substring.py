@@ -17,7 +17,7 @@ WINDOW = 13  # words
 ANCHOR = 4  # words of an anchor; the smallest anchor hash in a window decides the window's shard
 SHARD_BYTES = 1 << 20  # text whose windows make one shard, about
 SHARDS_PER_TASK = 16
-SLICE_BYTES = 2 << 20  # text cut into segments at once
+SLICE_BYTES = 4 << 20  # text cut into segments at once
 SAMPLE_DOCS = 2_000  # documents looked at to find anchors so common that one shard could not hold them
 HOT_SHARE = 0.02  # share of those documents that makes an anchor common
 MOST_HOT = 1_000
