@@ -245,6 +245,9 @@ def test_ids_by_memo_are_those_of_whole_texts(token_texts, monkeypatch):
     for _ in range(2):
         for t, (x, y) in zip(texts, pair.ids(texts), strict=True):
             a, b = whole_tokens(t, pair)
+            whole = (" " + t).encode()
+            if b"".join(pair.a_bytes[i] for i in a) != whole or b"".join(pair.b_bytes[i] for i in b) != whole:
+                a, b = [], []
             assert np.frombuffer(x, "<u4").tolist() == a and np.frombuffer(y, "<u4").tolist() == b
 
 
