@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.core import round_to
 from ..operators import terms as K
+from ..operators.overlap import corpus_overlap, keyword_sets, set_classes
 from ..operators.series import score_trend
 from ..sources.readers import read_table
 from . import inputs as I
@@ -209,6 +211,31 @@ def content_compare(spark, folder):
     return compared.withColumns({c: F.concat_ws(",", c) for c in ("shared", "unique_to_a", "unique_to_b")})
 
 
+_LEAST_OVERLAP = 0.5
+
+_CLASS_SQL = """same AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY list_sort(ks)) AS same_as, ks FROM sets WHERE len(ks) > 0)"""
+
+
+@query(
+    "content_overlap_pairs",
+    f"""WITH {I.DOCS_SQL}, {_SET_SQL}, {_CLASS_SQL}, items AS (
+  SELECT doc_id, len(ks) AS n, unnest(ks) AS w FROM same WHERE doc_id = same_as),
+met AS (SELECT x.doc_id AS a, y.doc_id AS b, any_value(x.n) AS na, any_value(y.n) AS nb, count(*) AS shared
+  FROM items x JOIN items y ON x.w = y.w AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id)
+SELECT a, b, shared, na - shared AS only_a, nb - shared AS only_b, {rnd("shared / (na + nb - shared)", 6)} AS similarity
+FROM met WHERE shared / (na + nb - shared) >= {_LEAST_OVERLAP}""",
+)
+def content_overlap_pairs(spark, folder):
+    """All pairs of texts, up to equal keyword sets, of which half the keywords or more are shared."""
+    pairs = corpus_overlap(I.docs(spark, folder), "doc_id", "text", _LEAST_OVERLAP)
+    return pairs.withColumn("similarity", round_to("similarity", 6))
+
+
+@query("content_overlap_classes", f"WITH {I.DOCS_SQL}, {_SET_SQL}, {_CLASS_SQL} SELECT doc_id, same_as FROM same")
+def content_overlap_classes(spark, folder):
+    return set_classes(keyword_sets(I.docs(spark, folder), "doc_id", "text"), "doc_id")
+
+
 def _gaps(spark, folder):
     table = K.keyword_table(I.docs(spark, folder), "source", "text")
     number = F.regexp_extract("source", "([0-9]+)$", 1).cast("int")
