@@ -8,6 +8,7 @@ from ..functions.core import round_to
 from ..functions.records import quality_of_record
 from ..operators import quality as Q
 from ..operators import rules as V
+from ..operators.record_profile import completeness_of_records, profile_records
 from ..sources.readers import read_table
 from . import inputs as I
 from .registry import query, rnd
@@ -112,6 +113,53 @@ def detect_types_variant(spark, folder):
     return Q.detect_types(read_table(spark, folder, "events").selectExpr(f"{record} AS r"), "r")
 
 
+# records of which some are broken, no objects or missing
+_ROUGH_RECORD = f"""CASE WHEN user_id % 17 = 1 THEN '{{"k": ' WHEN user_id % 19 = 2 THEN '[1, 2]' WHEN user_id % 23 = 3 THEN NULL ELSE {_RECORD} END"""
+
+_FIELDS_SQL = f"""recs AS (SELECT {_ROUGH_RECORD} AS r FROM events),
+good AS (SELECT r FROM recs WHERE json_valid(r) AND json_type(r) = 'OBJECT'),
+totals AS (SELECT (SELECT count(*) FROM recs) AS records, (SELECT count(*) FROM good) AS readable),
+keys AS (SELECT unnest(json_keys(r)) AS key, r FROM good),
+fields AS (SELECT key, json_type(r, '$.' || key) AS k, json_extract_string(r, '$.' || key) AS t FROM keys)"""
+
+
+@query(
+    "profile_json_records",
+    f"""WITH {_FIELDS_SQL}, counts AS (SELECT key, count(*) FILTER (k <> 'NULL') AS filled, count(*) FILTER (k = 'BOOLEAN') AS b,
+  count(*) FILTER (k IN ('UBIGINT', 'BIGINT', 'DOUBLE')) AS n, count(*) FILTER (k = 'VARCHAR') AS s,
+  count(*) FILTER (k = 'VARCHAR' AND regexp_matches(t, '{_DATE_LIKE}')) AS d, count(DISTINCT t) AS u, min(t) AS lt, max(t) AS mt,
+  min(TRY_CAST(t AS DOUBLE)) AS lo, max(TRY_CAST(t AS DOUBLE)) AS hi, avg(TRY_CAST(t AS DOUBLE)) AS mean,
+  coalesce(stddev_samp(TRY_CAST(t AS DOUBLE)), 0) AS std FROM fields GROUP BY key),
+named AS (SELECT *, CASE WHEN filled = 0 THEN 'unknown' WHEN b = filled THEN 'boolean' WHEN n = filled THEN 'numeric'
+    WHEN s = filled AND d > s * 0.5 THEN 'date' WHEN s = filled THEN 'string' ELSE 'mixed' END AS dtype FROM counts)
+SELECT key, dtype, readable AS row_count, records - readable AS unreadable, readable - filled AS null_count,
+  {rnd("(readable - filled) / readable", 6)} AS null_ratio, u AS unique_count,
+  {rnd("CASE WHEN filled = 0 THEN 0 ELSE u / filled END", 6)} AS cardinality_ratio,
+  CASE WHEN dtype = 'numeric' THEN lo END AS min_value, CASE WHEN dtype = 'numeric' THEN hi END AS max_value,
+  CASE WHEN dtype = 'numeric' THEN {rnd("mean", 4)} END AS mean, CASE WHEN dtype = 'numeric' THEN {rnd("std", 4)} END AS std,
+  CASE WHEN dtype = 'string' THEN lt END AS min_text, CASE WHEN dtype = 'string' THEN mt END AS max_text
+FROM named, totals""",
+)
+def profile_json_records(spark, folder):
+    """Profile of event records of changing keys, some of them unreadable."""
+    return _shown_profile(profile_records(_rough_records(spark, folder), "r"))
+
+
+@query(
+    "json_completeness",
+    f"""WITH {_FIELDS_SQL}, cells AS (SELECT count(DISTINCT key) AS keys, count(*) FILTER (k <> 'NULL') AS filled FROM fields)
+SELECT records, readable, records - readable AS unreadable, keys, filled, {rnd("filled / (readable * keys)", 4)} AS completeness
+FROM totals, cells""",
+)
+def json_completeness(spark, folder):
+    return completeness_of_records(_rough_records(spark, folder), "r")
+
+
+def _rough_records(spark, folder):
+    record = _ROUGH_RECORD.replace("VARCHAR", "STRING")
+    return read_table(spark, folder, "events").selectExpr(f"{record} AS r")
+
+
 @query(
     "completeness",
     f"""WITH {_HOLED_EVENTS_SQL}, c AS (SELECT count(*) AS row_count, count(*) * 8 AS cells,
