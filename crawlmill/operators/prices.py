@@ -77,14 +77,16 @@ def sane_prices(observations: DataFrame, price: str = "price") -> DataFrame:
 
 
 def items_to_observations(
-    items: DataFrame, name_field: str = "name", price_field: str = "price"
+    items: DataFrame, name_field: str | Column = "name", price_field: str | Column = "price"
 ) -> DataFrame:
     """Scraped items as observations: blank names or prices and unreadable prices are left out.
 
-    Needs ``target``, ``fields`` (map), ``observed_at`` and ``seq``; the source is the target name.
+    Needs ``target``, ``fields`` (map), ``observed_at`` and ``seq``; the source is the target name. The names of
+    the two fields may be columns, when they differ by target.
     """
     given = lambda c: F.coalesce(c != "", F.lit(False))
-    name, price = F.try_element_at("fields", F.lit(name_field)), F.try_element_at("fields", F.lit(price_field))
+    field = lambda f: F.try_element_at("fields", f if isinstance(f, Column) else F.lit(f))
+    name, price = field(name_field), field(price_field)
     return (
         items.filter(given(name) & given(price))
         .select(
@@ -97,6 +99,25 @@ def items_to_observations(
     )
 
 
+def target_items(items: DataFrame, targets: DataFrame) -> DataFrame:
+    """Observations of the items of known targets, each read by its target's own field names.
+
+    ``targets`` has ``target``, ``name_field`` and ``price_field``, one row a target; items of other targets are left out.
+    Works on a stream of items too: the targets are a table, read again for every micro-batch.
+    """
+    named = targets.select("target", F.col("name_field").alias("__name"), F.col("price_field").alias("__price"))
+    read = items_to_observations(items.join(named, "target"), F.col("__name"), F.col("__price"))
+    return read.drop("__name", "__price")
+
+
+def ingest_targets(
+    items: DataFrame, targets: DataFrame, threshold_pct: float = DEFAULT_THRESHOLD, order: Sequence[str] = ORDER
+) -> DataFrame:
+    """Alerts raised by the items of known targets; an item that comes twice (equal product, source and order) counts once."""
+    seen = target_items(items, targets).dropDuplicates(["product", "source", *order])
+    return price_alerts(seen, threshold_pct, order)
+
+
 def ingest_items(
     items: DataFrame,
     name_field: str = "name",

@@ -38,15 +38,21 @@ def rules(robots: DataFrame, agent: str) -> DataFrame:
 def gate(urls: DataFrame, robots: DataFrame, agent: str, url: str = "url") -> DataFrame:
     """All URLs with ``allowed``; sites without rules allow everything.
 
-    Rules are merged to one row per site first, so the join never multiplies URLs; a site with a large share of the
-    URLs is split at run time. Equal rule lists of a site are dropped before they are merged.
+    A rule blocks the paths that begin with it. No list of rules is held per site: a path is cut to prefixes of just the
+    lengths that its site's rules have, and those meet the rules by equality of site and prefix. So a URL costs as many rows
+    as its site has rule lengths up to its own, however many rules there are. Paths that stand in several URLs are
+    judged once; a site, or a rule, with a large share of the URLs is split at run time.
     """
-    site_rules = robots.select(
-        F.col("domain").alias("__site"), disallowed_paths("robots_text", agent).alias("__rules")
-    ).filter(F.size("__rules") > 0)
-    merged = F.array_distinct(F.flatten(F.collect_list("__rules")))
-    site_rules = site_rules.distinct().groupBy("__site").agg(merged.alias("__rules"))
+    listed = robots.select(F.col("domain").alias("site"), F.explode(disallowed_paths("robots_text", agent)).alias("prefix")).distinct()
+    # at most one length for each code point of the longest rule
+    by_site = listed.groupBy("site").agg(F.collect_set(F.char_length("prefix")).alias("lengths"), F.bool_or(F.col("prefix") == "/").alias("closed"))
     at = urls.withColumns({"__site": U.site(url), "__path": F.coalesce(F.nullif(U.path(url), F.lit("")), F.lit("/"))})
-    joined = at.join(site_rules, "__site", "left")
-    blocked = F.exists("__rules", lambda r: (r == "/") | F.startswith(F.col("__path"), r))
-    return joined.withColumn("allowed", ~F.coalesce(blocked, F.lit(False))).drop("__site", "__path", "__rules")
+    paths = at.select(F.col("__site").alias("site"), F.col("__path").alias("path")).distinct().join(by_site, "site")
+    short = F.filter("lengths", lambda n: n <= F.char_length("path"))
+    prefixes = paths.filter(~F.col("closed")).select("site", "path", F.explode(short).alias("n"))
+    prefixes = prefixes.select("site", "path", F.left("path", F.col("n")).alias("prefix"))
+    met = prefixes.join(listed, ["site", "prefix"], "left_semi").select("site", "path")
+    blocked = met.unionByName(paths.filter("closed").select("site", "path")).distinct()
+    blocked = blocked.select(F.col("site").alias("__b_site"), F.col("path").alias("__b_path"))
+    joined = at.join(blocked, (F.col("__site") == F.col("__b_site")) & (F.col("__path") == F.col("__b_path")), "left")
+    return joined.withColumn("allowed", F.col("__b_site").isNull()).drop("__site", "__path", "__b_site", "__b_path")

@@ -199,6 +199,21 @@ EXTRA_TEXT = (
 )
 
 
+def scraped_items_of(events: DataFrame) -> DataFrame:
+    """Events as items that a shop's page gave; some have no price, every fifth is delivered twice."""
+    shown = F.concat(F.lit("$"), F.col("value").cast("string"))
+    price = F.when(F.col("event_id") % 11 == 0, "sold out").when(F.col("event_id") % 13 == 0, "").otherwise(shown)
+    field = F.when(F.col("user_id") % 2 == 0, "price").otherwise("cost")
+    times = F.when(F.col("event_id") % 5 == 0, 2).otherwise(1)
+    return events.select(
+        F.concat(F.lit("shop "), F.col("user_id").cast("string")).alias("target"),
+        F.create_map(F.lit("title"), F.col("event_type"), field, price).alias("fields"),
+        F.col("ts").cast("timestamp").alias("observed_at"),
+        F.col("event_id").alias("seq"),
+        F.explode(F.sequence(F.lit(1), times)).alias("delivery"),
+    ).drop("delivery")
+
+
 def docs(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with a closing passage of plain English on three of four."""
     kind = F.col("doc_id") % 4

@@ -121,6 +121,25 @@ def stream_price_alerts(spark, folder):
     return _drained(spark, stream, "alerts").drop("observed_at")
 
 
+@query(
+    "stream_ingest",
+    f"""WITH items AS (SELECT event_type AS product, user_id, event_id AS seq, ts,
+    CASE WHEN event_id % 11 = 0 THEN 'sold out' WHEN event_id % 13 = 0 THEN '' ELSE '$' || CAST(value AS VARCHAR) END AS price FROM events),
+obs AS (SELECT product, user_id AS source, ts, seq, CAST(substr(price, 2) AS DOUBLE) AS price
+  FROM items JOIN customer ON c_custkey = user_id WHERE c_acctbal > 0 AND price LIKE '$%'),
+steps AS (SELECT product, source, seq, price AS current_price,
+  lag(price) OVER (PARTITION BY product, source ORDER BY ts, seq) AS previous_price FROM obs)
+SELECT product, 'shop ' || source AS source, seq, current_price, previous_price, change_pct, alert_type FROM ({_ALERT_SQL})""",
+)
+def stream_ingest(spark, folder):
+    """Items of shops in the table of customers, some delivered twice, as a stream into price alerts."""
+    targets = read_table(spark, folder, "customer").filter("c_acctbal > 0").selectExpr(
+        "concat('shop ', c_custkey) AS target", "'title' AS name_field", "CASE WHEN c_custkey % 2 = 0 THEN 'price' ELSE 'cost' END AS price_field"
+    )
+    stream = M.ingested(I.scraped_items_of(_stream(spark, folder, "events")), targets)
+    return _drained(spark, stream, "ingest").drop("observed_at")
+
+
 @query(
     "stream_page_changes",
     f"""WITH {I.SNAPSHOTS_SQL}, {_PAIRS_SQL}

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 
-from ..operators.prices import DEFAULT_THRESHOLD, change_alert
+from ..operators.prices import DEFAULT_THRESHOLD, change_alert, target_items
 from ..operators.snapshots import content_hash
 
 
@@ -120,6 +120,17 @@ def price_alerts(observations: DataFrame, threshold_pct: float = DEFAULT_THRESHO
     )
 
 
+def ingested(items: DataFrame, targets: DataFrame, late: str = "1 hour", threshold_pct: float = DEFAULT_THRESHOLD) -> DataFrame:
+    """The streaming form of ``prices.ingest_targets``: alerts of a stream of scraped items that may be delivered again.
+
+    Items meet the table of targets, which is read anew for every micro-batch; repeated deliveries within ``late`` of each
+    other are dropped, and what is left feeds the price alerts. State: an item for ``late``, one price per product and
+    source. An item more than ``late`` older than the newest one of the micro-batches before is dropped.
+    """
+    seen = target_items(items, targets).withWatermark("observed_at", late)
+    return price_alerts(seen.dropDuplicatesWithinWatermark(["product", "source", "observed_at", "seq"]), threshold_pct)
+
+
 def page_changes(snapshots: DataFrame) -> DataFrame:
     """One event whenever a URL's content hash differs from the one seen before."""
     hashed = snapshots.select("url", "ts", "seq", content_hash("content").alias("content_hash"))

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from helpers import rows
 from pyspark.sql import functions as F
@@ -107,3 +109,27 @@ def test_gate(spark):
     assert allowed(spark, "http://a.b/page?q=/admin", every + "/admin")
     assert allowed(spark, "https://a.b/admin", every + "/admin")  # another scheme, other rules
     assert not allowed(spark, "http://a.b/x", every + "/y\nDisallow: /x")
+
+
+def test_gate_against_every_rule(spark):
+    """Many rules of many lengths, sites with most URLs, repeated URLs, rules that close a site."""
+    rng = random.Random(5)
+    part = lambda: "".join(rng.choice("ab/é*") for _ in range(rng.randint(1, 5)))
+    rules = {f"d{i}.com": [f"/{part()}" for _ in range(rng.randint(0, 60))] for i in range(8)}
+    rules["shut.com"] = ["/x", "/"]
+    rules["star.com"] = ["*", "no/slash"]
+    robots = [(d, "User-agent: *\n" + "\n".join(f"Disallow: {p}" for p in ps)) for d, ps in rules.items()]
+    robots += [("d1.com", "User-agent: *\nDisallow: /second/file"), ("empty.com", ""), ("none.com", None)]
+    rules["d1.com"] = [*rules["d1.com"], "/second/file"]
+    sites = ["d0.com"] * 40 + list(rules) + ["other.com", "empty.com", "none.com"]
+    urls = [f"https://{rng.choice(sites)}{rng.choice(['', '/'])}{part() if rng.random() < 0.8 else ''}".replace("com*", "com/*").replace("comé", "com/é") for _ in range(600)]
+    urls = [u for u in urls if u.split("//")[1].count("com") == 1 and u.split(".com")[1][:1] in ("", "/")]
+    df = spark.createDataFrame([(u, i) for i, u in enumerate(urls)], "url string, n int").repartition(4)
+    files = spark.createDataFrame([(f"https://{d}", t) for d, t in robots], "domain string, robots_text string")
+    got = B.gate(df, files, "bot").collect()
+    assert len(got) == len(urls)
+    for r in got:
+        site, _, path = r["url"].removeprefix("https://").partition("/")
+        path = "/" + path
+        assert r["allowed"] == (not any(p == "/" or path.startswith(p) for p in rules.get(site, []))), r
+    assert {r["allowed"] for r in got} == {True, False}

@@ -73,3 +73,30 @@ def test_run_counts_close_windows(spark, tmp_path):
     left = M.open_windows(df, "1 hour", "10 minutes")
     assert rows(left, "run_count", "error_count") == [(8, 4)]
     assert M.open_windows(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("files", [1, 4])
+def test_ingested_items(spark, tmp_path, files):
+    """Items of known shops by the shop's field names, repeated deliveries in the same or a later micro-batch counted once."""
+    rng = random.Random(11)
+    data = []
+    for i in range(200):
+        shop = rng.choice(["s", "t", "unknown", None])
+        price = rng.choice(["$10.00", "$11.00", "20", "1,000.50", "sold out", "", None])
+        field = rng.choice(["price", "cost"])
+        row = (shop, {"title": rng.choice("pq"), field: price}, i)
+        # a second delivery comes up to thirty places later
+        data.append((*row, i))
+        if i % 4 == 0:
+            data.append((*row, i + rng.randint(0, 30)))
+    data.sort(key=lambda r: r[3])
+    rows_ = [(t, f, k, n) for n, (t, f, k, _) in enumerate(data)]
+    # `seq` orders the files here; `item` is the order of the items
+    df = spark.createDataFrame(rows_, "target string, fields map<string,string>, item bigint, seq bigint")
+    df = df.withColumn("observed_at", F.timestamp_seconds(F.col("item") * 60 + 1_700_000_000))
+    targets = spark.createDataFrame([("s", "title", "price"), ("t", "title", "cost"), ("closed", "title", "cost")], "target string, name_field string, price_field string")
+    as_items = lambda d: d.drop("seq").withColumnRenamed("item", "seq")
+    got = drained(spark, lambda d: M.ingested(as_items(d), targets), df, files, tmp_path)
+    want = P.ingest_targets(as_items(df), targets)
+    assert want.count() > 20
+    assert sorted(rows(got.select(want.columns)), key=str) == sorted(rows(want), key=str)
