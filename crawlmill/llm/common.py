@@ -20,6 +20,7 @@ _RUNTIME = {
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
     # long texts: few rows in one Arrow batch
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
 }
 
 

@@ -14,6 +14,7 @@ TRAIN_DOCS = 6_000  # labelled documents the field is fitted on, chosen by a has
 TRAIN_LINES = 200_000  # lines of all of them together; a document that no longer fits is passed over
 STEPS = 300
 RIDGE = 1e-3
+SLICE_BYTES = 1 << 20  # text worked on at once
 KEEP = 0.7  # score from which a document counts as good
 
 _KINDS = 10  # of bytes, see _byte_kinds
@@ -213,7 +214,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def run(batches):
         for batch in batches:
-            for lo, hi in slices(batch, "text"):
+            for lo, hi in slices(batch, "text", SLICE_BYTES):
                 part = batch.slice(lo, hi - lo)
                 x, _, first = line_features(part.column("text"))
                 lines = [x[a:b].astype("<f4").tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
@@ -233,7 +234,7 @@ def _scored(docs: DataFrame, field: Field | None, text_col: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for lo, hi in slices(batch, "text"):
+            for lo, hi in slices(batch, "text", SLICE_BYTES):
                 part = batch.slice(lo, hi - lo)
                 s = np.ones(hi - lo) if field is None else field.scores(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(s)], names=["row", "score"])
@@ -254,7 +255,7 @@ def score(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_col
 
     def run(batches):
         for batch in batches:
-            for lo, hi in slices(batch, "text"):
+            for lo, hi in slices(batch, "text", SLICE_BYTES):
                 part = batch.slice(lo, hi - lo)
                 s = np.ones(hi - lo) if field is None else field.scores(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(s)], names=["id", "score"])

@@ -12,6 +12,7 @@ from .common import hash_runs, mix, row_columns, row_key, slices, stored, whole_
 from .graph import components
 
 SHINGLE = 5  # words
+SLICE_BYTES = 1 << 20  # text worked on at once
 LEAST = 0.8  # weighted Jaccard similarity of a link
 BANDS, ROWS = 24, 4  # a pair at 0.8 shares no band with probability 3e-6
 MEMBERS_PER_TASK = 256  # texts compared with one leader by one task, about
@@ -107,7 +108,7 @@ def signatures(source: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for lo, hi in slices(batch, "text"):
+            for lo, hi in slices(batch, "text", SLICE_BYTES):
                 part = batch.slice(lo, hi - lo)
                 text, shingle, count, key = bags(part.column("text"))
                 sign = bag_minhash(text, shingle, count, len(part), BANDS * ROWS).reshape(len(part), BANDS, ROWS)
@@ -152,7 +153,7 @@ def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     def run(batches):
         lead = None
         for batch in batches:
-            for lo, hi in slices(batch, "text"):
+            for lo, hi in slices(batch, "text", SLICE_BYTES):
                 part = batch.slice(lo, hi - lo)
                 text, shingle, count, _ = bags(part.column("text"))
                 ends = np.searchsorted(text, np.arange(len(part) + 1))
