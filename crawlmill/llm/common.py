@@ -73,6 +73,16 @@ def worker_memo(name: str, make):
     return getattr(holder, name)
 
 
+def drop_memos(prefix: str) -> None:
+    """Free what earlier tasks of this Python worker remember under names that begin with ``prefix``.
+
+    A worker outlives its tasks: without this, the words of one operator's memo would stay in memory beside the next one's work.
+    """
+    holder = sys.modules.get("crawlmill_worker_memo")
+    for name in [n for n in vars(holder) if n.startswith(prefix)] if holder else []:
+        delattr(holder, name)
+
+
 def slices(batch: pa.RecordBatch, text_col: str, most_bytes: int = 4 << 20):
     """Row ranges (start, stop) of a batch with about ``most_bytes`` of text each; a longer text stands alone."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text_col)), 0).to_pylist()

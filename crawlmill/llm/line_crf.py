@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import row_columns, slices, whole_row, words
+from .common import drop_memos, row_columns, slices, whole_row, words
 
 TRAIN_DOCS = 6_000  # labelled documents the field is fitted on, chosen by a hash of their id
 TRAIN_LINES = 200_000  # lines of all of them together; a document that no longer fits is passed over
@@ -233,6 +233,7 @@ def _scored(docs: DataFrame, field: Field | None, text_col: str) -> DataFrame:
     source = docs.select(whole_row(docs), F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def run(batches):
+        drop_memos("tokens_")
         for batch in batches:
             for lo, hi in slices(batch, "text", SLICE_BYTES):
                 part = batch.slice(lo, hi - lo)
@@ -254,6 +255,7 @@ def score(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_col
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
+        drop_memos("tokens_")
         for batch in batches:
             for lo, hi in slices(batch, "text", SLICE_BYTES):
                 part = batch.slice(lo, hi - lo)

@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_runs, mix, row_columns, row_key, slices, stored, whole_row, words
+from .common import drop_memos, hash_runs, mix, row_columns, row_key, slices, stored, whole_row, words
 from .graph import components
 
 SHINGLE = 5  # words
@@ -107,6 +107,7 @@ def signatures(source: DataFrame) -> DataFrame:
     """``(id, th, k, size, bands, s0 ..)`` of each row of (id, th, text): ``k`` names the text's words, ``size`` is its bytes, ``bands`` its buckets, and the longs hold 4 bits of each signature component."""
 
     def run(batches):
+        drop_memos("tokens_")
         for batch in batches:
             for lo, hi in slices(batch, "text", SLICE_BYTES):
                 part = batch.slice(lo, hi - lo)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import hash_runs, mix, row_columns, row_key, slices, stored, whole_row, words
+from .common import drop_memos, hash_runs, mix, row_columns, row_key, slices, stored, whole_row, words
 from .fm_index import FmIndex
 
 WINDOW = 13  # words
@@ -83,6 +83,7 @@ def route(shards: int, hot: set[int], window: int, anchor: int):
     common = np.array(sorted(hot), np.uint64)
 
     def run(batches):
+        drop_memos("tokens_")
         for batch in batches:
             for lo, hi in slices(batch, "text", SLICE_BYTES):
                 part = batch.slice(lo, hi - lo)
@@ -190,6 +191,7 @@ def search(window: int):
             yield pa.RecordBatch.from_arrays(arrays, names=["id", "th", "start", "n"])
 
     def run(batches):
+        drop_memos("tokens_")
         held, current = [], None
         for batch in batches:
             for shard, blob in zip(batch.column("shard").to_pylist(), batch.column("blob").to_pylist(), strict=True):
