@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import gc
-from itertools import chain
+from itertools import chain, pairwise
 
-from .common import worker_memo
+from .common import text_bytes, worker_memo
 
 MEMO_WORDS = 600_000  # words (and as many word pieces) one worker remembers; a full memo starts anew
 
@@ -101,3 +101,48 @@ def encoder(path: str, end_id: int):
             gc.enable()
 
     return encode
+
+
+def column_encoder(path: str, end_id: int):
+    """A function from an Arrow column of texts (null: empty) to all its ids in line, ``end_id`` after each text's, and
+    where each text's ids start and the last end.
+
+    Words are cut and numbered by Arrow; only a column's different words meet the memo, and their ids are placed by number.
+    """
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    memo = worker_memo(f"tokens_{path}", lambda: _Memo(path))
+
+    def encode(column: pa.Array):
+        gc.disable()
+        try:
+            lists = pc.ascii_split_whitespace(column.fill_null("").cast(pa.large_string()))
+            coded = lists.flatten().cast(pa.large_binary()).dictionary_encode()
+            data, bounds = text_bytes(coded.dictionary.cast(pa.large_string()))
+            raw, bounds = data.tobytes(), bounds.tolist()
+            different = [raw[a:b] for a, b in pairwise(bounds)]
+            new = [w for w in different if w and w not in memo]
+            if len(memo) + len(new) > MEMO_WORDS:
+                memo.clear()
+                new = [w for w in different if w]
+            memo.fill(new)
+            ids = [memo[w] if w else b"" for w in different]
+        finally:
+            gc.enable()
+        known = np.frombuffer(b"".join(ids), "<u4")
+        size = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
+        start = np.cumsum(size, dtype=np.int64) - size
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        n = size[at]
+        ends = np.zeros(len(at) + 1, np.int64)
+        np.cumsum(n, out=ends[1:])
+        kind = np.int32 if max(len(known), ends[-1]) < 1 << 31 else np.int64
+        place = np.repeat((start[at] - ends[:-1]).astype(kind), n)
+        place += np.arange(len(place), dtype=kind)
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        texts = ends[offsets - offsets[0]]
+        return np.insert(known[place], texts[1:], np.uint32(end_id)), texts + np.arange(len(texts))
+
+    return encode
