@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,16 +13,19 @@ from pyspark.sql import functions as F
 from ..operators.ordering import with_position
 from .common import stored
 
-# argument schemas: name -> (required fields, optional fields), each field with its JSON type
+MOST_DEPTH = 100  # lists and objects inside each other; deeper arguments are a problem of their own
+
+# argument schemas: name -> (required fields, optional fields), each field with its JSON type, or with a dictionary of
+# type, enum, minimum, maximum, items (of an array), required and optional (of an object)
 TOOLS = {
-    "search": ({"query": "string", "limit": "integer"}, {"language": "string"}),
-    "summarize": ({"text": "string", "max_words": "integer"}, {}),
-    "translate": ({"text": "string", "target": "string"}, {"formal": "boolean"}),
+    "search": ({"query": "string", "limit": {"type": "integer", "minimum": 0, "maximum": 100}}, {"language": "string"}),
+    "summarize": ({"text": "string", "max_words": {"type": "integer", "minimum": 0}}, {}),
+    "translate": ({"text": "string", "target": {"type": "string", "enum": ["de", "en", "es", "fr"]}}, {"formal": "boolean"}),
 }
 
 
-def calls_of(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Tool traffic of plain conversations: a user's turn is a call, the assistant's turn after it its result.
+def calls_of(messages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Tool traffic of plain conversations: a user's turn is a call, the assistant's turn after it its result, any other context.
 
     Tool, arguments and needs follow from the turn's text: most calls need the call four turns before, some the one two
     turns later, which the transcript has in the wrong order; some arguments have a wrong type.
@@ -48,7 +52,10 @@ def calls_of(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     results = messages.filter(F.col("role") == "assistant").select(
         "conv_id", F.col("turn").cast("bigint").alias("turn"), before.alias("call_id"), F.col("text").alias("content")
     )
-    return calls, results
+    context = messages.filter(~F.coalesce(F.col("role").isin("user", "assistant"), F.lit(False))).select(
+        "conv_id", F.col("turn").cast("bigint").alias("turn"), F.col("text").alias("content")
+    )
+    return calls, results, context
 
 
 def _firsts(rows: DataFrame) -> DataFrame:
@@ -60,12 +67,96 @@ def _firsts(rows: DataFrame) -> DataFrame:
     return joined.withColumn("first", (rank == F.col("__least")) & F.col("call_id").isNotNull()).drop("__conv", "__call", "__least")
 
 
+_STUCK = 1 << 30  # level of the first call that no order frees
+
+_pair = ["conv_id", "call_id"]
+
+
+def _same(conv: str, call: str):
+    return F.col("conv_id").eqNullSafe(F.col(conv)) & (F.col("call_id") == F.col(call))
+
+
+def _components(edges: DataFrame) -> DataFrame:
+    """``root`` of every call in ``edges`` (conv_id, call_id, need): calls have the same root if each needs the other.
+
+    Every call takes the largest identifier among those it can reach; the calls that the bearer of that identifier
+    can reach in turn, within those of the same mark, are one component. What is left is marked anew. Rounds are
+    as many as the longest way in the calls that no order frees, which are few.
+    """
+    nodes = edges.select(*_pair).unionByName(edges.select("conv_id", F.col("need").alias("call_id"))).distinct()
+    nodes, found = stored(nodes, "nodes"), None
+    while not nodes.isEmpty():
+        here = nodes.select(F.col("conv_id").alias("n_conv"), F.col("call_id").alias("n_id"))
+        inside = edges.join(here, F.col("conv_id").eqNullSafe(F.col("n_conv")) & (F.col("need") == F.col("n_id")), "left_semi")
+        inside = stored(inside.join(here, _same("n_conv", "n_id"), "left_semi"), "inside")
+        marks = stored(nodes.withColumn("root", F.col("call_id")), "marks")
+        while True:
+            ahead = marks.select(F.col("conv_id").alias("m_conv"), F.col("call_id").alias("m_id"), F.col("root").alias("m_root"))
+            best = inside.join(ahead, F.col("conv_id").eqNullSafe(F.col("m_conv")) & (F.col("need") == F.col("m_id")))
+            best = best.groupBy(F.col("conv_id").alias("b_conv"), F.col("call_id").alias("b_id")).agg(F.max("m_root").alias("best"))
+            joined = marks.join(best, _same("b_conv", "b_id"), "left")
+            joined = joined.select(*_pair, F.greatest("root", "best").alias("root"), F.coalesce(F.col("best") > F.col("root"), F.lit(False)).alias("moved"))
+            joined = stored(joined, "marks")
+            marks = joined.drop("moved")
+            if joined.filter("moved").isEmpty():
+                break
+        reached = frontier = stored(marks.filter("call_id = root"), "reached")
+        while not frontier.isEmpty():
+            start = frontier.select(F.col("conv_id").alias("f_conv"), F.col("call_id").alias("f_id"), F.col("root").alias("f_root"))
+            to = inside.join(start, _same("f_conv", "f_id")).select("conv_id", F.col("need").alias("call_id"), F.col("f_root").alias("root")).distinct()
+            held = marks.select(F.col("conv_id").alias("m_conv"), F.col("call_id").alias("m_id"), F.col("root").alias("m_root"))
+            to = to.join(held, _same("m_conv", "m_id") & (F.col("root") == F.col("m_root")), "left_semi")
+            known = reached.select(F.col("conv_id").alias("k_conv"), F.col("call_id").alias("k_id"))
+            frontier = stored(to.join(known, _same("k_conv", "k_id"), "left_anti"), "frontier")
+            reached = reached.unionByName(frontier)
+        reached = stored(reached, "reached")
+        found = reached if found is None else found.unionByName(reached)
+        done = reached.select(F.col("conv_id").alias("k_conv"), F.col("call_id").alias("k_id"))
+        nodes = stored(nodes.join(done, _same("k_conv", "k_id"), "left_anti"), "nodes")
+    return nodes.withColumn("root", F.col("call_id")) if found is None else stored(found, "components")
+
+
+def _behind(cycles: DataFrame, needs: DataFrame) -> DataFrame:
+    """The calls (conv_id, call_id) that need one of ``cycles``, straight or through others, and are none of them."""
+    known = frontier = cycles
+    while True:
+        reached = frontier.select(F.col("conv_id").alias("f_conv"), F.col("call_id").alias("f_id"))
+        new = needs.join(reached, F.col("conv_id").eqNullSafe(F.col("f_conv")) & (F.col("need") == F.col("f_id")), "left_semi").select(*_pair).distinct()
+        held = known.select(F.col("conv_id").alias("k_conv"), F.col("call_id").alias("k_id"))
+        frontier = stored(new.join(held, _same("k_conv", "k_id"), "left_anti"), "behind")
+        if frontier.isEmpty():
+            break
+        known = known.unionByName(frontier)
+    held = cycles.select(F.col("conv_id").alias("k_conv"), F.col("call_id").alias("k_id"))
+    return known.join(held, _same("k_conv", "k_id"), "left_anti")
+
+
+def _levels(edges: DataFrame, first_level: int) -> tuple[DataFrame | None, DataFrame]:
+    """Levels of the calls in ``edges`` (conv_id, call_id, need) from ``first_level``, one above the last call needed, and the edges of calls never freed."""
+    levels, level = None, first_level
+    while not edges.isEmpty():
+        waiting = edges.select(F.col("conv_id").alias("w_conv"), F.col("call_id").alias("w_id")).distinct()
+        bound = edges.join(waiting, F.col("conv_id").eqNullSafe(F.col("w_conv")) & (F.col("need") == F.col("w_id")), "left_semi")
+        bound = bound.select(F.col("conv_id").alias("b_conv"), F.col("call_id").alias("b_id")).distinct()
+        # a call is free when none of its needs waits
+        free = edges.select(*_pair).distinct().join(bound, _same("b_conv", "b_id"), "left_anti")
+        free = stored(free.withColumn("level", F.lit(level)), "free")
+        if free.isEmpty():
+            break
+        level += 1
+        levels = free if levels is None else levels.unionByName(free)
+        gone = free.select(F.col("conv_id").alias("f_conv"), F.col("call_id").alias("f_id"))
+        edges = stored(edges.join(gone, _same("f_conv", "f_id"), "left_anti"), "waits")
+    return levels, edges
+
+
 def _ordered(calls: DataFrame) -> DataFrame:
-    """Adds ``late`` (the turn and id a call must wait for), ``level`` behind that, and ``cycle``.
+    """Adds ``late`` (the turn and id a call must wait for), ``level`` behind that, ``cycle`` and ``blocked``.
 
     A call takes the latest place among its own and those of all it needs; the few calls that wait for a later one
     are then levelled among those of the same place, in rounds. Rounds are as many as the longest chain that the
-    transcript has in the wrong order; calls that no round frees lie on a cycle or behind one.
+    transcript has in the wrong order. Calls that no round frees lie on cycles or behind them: each cycle is found
+    and levelled as one, so that a call stands behind all it needs unless that needs the call itself.
     """
     place = F.struct("turn", "call_id")
     state = stored(calls.filter("first").select("conv_id", "call_id", place.alias("own"), place.alias("late")), "places")
@@ -84,55 +175,145 @@ def _ordered(calls: DataFrame) -> DataFrame:
             break
     # needs between calls of the same place
     parent = state.select(F.col("conv_id").alias("p_conv"), F.col("call_id").alias("p_id"), F.col("late").alias("p_late"))
-    child = state.select("conv_id", "call_id", "late")
-    edges = needs.join(child, ["conv_id", "call_id"]).join(parent, (F.col("conv_id").eqNullSafe(F.col("p_conv"))) & (F.col("need") == F.col("p_id")))
+    child = state.select(F.col("conv_id").alias("c_conv"), F.col("call_id").alias("c_id"), "late")
+    edges = needs.join(child, _same("c_conv", "c_id")).join(parent, (F.col("conv_id").eqNullSafe(F.col("p_conv"))) & (F.col("need") == F.col("p_id")))
     edges = stored(edges.filter(F.col("late") == F.col("p_late")).select("conv_id", "call_id", "need"), "waits")
-    levels, level = None, 0
-    while not edges.isEmpty():
-        waiting = edges.select(F.col("conv_id").alias("w_conv"), F.col("call_id").alias("w_id")).distinct()
-        freed = edges.join(waiting, F.col("conv_id").eqNullSafe(F.col("w_conv")) & (F.col("need") == F.col("w_id")), "left_anti")
-        # a call is free when none of its needs waits
-        bound = edges.join(waiting, F.col("conv_id").eqNullSafe(F.col("w_conv")) & (F.col("need") == F.col("w_id")), "left_semi")
-        bound = bound.select(F.col("conv_id").alias("b_conv"), F.col("call_id").alias("b_id")).distinct()
-        level += 1
-        free = freed.join(bound, F.col("conv_id").eqNullSafe(F.col("b_conv")) & (F.col("call_id") == F.col("b_id")), "left_anti")
-        free = stored(free.select("conv_id", "call_id").distinct().withColumn("level", F.lit(level)), "free")
-        if free.isEmpty():
-            break
-        levels = free if levels is None else levels.unionByName(free)
-        gone = free.select(F.col("conv_id").alias("f_conv"), F.col("call_id").alias("f_id"))
-        edges = stored(edges.join(gone, F.col("conv_id").eqNullSafe(F.col("f_conv")) & (F.col("call_id") == F.col("f_id")), "left_anti"), "waits")
-    stuck = edges.select("conv_id", "call_id").unionByName(selves.select("conv_id", "call_id")).distinct()
-    marks = stuck.withColumn("level", F.lit(1 << 30))
-    marks = marks if levels is None else marks.unionByName(levels)
-    marks = marks.groupBy(F.col("conv_id").alias("m_conv"), F.col("call_id").alias("m_id")).agg(F.max("level").alias("level"))
-    joined = state.join(marks, F.col("conv_id").eqNullSafe(F.col("m_conv")) & (F.col("call_id") == F.col("m_id")), "left")
-    return joined.select("conv_id", "call_id", "late", F.coalesce("level", F.lit(0)).alias("level"))
+    levels, stuck = _levels(edges, 1)
+    cycles = selves.select(*_pair)
+    if not stuck.isEmpty():
+        # needs that are free already keep their levels
+        bound = stuck.select(F.col("conv_id").alias("w_conv"), F.col("call_id").alias("w_id")).distinct()
+        stuck = stored(stuck.join(bound, F.col("conv_id").eqNullSafe(F.col("w_conv")) & (F.col("need") == F.col("w_id")), "left_semi"), "stuck")
+        roots = _components(stuck)
+        size = roots.groupBy(F.col("conv_id").alias("s_conv"), F.col("root").alias("s_root")).agg(F.count(F.lit(1)).alias("size"))
+        roots = stored(roots.join(size, F.col("conv_id").eqNullSafe(F.col("s_conv")) & (F.col("root") == F.col("s_root"))).drop("s_conv", "s_root"), "roots")
+        cycles = cycles.unionByName(roots.filter("size > 1").select(*_pair))
+        child = roots.select(F.col("conv_id").alias("c_conv"), F.col("call_id").alias("c_id"), F.col("root").alias("c_root"))
+        parent = roots.select(F.col("conv_id").alias("p_conv"), F.col("call_id").alias("p_id"), F.col("root").alias("p_root"))
+        between = stuck.join(child, _same("c_conv", "c_id")).join(parent, F.col("conv_id").eqNullSafe(F.col("p_conv")) & (F.col("need") == F.col("p_id")))
+        between = between.filter("c_root <> p_root").select("conv_id", F.col("c_root").alias("call_id"), F.col("p_root").alias("need")).distinct()
+        ranks, _ = _levels(stored(between, "between"), _STUCK + 1)
+        late = roots.withColumn("level", F.lit(_STUCK)).select(*_pair, "root", "level")
+        if ranks is not None:
+            ranks = ranks.select(F.col("conv_id").alias("r_conv"), F.col("call_id").alias("r_root"), F.col("level").alias("rank"))
+            late = late.join(ranks, F.col("conv_id").eqNullSafe(F.col("r_conv")) & (F.col("root") == F.col("r_root")), "left")
+            late = late.select(*_pair, F.coalesce("rank", "level").alias("level"))
+        late = late.select(*_pair, "level")
+        levels = late if levels is None else levels.unionByName(late)
+    cycles = stored(cycles.distinct(), "cycles")
+    marks = cycles.withColumn("mark", F.lit("cycle")).unionByName(_behind(cycles, needs).withColumn("mark", F.lit("blocked")))
+    marks = marks.select(F.col("conv_id").alias("k_conv"), F.col("call_id").alias("k_id"), "mark")
+    joined = state.join(marks, _same("k_conv", "k_id"), "left")
+    if levels is None:
+        return joined.select(*_pair, "late", F.lit(0).alias("level"), "mark")
+    levels = levels.select(F.col("conv_id").alias("m_conv"), F.col("call_id").alias("m_id"), "level")
+    return joined.join(levels, _same("m_conv", "m_id"), "left").select(*_pair, "late", F.coalesce("level", F.lit(0)).alias("level"), "mark")
 
 
-def problems(name: str | None, arguments: str | None, tools: dict) -> tuple[object, list[str]]:
-    """The parsed arguments (None if they are no JSON object) and what is wrong with them, in order."""
+class _Bad(ValueError):
+    """What is wrong with a JSON text."""
+
+
+def parsed(text: str | None):
+    """The JSON object of a text; raises ``_Bad`` with what is wrong with it."""
 
-    def no_number(text):
-        raise ValueError(text)
+    def finite(digits):
+        value = float(digits)
+        if not math.isfinite(value):
+            raise _Bad("arguments hold a number out of range")
+        return value
+
+    def whole(digits):
+        if len(digits) > 4000:
+            raise _Bad("arguments hold a number out of range")
+        return int(digits)
+
+    def constant(name):
+        raise _Bad(f"arguments hold {name}")
+
+    def once(members):
+        found = dict(members)
+        if len(found) < len(members):
+            seen = Counter(k for k, _ in members)
+            raise _Bad(f"arguments repeat {_shown(min(k for k, n in seen.items() if n > 1))}")
+        return found
 
     try:
-        value = json.loads(arguments, parse_constant=no_number) if arguments is not None else None
-    except (ValueError, RecursionError):
+        value = json.loads(text, parse_float=finite, parse_int=whole, parse_constant=constant, object_pairs_hook=once) if text is not None else None
+    except _Bad:
+        raise
+    except ValueError:
         value = None
+    except RecursionError:
+        raise _Bad("arguments nest too deeply") from None
     if not isinstance(value, dict):
-        return None, ["arguments are no object"]
+        raise _Bad("arguments are no object")
+    layer, depth = [value], 0
+    while layer:
+        depth += 1
+        if depth > MOST_DEPTH:
+            raise _Bad("arguments nest too deeply")
+        inner = []
+        for x in layer:
+            for y in [*x, *x.values()] if isinstance(x, dict) else x:
+                if isinstance(y, str):
+                    if not _shown(y) == y:
+                        raise _Bad("arguments hold half a surrogate pair")
+                elif isinstance(y, (dict, list)):
+                    inner.append(y)
+        layer = inner
+    return value
+
+
+def _shown(text: str) -> str:
+    """A text that UTF-8 can hold: halves of surrogate pairs as escapes."""
+    return text.encode("utf-8", "backslashreplace").decode()
+
+
+def problems(name: str | None, arguments: str | None, tools: dict) -> tuple[object, list[str]]:
+    """The parsed arguments (None if they are no sound JSON object) and what is wrong with them, in order."""
+    try:
+        value = parsed(arguments)
+    except _Bad as e:
+        return None, [str(e)]
     if name not in tools:
         return value, ["unknown tool"]
     required, optional = tools[name]
-    found = [f"missing {f}" for f in sorted(required) if f not in value]
+    return value, _members(value, required, optional, "")
+
+
+def _members(value: dict, required: dict, optional: dict, path: str) -> list[str]:
+    found = [f"missing {path}{f}" for f in sorted(required) if f not in value]
     for f in sorted(value):
-        kind = required.get(f) or optional.get(f)
-        if kind is None:
-            found.append(f"unknown {f}")
-        elif not _is(value[f], kind):
-            found.append(f"{f} is no {kind}")
-    return value, found
+        if f in required or f in optional:
+            found += _wrong(value[f], required[f] if f in required else optional[f], f"{path}{f}")
+        else:
+            found.append(f"unknown {path}{f}")
+    return found
+
+
+def _wrong(value, schema, path: str) -> list[str]:
+    """What keeps a value from its schema: a type's name or a dictionary, as in ``TOOLS``."""
+    if isinstance(schema, str):
+        schema = {"type": schema}
+    kind = schema.get("type")
+    if kind is not None and not _is(value, kind):
+        return [f"{path} is no {kind}"]
+    found = []
+    # true is no 1
+    if "enum" in schema and not any(type(value) is type(x) and value == x for x in schema["enum"]):
+        found.append(f"{path} is none of its values")
+    if isinstance(value, (int, float)) and not isinstance(value, bool):
+        if "minimum" in schema and value < schema["minimum"]:
+            found.append(f"{path} is below {schema['minimum']}")
+        if "maximum" in schema and value > schema["maximum"]:
+            found.append(f"{path} is above {schema['maximum']}")
+    if isinstance(value, list) and "items" in schema:
+        for i, x in enumerate(value):
+            found += _wrong(x, schema["items"], f"{path}[{i}]")
+    if isinstance(value, dict) and ("required" in schema or "optional" in schema):
+        found += _members(value, schema.get("required", {}), schema.get("optional", {}), f"{path}.")
+    return found
 
 
 def _is(value, kind: str) -> bool:
@@ -157,17 +338,20 @@ def canonical(value) -> str:
     return json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
-def link(calls: DataFrame, results: DataFrame, tools: dict) -> DataFrame:
-    """One row per call and per result that has none: linked, ordered, validated, with its canonical JSON.
+def link(calls: DataFrame, results: DataFrame, tools: dict, context: DataFrame | None = None) -> DataFrame:
+    """One row per call, per result that has none and per turn of ``context``: linked, ordered, validated, as canonical JSON.
 
     ``calls``: conv_id, turn, call_id, name, arguments (JSON text), depends_on (array of call ids); ``results``: conv_id,
-    turn, call_id, content. Output: conv_id, call_id, turn, ``position`` (1, 2, ... in the conversation; null for
-    rows out of order), ``status``, ``valid``, ``problems``, ``json``.
+    turn, call_id, content; ``context``: conv_id, turn, content, turns that are neither and stay as they are. Output: conv_id,
+    call_id, turn, ``position`` (1, 2, ... in the conversation; null for rows out of order), ``status``, ``valid``,
+    ``problems``, ``json``. Other columns are not read.
 
     A call and its result are joined by conversation and identifier. The first row of an identifier counts
     (by turn, then by hash); later ones are ``repeated_call`` and ``repeated_result``, exact repeats are dropped. A
-    call is ``answered``, ``pending`` or, if it waits for itself, ``cycle``; a result without call is
-    ``orphan_result``. A null identifier links nothing (``unnamed_call``, ``unnamed_result``). Calls stand behind all
+    call is ``answered`` or ``pending``; ``cycle`` if it needs itself, straight or through others; ``blocked`` if it
+    needs a call on a cycle but is on none. A result without call is ``orphan_result``, a turn of context ``context``. Arguments
+    that are no object, nest deeper than ``MOST_DEPTH``, repeat a member, or hold numbers out of range or half a
+    surrogate pair are a problem and stay text in the JSON. A very long text is one row's. A null identifier links nothing (``unnamed_call``, ``unnamed_result``). Calls stand behind all
     they need; needs that no call of the conversation fulfils are a problem. No conversation is gathered: order
     comes from joins on calls, so one conversation may hold a third of all rows. Null texts are null in the
     JSON; empty tables give an empty result. Starts jobs when called.
@@ -184,10 +368,9 @@ def link(calls: DataFrame, results: DataFrame, tools: dict) -> DataFrame:
     absent = absent.groupBy(F.col("conv_id").alias("a_conv"), F.col("call_id").alias("a_id")).agg(F.array_sort(F.collect_list("need")).alias("absent"))
     main = main.join(absent, F.col("conv_id").eqNullSafe(F.col("a_conv")) & (F.col("call_id") == F.col("a_id")), "left")
     main = main.join(answers, F.col("conv_id").eqNullSafe(F.col("r_conv")) & (F.col("call_id") == F.col("r_id")), "left")
-    cycle = F.col("level") == 1 << 30
     main = main.select(
         "conv_id", "call_id", "turn", "name", "arguments", "depends_on", "absent", "content", F.col("late.turn").alias("late_turn"), F.col("late.call_id").alias("late_id"), "level",
-        F.when(cycle, "cycle").when(F.col("r_turn").isNotNull() | F.col("r_id").isNotNull(), "answered").otherwise("pending").alias("status"),
+        F.when(F.col("mark").isNotNull(), F.col("mark")).when(F.col("r_turn").isNotNull() | F.col("r_id").isNotNull(), "answered").otherwise("pending").alias("status"),
     )
     main = with_position(stored(main, "linked"), ["conv_id"], ["late_turn", "late_id", "level", "turn", "call_id"], "position")
     main = main.drop("late_turn", "late_id", "level")
@@ -200,6 +383,9 @@ def link(calls: DataFrame, results: DataFrame, tools: dict) -> DataFrame:
     lost = lost.withColumn("status", F.when(F.col("call_id").isNull(), "unnamed_result").when(F.col("first"), "orphan_result").otherwise("repeated_result"))
     columns = ["conv_id", "call_id", "turn", "position", "status", "name", "arguments", "depends_on", "absent", "content"]
     rows = main.select(columns).unionByName(others.select(columns)).unionByName(lost.select(columns))
+    if context is not None:
+        plain = context.select("conv_id", "turn", "content").withColumns({c: none[c] for c in none if c != "content"} | {"call_id": F.lit(None).cast("string"), "status": F.lit("context")})
+        rows = rows.unionByName(plain.select(columns))
     kind = calls.schema["conv_id"].dataType.simpleString()
 
     def run(batches):
@@ -208,7 +394,7 @@ def link(calls: DataFrame, results: DataFrame, tools: dict) -> DataFrame:
             valid, wrong, texts = [], [], []
             for r in batch.select(["call_id", "status", "name", "arguments", "depends_on", "absent", "content"]).to_pylist():
                 body = {"call_id": r["call_id"], "status": r["status"]}
-                if r["status"].endswith("result"):
+                if r["status"].endswith("result") or r["status"] == "context":
                     valid.append(None)
                     wrong.append([])
                     texts.append(canonical(body | {"content": r["content"]}))

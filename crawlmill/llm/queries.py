@@ -98,8 +98,8 @@ def op2_bag_minhash(spark, folder):
 
 @query
 def op3_tool_call_linking(spark, folder):
-    calls, results = chat.calls_of(table(spark, folder, "conversations"))
-    return chat.link(calls, results, chat.TOOLS)
+    calls, results, context = chat.calls_of(table(spark, folder, "conversations"))
+    return chat.link(calls, results, chat.TOOLS, context)
 
 
 @query

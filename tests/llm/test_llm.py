@@ -1,5 +1,6 @@
 """The training-data operators against brute force, with odd rows."""
 
+import glob
 import hashlib
 import random
 import zlib
@@ -8,8 +9,10 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyarrow import orc
+from pyspark.sql import functions as F
 
-from crawlmill.llm import chat, divergence, language_model, line_crf, mixing, near_dedup, order_minhash, packing, queries, substring, token_files
+from crawlmill.llm import chat, divergence, language_model, line_crf, mixing, near_dedup, order_minhash, packing, queries, substring, token_files, tokens
 from crawlmill.llm.common import prepare
 from crawlmill.llm.fm_index import FmIndex
 
@@ -90,19 +93,46 @@ def test_plan_depends_on_lengths_only():
 
 
 def test_token_files(spark, docs, tmp_path):
+    """Every row's start is where its ids stand, also for rows of one id or of none; odd texts and clashing names."""
+    more = [(4, t) for t in ("x y", "a", "x y", "")] + [(None, t) for t in ("null one", "two", None, "null one", "word " * 3000)]
+    table = docs.unionByName(spark.createDataFrame(more, "doc_id bigint, text string"), allowMissingColumns=True)
+    table = table.withColumns({"at": F.lit("x"), "ids": F.lit(1), "file": F.lit("f")})
     path = str(tmp_path / "tokens")
-    token_files.write_tokens(docs, path, queries.tokenizer(), files=3)
-    got = {(r["doc_id"], r["ids_crc32"]): (r["start"], r["n_tokens"]) for r in token_files.token_spans(spark, path).collect()}
-    at = 0
-    for i, t in sorted(pairs(docs), key=lambda x: -1 if x[0] is None else x[0]):
-        ids = token_ids(t, 2)
-        if (i, t) != pairs(docs)[-1] or i is None:
-            assert got[i, crc(ids)][1] == len(ids)
-        at += len(ids)
-    assert max(s + n for s, n in got.values()) == at
+    token_files.write_tokens(table, path, queries.tokenizer(), files=3)
+    spans = token_files.token_spans(spark, path)
+    assert spans.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+    got = sorted(spans.collect(), key=lambda r: r["start"])
+    flat, order = [], []
+    for f in sorted(glob.glob(f"{path}/part-*.orc")):
+        for r in orc.read_table(f).to_pylist():
+            order.append((r["doc_id"], len(flat), len(r["ids"]), crc(r["ids"])))
+            flat += r["ids"]
+    assert [(r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in got] == order
+    ids = [-1 if i is None else i for i, *_ in order]
+    assert ids == sorted(ids)
+    expected = [(i, token_ids(t, 2)) for i, t in pairs(table)]
+    assert Counter((i, n, c) for i, _, n, c in order) == Counter((i, len(x), crc(x)) for i, x in expected)
     assert token_files.read_tokens(spark, path, [5, 6]).count() == 2
 
 
+def test_token_files_are_sized_by_bytes(spark, docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "FILE_BYTES", 1000)
+    path = str(tmp_path / "tokens")
+    token_files.write_tokens(docs.filter("doc_id < 40"), path, queries.tokenizer())
+    assert len(glob.glob(f"{path}/part-*.orc")) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert token_files.token_spans(spark, path).count() == docs.filter("doc_id < 40").count()
+
+
+def test_columns_and_texts_have_the_same_ids(texts):
+    """The column form of the encoder, with slices of a column, white space beyond ASCII and added tokens."""
+    odd = ["a\u00a0b c", "<|endoftext|> x", " \t lead", "trail \n", "\u3000", "It's 12,5 É", "<unk>", "a\x1cb"]
+    column = pa.array(["cut off", *texts, *odd, "cut off"])
+    for part in (column.slice(1, len(column) - 2), column.slice(3, 5), column.slice(0, 0)):
+        flat, ends = tokens.column_encoder(queries.tokenizer(), 2)(part)
+        expected = [token_ids(t or "", 2) for t in part.to_pylist()]
+        assert [flat[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)] == expected
+
+
 def jaccard(a, b):
     both = sum((a & b).values())
     return both / max(1, sum(a.values()) + sum(b.values()) - both)
@@ -408,14 +438,82 @@ def test_tool_calls(spark):
     assert rows[1, "q", "orphan_result"] and rows[1, None, "unnamed_result"] and rows[1, None, "unnamed_call"]
 
 
-def test_empty_tables(spark, docs):
+def test_call_order_and_status_of_random_graphs(spark):
+    """Against reachability in plain Python: cycles, calls behind them, and every call behind all it needs."""
+    prepare(spark)
+    rng = random.Random(12)
+    needs = {}
+    for conv in range(24):
+        n = rng.randint(1, 9)
+        for i in range(n):
+            far = [f"{j}x" for j in range(n) if rng.random() < (0.1 if conv % 2 else 0.22)]
+            needs[conv if conv else None, f"{i}x"] = [*far, None] if i % 3 else far
+    # d and e need each other, x and y stand behind them, z needs itself, w stands behind z, c2 and c3 are a cycle behind x
+    needs |= {(99, c): list(d) for c, d in {"d": ["e"], "e": ["d"], "x": ["d"], "y": ["d"], "z": ["z"], "w": ["z"], "v": [], "c2": ["x", "c3"], "c3": ["c2"], "u": ["c3"]}.items()}
+    turn = {k: rng.randint(1, 12) for k in needs}
+    rows = [(k[0], turn[k], k[1], "search", "{}", d, "other") for k, d in needs.items()]
+    calls = spark.createDataFrame(rows, "conv_id int, turn bigint, call_id string, name string, arguments string, depends_on array<string>, root string")
+    results = spark.createDataFrame([], "conv_id int, turn bigint, call_id string, content string")
+    context = spark.createDataFrame([(1, 0, "be kind"), (None, None, None)], "conv_id int, turn bigint, content string")
+    got = chat.link(calls, results, chat.TOOLS, context).collect()
+    assert Counter((r["conv_id"], r["turn"], r["json"]) for r in got if r["status"] == "context") == Counter(
+        [(1, 0, '{"call_id":null,"content":"be kind","status":"context"}'), (None, None, '{"call_id":null,"content":null,"status":"context"}')]
+    )
+    ahead = {}
+    for k in needs:
+        seen, todo = set(), [k]
+        while todo:
+            for d in needs[todo.pop()]:
+                if (k[0], d) in needs and d not in seen:
+                    seen.add(d)
+                    todo.append((k[0], d))
+        ahead[k] = seen
+    status, place = {}, {}
+    for k in needs:
+        on = k[1] in ahead[k]
+        behind = any(d in ahead[k[0], d] for d in ahead[k])
+        status[k] = "cycle" if on else "blocked" if behind else "pending"
+    rows = [r for r in got if r["status"] != "context"]
+    assert {(r["conv_id"], r["call_id"]): r["status"] for r in rows} == status and len(rows) == len(needs)
+    assert set(status.values()) == {"cycle", "blocked", "pending"}
+    for r in rows:
+        place[r["conv_id"], r["call_id"]] = r["position"]
+    for k, far in ahead.items():
+        assert all(place[k] > place[k[0], d] for d in far if k[1] not in ahead[k[0], d]), k
+    for conv in {k[0] for k in needs}:
+        assert sorted(v for k, v in place.items() if k[0] == conv) == list(range(1, 1 + sum(k[0] == conv for k in needs)))
+
+
+def test_odd_arguments_are_named_problems():
+    tools = {"t": ({"a": "array"}, {"o": {"type": "object", "required": {"n": {"type": "number", "minimum": 0, "maximum": 2}}, "optional": {"k": {"enum": ["x", 1]}}}, "l": {"type": "array", "items": "integer"}})}
+    of = lambda text: chat.problems("t", text, tools)[1]
+    deep = lambda n: '{"a":' + "[" * n + "]" * n + "}"
+    assert of('{"a":[]}') == of(deep(chat.MOST_DEPTH - 1)) == []
+    for n in (chat.MOST_DEPTH, 3_000, 200_000):
+        assert of(deep(n)) == ["arguments nest too deeply"]
+    assert of('{"a":["\\ud800"]}') == of('{"\\udc00":1}') == ["arguments hold half a surrogate pair"]
+    assert of('{"a":["\\ud83d\\ude00"]}') == []
+    assert of('{"a":[1e999]}') == of('{"a":[' + "9" * 5000 + "]}") == ["arguments hold a number out of range"]
+    assert of('{"a":[NaN]}') == ["arguments hold NaN"] and of('{"a":[],"a":[]}') == ["arguments repeat a"]
+    assert of('{"a":[],"\\ud800":1,"\\ud800":2}') == ["arguments repeat \\ud800"]
+    assert of("[1]") == of(None) == of("") == ["arguments are no object"]
+    assert of('{"a":[],"o":{"n":3,"k":true,"z":0},"l":[1,"2",true]}') == ["l[1] is no integer", "l[2] is no integer", "o.k is none of its values", "o.n is above 2", "unknown o.z"]
+    assert of('{"o":{"k":1}}') == ["missing a", "missing o.n"] and of('{"a":[],"o":{"n":-0.5}}') == ["o.n is below 0"]
+    assert chat.problems("no", '{"a":[]}', tools) == ({"a": []}, ["unknown tool"])
+    assert chat.canonical({"b": 1.0, "a": ["é", 1.5]}) == '{"a":["é",1.5],"b":1}'
+
+
+def test_empty_tables(spark, docs, tmp_path):
     none = docs.limit(0)
     assert packing.pack(none, queries.tokenizer()).count() == 0
     for fn in (near_dedup.near_duplicates, substring.dedup, order_minhash.compare, mixing.mix, mixing.mixed_rows, language_model.score, divergence.judge):
         assert fn(none).count() == 0, fn
     assert line_crf.score(none, None).count() == 0
-    calls, results = chat.calls_of(spark.createDataFrame([], "conv_id int, turn bigint, role string, text string"))
-    assert chat.link(calls, results, chat.TOOLS).count() == 0
+    path = str(tmp_path / "none")
+    token_files.write_tokens(none, path, queries.tokenizer())
+    assert token_files.token_spans(spark, path).count() == 0
+    calls, results, context = chat.calls_of(spark.createDataFrame([], "conv_id int, turn bigint, role string, text string"))
+    assert chat.link(calls, results, chat.TOOLS, context).count() == 0
 
 
 def test_line_features_have_one_row_per_line():
