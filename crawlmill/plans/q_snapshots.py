@@ -158,6 +158,28 @@ SELECT strftime(s, '%Y-%m-%d %H:%M') AS start, run_count, error_count FROM w""",
 )
 def stream_run_counts(spark, folder):
     counts = _drained(spark, M.run_counts(I.runs_of(_stream(spark, folder, "events"))), "counts")
-    # the stream has ended: the windows that it still holds open are counted from the table
-    counts = counts.unionByName(M.open_windows(I.runs_of(read_table(spark, folder, "events"))))
-    return counts.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "run_count", "error_count")
+    return M.latest_counts(counts).select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "run_count", "error_count")
+
+
+@query(
+    "stream_run_history",
+    f"""WITH {I.RUNS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY job ORDER BY ts DESC, seq DESC) AS position FROM runs)
+SELECT job, seq, success, position FROM r WHERE position <= 10""",
+)
+def stream_run_history(spark, folder):
+    """The newest ten runs of each job, held as a stream's state."""
+    runs = I.runs_of(_stream(spark, folder, "events")).select("job", "ts", "seq", "success")
+    return M.latest_history(_drained(spark, M.run_history(runs), "history")).drop("ts")
+
+
+@query(
+    "stream_price_alerts_expiring",
+    f"""WITH steps AS (SELECT event_type AS product, user_id AS source, event_id AS seq, value AS current_price,
+  CASE WHEN ts - lag(ts) OVER o <= INTERVAL 1 DAY THEN lag(value) OVER o END AS previous_price
+  FROM events WINDOW o AS (PARTITION BY event_type, user_id ORDER BY ts, event_id))
+SELECT product, source, seq, current_price, previous_price, change_pct, alert_type FROM ({_ALERT_SQL})""",
+)
+def stream_price_alerts_expiring(spark, folder):
+    """Price alerts against prices of the last day only; other products leave the state."""
+    stream = M.price_alerts(I.event_prices_of(_stream(spark, folder, "events")), keep="1 day")
+    return _drained(spark, stream, "alerts").drop("observed_at")

@@ -5,23 +5,29 @@ micro-batches; inside a batch they are sorted. A micro-batch is cut into ranges
 shuffle partitions, so a heavy key is spread over tasks; only the first and last row of a key's stretch in a range meet in
 the key's task. A task so holds about its share of the micro-batch, whatever the keys; bound the micro-batch
 with ``maxFilesPerTrigger`` or ``maxBytesPerTrigger`` at the source.
+
+Counts and histories come out anew whenever they change, with what tells the newest row from older ones; ``latest_counts``
+and ``latest_history`` read them. Rows are gathered per Arrow batch before they meet their key, so a busy window or job
+sends few.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import datetime
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 
 from ..operators.prices import DEFAULT_THRESHOLD, change_alert, target_items
+from ..operators.runs import KEPT_RUNS
 from ..operators.snapshots import content_hash
 
 
@@ -29,9 +35,11 @@ SHORT = 1_000  # a key's stretch in a range goes to the key's task whole up to t
 _FIRST, _SLOT = "stretch_first", "stretch_slot"  # rows reach the processor as named tuples: no leading underscore
 
 
-def _stretches(keys: list[str], order: list[str], value: str):
+def _stretches(keys: list[str], order: list[str], value: str, keep_s: float | None = None):
     """Rows of one range with the value before each, which is not known for the first row of a key's stretch.
 
+    With ``keep_s`` a value more than so many seconds (by the first order column) before a row is not given.
+
     Slot 0 has the rows that the key's task needs: first and last rows, and short stretches. The other rows
     are complete; they go to a slot of their own for each range.
     """
@@ -59,7 +67,12 @@ def _stretches(keys: list[str], order: list[str], value: str):
         context = TaskContext.get()
         slot = np.where(inner, 1 + (context.partitionId() if context else 0), 0).astype(np.int32)
         before = table.column(value).take(pa.array(np.arange(-1, n - 1), mask=np.arange(n) == 0))
-        before = pc.if_else(pa.array(starts), pa.scalar(None, before.type), before)
+        unknown = starts
+        if keep_s is not None:
+            at = table.column(order[0]).cast(pa.timestamp("us", "UTC")).cast(pa.int64()).combine_chunks()
+            gap = pc.subtract(at, at.take(pa.array(np.maximum(np.arange(-1, n - 1), 0))))
+            unknown = starts | pc.fill_null(pc.greater(gap, int(keep_s * 1e6)), False).to_numpy(zero_copy_only=False)
+        before = pc.if_else(pa.array(unknown), pa.scalar(None, before.type), before)
         out = table.append_column("previous", before).append_column(_FIRST, pa.array(starts)).append_column(_SLOT, pa.array(slot))
         out = out.select([*keys, _SLOT, *order, value, "previous", _FIRST])
         yield from out.to_batches(max_chunksize=10_000)
@@ -70,14 +83,17 @@ def _stretches(keys: list[str], order: list[str], value: str):
 class _Stitched(StatefulProcessor):
     """Give the first row of each stretch of a key the value of the last row of the stretch before it, NULL for the first of all.
 
-    Only slot 0 has state and is gathered; rows of other slots pass by piece by piece.
+    Only slot 0 has state and is gathered; rows of other slots pass by piece by piece. With ``keep_s`` a last value counts
+    for so many seconds of event time; a timer then takes the key out of the state. The gap is judged by the rows, so the
+    timer decides about memory only.
     """
 
-    def __init__(self, keys: list[str], order: list[str], value: str, value_type: str):
-        self.keys, self.order, self.value, self.value_type = keys, order, value, value_type
+    def __init__(self, keys: list[str], order: list[str], value: str, value_type: str, keep_s: float | None = None):
+        self.keys, self.order, self.value, self.value_type, self.keep_s = keys, order, value, value_type, keep_s
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", f"value {self.value_type}")
+        self.handle = handle
+        self.last = handle.getValueState("last", f"value {self.value_type}, at bigint, timer bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         columns = [*self.keys, *self.order, self.value, "previous"]
@@ -85,19 +101,40 @@ class _Stitched(StatefulProcessor):
             yield from (part[columns] for part in rows)
             return
         batch = pd.concat(list(rows)).sort_values(self.order, kind="stable", na_position="first")
-        before = self.last.get()[0] if self.last.exists() else None
+        before, before_at, timer = self.last.get() if self.last.exists() else (None, None, None)
         values = batch[self.value].tolist()
         first = batch[_FIRST].tolist()
         shifted = [before, *values[:-1]]
+        if self.keep_s is not None:
+            at = [None if pd.isna(t) else t.value // 1000 for t in batch[self.order[0]]]
+            keep = int(self.keep_s * 1e6)
+            gaps = zip([before_at, *at[:-1]], at, shifted, strict=True)
+            shifted = [None if a is not None and b is not None and b - a > keep else s for a, b, s in gaps]
+            before_at = at[-1]
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            # a row without a time cannot grow old: it stays
+            timer = None if before_at is None else -(-(before_at + keep) // 1000) + 1
+            if timer is not None:
+                self.handle.registerTimer(timer)
         batch["previous"] = [s if f else p for s, f, p in zip(shifted, first, batch["previous"].tolist(), strict=True)]
-        self.last.update((values[-1],))
+        self.last.update((values[-1], before_at, timer))
         yield batch[columns]
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        yield pd.DataFrame()
+
     def close(self) -> None:
         pass
 
 
-def _with_previous(stream: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
+def _with_previous(stream: DataFrame, keys: list[str], order: list[str], value: str, keep: str | None = None, late: str = "1 hour") -> DataFrame:
+    keep_s = None
+    if keep is not None:
+        # a length of time, by Spark's own reading of it
+        keep_s = stream.sparkSession.range(1).select(_seconds(keep)).first()[0]
+        stream = stream.withWatermark(order[0], late)
     slim = stream.select(*keys, *order, value)
     fields = {f.name: f.dataType.simpleString() for f in slim.schema}
     schema = ", ".join(f"{n} {t}" for n, t in fields.items()) + f", previous {fields[value]}"
@@ -105,13 +142,26 @@ def _with_previous(stream: DataFrame, keys: list[str], order: list[str], value:
     ranges = slim.repartitionByRange(pieces, *keys, *order)
     types = fields | {"previous": fields[value], _FIRST: "boolean", _SLOT: "int"}
     names = [*keys, _SLOT, *order, value, "previous", _FIRST]
-    marked = ranges.mapInArrow(_stretches(keys, order, value), ", ".join(f"{n} {types[n]}" for n in names))
-    return marked.groupBy(*keys, _SLOT).transformWithStateInPandas(_Stitched(keys, order, value, fields[value]), schema, "append", "None")
+    marked = ranges.mapInArrow(_stretches(keys, order, value, keep_s), ", ".join(f"{n} {types[n]}" for n in names))
+    stitched = _Stitched(keys, order, value, fields[value], keep_s)
+    return marked.groupBy(*keys, _SLOT).transformWithStateInPandas(stitched, schema, "append", "None" if keep is None else "EventTime")
+
+
+def _seconds(length: str) -> Column:
+    """Seconds of a length of time such as ``7 days``."""
+    zero = F.timestamp_seconds(F.lit(0))
+    return F.unix_micros(zero + F.expr(f"interval {length}")) / 1e6
+
 
+def price_alerts(
+    observations: DataFrame, threshold_pct: float = DEFAULT_THRESHOLD, keep: str | None = None, late: str = "1 hour"
+) -> DataFrame:
+    """The streaming form of the batch price alerts: same columns, same results for ordered input.
 
-def price_alerts(observations: DataFrame, threshold_pct: float = DEFAULT_THRESHOLD) -> DataFrame:
-    """The streaming form of the batch price alerts: same columns, same results for ordered input."""
-    steps = _with_previous(observations, ["product", "source"], ["observed_at", "seq"], "price")
+    With ``keep`` a price counts as the previous one for that long; products not seen for longer leave the state once the
+    watermark (``late`` behind the newest row) has passed. Without, a product's last price is kept for good.
+    """
+    steps = _with_previous(observations, ["product", "source"], ["observed_at", "seq"], "price", keep, late)
     return (
         steps.filter("previous is not null and previous <> 0")
         .withColumns(change_alert(F.col("previous"), F.col("price"), threshold_pct))
@@ -131,38 +181,163 @@ def ingested(items: DataFrame, targets: DataFrame, late: str = "1 hour", thresho
     return price_alerts(seen.dropDuplicatesWithinWatermark(["product", "source", "observed_at", "seq"]), threshold_pct)
 
 
-def page_changes(snapshots: DataFrame) -> DataFrame:
-    """One event whenever a URL's content hash differs from the one seen before."""
+def page_changes(snapshots: DataFrame, keep: str | None = None, late: str = "1 hour") -> DataFrame:
+    """One event whenever a URL's content hash differs from the one seen before, ``keep`` ago at most if that is given.
+
+    With ``keep`` URLs not seen for longer leave the state, as in ``price_alerts``.
+    """
     hashed = snapshots.select("url", "ts", "seq", content_hash("content").alias("content_hash"))
-    steps = _with_previous(hashed, ["url"], ["ts", "seq"], "content_hash")
+    steps = _with_previous(hashed, ["url"], ["ts", "seq"], "content_hash", keep, late)
     return steps.filter("previous is not null and previous <> content_hash").withColumnRenamed(
         "previous", "previous_hash"
     )
 
 
-def _per_window(runs: DataFrame, interval: str) -> DataFrame:
-    return (
-        runs.groupBy(F.window("ts", interval))
-        .agg(F.count_if("success").alias("run_count"), F.count_if(~F.col("success")).alias("error_count"))
-        .select("window.start", "window.end", "run_count", "error_count")
-    )
+def _partial_counts(batches):
+    """Successes and errors of each window in one Arrow batch."""
+    for batch in batches:
+        if batch.num_rows:
+            sums = pa.Table.from_batches([batch]).group_by(["start", "end"]).aggregate([("won", "sum"), ("lost", "sum")])
+            yield from sums.rename_columns(["start", "end", "won", "lost"]).to_batches()
+
+
+class _WindowCounts(StatefulProcessor):
+    """Counts of one window: a row whenever they change, the last one from a timer at the window's end."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.counts = handle.getValueState("counts", "won bigint, lost bigint")
+
+    def _row(self, key, won: int, lost: int, closed: bool) -> pd.DataFrame:
+        return pd.DataFrame({"start": [key[0]], "end": [key[1]], "run_count": [won], "error_count": [lost], "closed": [closed]})
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        ends = pd.Timestamp(key[1])
+        ends = (ends.tz_localize("UTC") if ends.tzinfo is None else ends).value // 1_000_000
+        sums = [(int(part["won"].sum()), int(part["lost"].sum())) for part in rows]
+        if ends <= timerValues.getCurrentWatermarkInMs():
+            return  # the window is closed
+        before = self.counts.get() if self.counts.exists() else None
+        if before is None:
+            self.handle.registerTimer(ends)
+        won, lost = (sum(x) for x in zip(*sums, before or (0, 0), strict=True))
+        self.counts.update((won, lost))
+        yield self._row(key, won, lost, False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.counts.exists():
+            yield self._row(key, *self.counts.get(), True)
+            self.counts.clear()
+
+    def close(self) -> None:
+        pass
 
 
 def run_counts(runs: DataFrame, interval: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Successes and errors per job-independent time window; rows later than ``late`` are not counted.
+    """Successes and errors per job-independent time window: ``start, end, run_count, error_count, closed``.
 
-    A window comes out once ``late`` has passed after its end; ``open_windows`` gives the ones left when a stream ends.
+    Every micro-batch gives the counts so far of the windows it adds to, so that open windows leave the stream as well;
+    once ``late`` has passed after its end, a window comes out a last time, ``closed``, and leaves the state. Rows of closed
+    windows are not counted. ``latest_counts`` takes the newest row of each window. Rows without a time are in no window;
+    a run whose success is unknown counts as neither.
     """
-    return _per_window(runs.withWatermark("ts", late), interval)
+    seen = runs.withWatermark("ts", late).select(F.window("ts", interval), "success")
+    flags = {"won": F.coalesce("success", F.lit(False)), "lost": ~F.coalesce("success", F.lit(True))}
+    slim = seen.select("window.start", "window.end", *[c.cast("bigint").alias(n) for n, c in flags.items()])
+    partial = slim.mapInArrow(_partial_counts, "start timestamp, end timestamp, won bigint, lost bigint")
+    schema = "start timestamp, end timestamp, run_count bigint, error_count bigint, closed boolean"
+    return partial.groupBy("start", "end").transformWithStateInPandas(_WindowCounts(), schema, "append", "EventTime")
+
 
+def latest_counts(counts: DataFrame) -> DataFrame:
+    """The newest row of each window from what ``run_counts`` has written."""
+    newest = F.struct("closed", F.col("run_count") + F.col("error_count"))
+    columns = ["run_count", "error_count", "closed"]
+    return counts.groupBy("start", "end").agg(F.max_by(F.struct(*columns), newest).alias("last")).select("start", "end", "last.*")
 
-def open_windows(runs: DataFrame, interval: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """The windows that ``run_counts`` still holds open after all ``runs``, a table here. Starts a job when called."""
-    newest = runs.agg(F.date_trunc("millisecond", F.max("ts")).alias("at"))
-    closed = newest.select((F.col("at") - F.expr(f"interval {late}")).alias("at")).first()["at"]
-    if closed is None:
-        return _per_window(runs, interval)
-    return _per_window(runs.filter(F.window("ts", interval)["end"] > F.lit(closed)), interval)
+
+def _newest(job: str, order: list[str], limit: int):
+    """The newest ``limit`` rows of each job in one Arrow batch."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                by = [(job, "ascending"), *((c, "descending") for c in order)]
+                table = pa.Table.from_batches([batch])
+                table = table.take(pc.sort_indices(table, sort_keys=by, null_placement="at_end"))
+                jobs = table.column(job).dictionary_encode(null_encoding="encode").combine_chunks()
+                codes = jobs.indices.to_numpy()
+                starts = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+                rank = np.arange(len(codes)) - np.repeat(starts, np.diff(np.append(starts, len(codes))))
+                yield from table.filter(pa.array(rank < limit)).to_batches()
+
+    return run
+
+
+class _History(StatefulProcessor):
+    """The newest runs of one job as a bounded list, given out whole whenever it changes."""
+
+    def __init__(self, columns: dict[str, str], limit: int):
+        self.columns, self.limit = columns, limit
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.runs = handle.getListState("runs", ", ".join(f"`{n}` {t}" for n, t in self.columns.items()))
+        self.version = handle.getValueState("version", "n bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        names = list(self.columns)
+        held = [tuple(r) for r in self.runs.get()] if self.version.exists() else []
+        kept = held
+        for part in rows:
+            # Python's own values: missing ones as None, times as datetime
+            fresh = pa.Table.from_pandas(part[names], preserve_index=False).to_pylist()
+            kept = kept + [tuple(r[n] for n in names) for r in fresh]
+            # ts and seq stand first; those without come last
+            kept = sorted(kept, key=lambda r: [(v is not None, _plain(v) if v is not None else 0) for v in r[:2]], reverse=True)[: self.limit]
+        if kept == held:
+            return
+        version = self.version.get()[0] + 1 if self.version.exists() else 1
+        self.runs.put(kept)
+        self.version.update((version,))
+        out = pd.DataFrame(kept, columns=names)
+        out.insert(0, "job", key[0])
+        yield out.assign(position=range(1, len(kept) + 1), version=version)
+
+    def close(self) -> None:
+        pass
+
+
+def _plain(value):
+    """A time as a number; other values as they are."""
+    if isinstance(value, datetime):
+        stamp = pd.Timestamp(value)
+        return (stamp.tz_localize("UTC") if stamp.tzinfo is None else stamp).value
+    return value
+
+
+def run_history(runs: DataFrame, limit: int = KEPT_RUNS) -> DataFrame:
+    """The newest ``limit`` runs of each job as a stream: the columns of ``runs``, ``position`` (1: newest) and ``version``.
+
+    ``runs`` has ``job, ts, seq`` and more. The state holds ``limit`` runs per job, whatever the order they come in:
+    a run older than those held changes nothing, one between them takes its place. A job whose list changes comes out
+    whole with the next version; ``latest_history`` takes the newest one. A task holds ``limit`` rows per job
+    and Arrow batch of the micro-batch.
+    """
+    order = ["ts", "seq"]
+    fields = {f.name: f.dataType.simpleString() for f in runs.schema}
+    stored = {n: fields[n] for n in [*order, *(c for c in fields if c not in ("job", *order))]}
+    slim = runs.select("job", *stored)
+    typed = ", ".join(f"`{n}` {t}" for n, t in {"job": fields["job"], **stored}.items())
+    few = slim.mapInArrow(_newest("job", order, limit), typed)
+    schema = f"{typed}, position bigint, version bigint"
+    return few.groupBy("job").transformWithStateInPandas(_History(stored, limit), schema, "append", "None")
+
+
+def latest_history(history: DataFrame) -> DataFrame:
+    """The newest list of each job from what ``run_history`` has written: like ``recent_runs`` of all runs streamed."""
+    newest = history.groupBy(F.col("job").alias("of_job")).agg(F.max("version").alias("of_version"))
+    same = F.col("job").eqNullSafe(F.col("of_job")) & (F.col("version") == F.col("of_version"))
+    return history.join(newest, same, "left_semi").drop("version")
 
 
 def drain(stream: DataFrame, path: str, checkpoint: str) -> None:

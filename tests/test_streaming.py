@@ -8,6 +8,7 @@ from helpers import rows
 from pyspark.sql import functions as F
 
 from crawlmill.operators import prices as P
+from crawlmill.operators import runs as R
 from crawlmill.operators import snapshots as S
 from crawlmill.session import scratch_path
 from crawlmill.streaming import monitors as M
@@ -63,16 +64,90 @@ def test_changes_back_and_forth(spark, tmp_path):
     assert sorted(rows(got, "previous_hash", "content_hash")) == sorted(rows(pairs, "old_hash", "new_hash"))
 
 
-def test_run_counts_close_windows(spark, tmp_path):
-    data = [(i % 3 > 0, i) for i in range(60)]
+@pytest.mark.parametrize("files", [1, 2, 5])
+def test_run_counts_leave_the_stream(spark, tmp_path, files):
+    """Closed windows come out once as such, open ones as well; together they are the counts of the table."""
+    data = [(None if i % 10 == 9 else i % 3 > 0, i) for i in range(60)]
     df = spark.createDataFrame(data, "success boolean, seq bigint")
     df = df.withColumn("ts", F.timestamp_seconds(F.col("seq") * 300))
-    got = drained(spark, lambda d: M.run_counts(d, "1 hour", "10 minutes"), df, 2, tmp_path)
+    out = drained(spark, lambda d: M.run_counts(d, "1 hour", "10 minutes"), df, files, tmp_path)
     # the newest row is at 4:55, so windows ending at 4:00 or before are closed
-    assert rows(got.orderBy("start"), "run_count", "error_count") == [(8, 4)] * 4
-    left = M.open_windows(df, "1 hour", "10 minutes")
-    assert rows(left, "run_count", "error_count") == [(8, 4)]
-    assert M.open_windows(df.limit(0)).count() == 0
+    assert out.filter("closed").count() == 4
+    got = M.latest_counts(out).orderBy("start")
+    hour = F.window("ts", "1 hour")["start"].alias("start")
+    want = df.groupBy(hour).agg(F.count_if("success"), F.count_if(~F.col("success"))).orderBy("start")
+    assert rows(got, "start", "run_count", "error_count") == rows(want)
+    assert rows(got, "closed") == [(True,)] * 4 + [(False,)]
+
+
+def test_late_runs_are_not_counted(spark, tmp_path):
+    data = [(True, 0, 100), (True, 1, 20_000), (True, 2, 200), (False, 3, 20_100), (True, 4, None)]
+    df = spark.createDataFrame(data, "success boolean, seq bigint, at bigint").withColumn("ts", F.timestamp_seconds("at"))
+    out = drained(spark, lambda d: M.run_counts(d.drop("at"), "1 hour", "10 minutes"), df, 5, tmp_path)
+    got = M.latest_counts(out).orderBy("start")
+    assert rows(got, "run_count", "error_count", "closed") == [(1, 0, True), (1, 1, False)]
+
+
+@pytest.mark.parametrize("files", [1, 2, 6])
+def test_history_is_bounded_and_survives_disorder(spark, tmp_path, files):
+    """Runs that come out of order, one very busy job, jobs and times without a value: the lists equal the batch ones."""
+    rng = random.Random(files)
+    data = []
+    for i in range(600):
+        job = rng.choice(["busy", "busy", "busy", "a", "b", None])
+        at = None if i % 50 == 0 else rng.randint(0, 400)
+        data.append((job, at, i, rng.random() < 0.7, rng.choice(["ok", None])))
+    df = spark.createDataFrame(data, "job string, at bigint, seq bigint, success boolean, result string")
+    df = df.withColumn("ts", F.timestamp_seconds("at")).drop("at")
+    out = drained(spark, lambda d: M.run_history(d, 7), df, files, tmp_path)
+    assert out.groupBy("job", "version").count().agg(F.max("count")).first()[0] <= 7
+    got, want = M.latest_history(out), R.recent_runs(df, 7)
+    columns = ["job", "ts", "seq", "success", "result", "position"]
+    assert sorted(rows(got, *columns), key=str) == sorted(rows(want, *columns), key=str)
+
+
+@pytest.mark.parametrize("files", [1, 4])
+def test_prices_expire(spark, tmp_path, files, monkeypatch):
+    """With ``keep`` only prices that are young enough count, however rows fall into micro-batches; old keys leave the state."""
+    monkeypatch.setattr(M, "SHORT", 3)
+    rng = random.Random(5)
+    data, at = [], 0
+    for i in range(400):
+        at += rng.choice([1, 1, 5, 40])
+        product = "gone" if i < 20 else rng.choice("pppq")
+        data.append((product, float(rng.choice([10, 11, 20])), "s", i, at * 60))
+    df = spark.createDataFrame(data, "product string, price double, source string, seq bigint, at bigint")
+    df = df.withColumn("observed_at", F.timestamp_seconds("at")).drop("at")
+    got = drained(spark, lambda d: M.price_alerts(d, keep="30 minutes", late="1 minute"), df, files, tmp_path)
+    last, want = {}, []
+    for product, price, source, i, at in data:
+        before = last.get(product)
+        if before and at - before[1] <= 30 * 60 and before[0] != price:
+            change = (price - before[0]) / before[0] * 100
+            if abs(change) >= 5:
+                want.append((product, i, before[0], price))
+        last[product] = (price, at)
+    assert sorted(rows(got, "product", "seq", "previous_price", "current_price")) == sorted(want)
+
+
+def test_expired_keys_leave_the_state(spark, tmp_path):
+    data = [("old", 10.0, "s", 0, 0), ("new", 10.0, "s", 1, 9_000), ("new", 11.0, "s", 2, 9_060), ("new", 12.0, "s", 3, 9_120)]
+    df = spark.createDataFrame(data, "product string, price double, source string, seq bigint, at bigint")
+    df = df.withColumn("observed_at", F.timestamp_seconds("at")).drop("at")
+    seen = {}
+
+    def make(stream):
+        seen["out"] = M.price_alerts(stream, keep="30 minutes", late="1 minute")
+        return seen["out"]
+
+    source = str(tmp_path / "in")
+    for i in range(4):
+        df.filter(F.col("seq") == i).coalesce(1).write.mode("append").parquet(source)
+    stream = make(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(source))
+    checkpoint = scratch_path(spark, "expiry-checkpoint")
+    M.drain(stream, scratch_path(spark, "expiry"), checkpoint)
+    held = spark.read.format("statestore").option("stateVarName", "last").load(checkpoint)
+    assert [r["key"]["product"] for r in held.collect()] == ["new"]
 
 
 @pytest.mark.parametrize("files", [1, 4])
