@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,12 +62,16 @@ def extract_items(pages: DataFrame, targets: Sequence[Target], keys: Sequence[st
     return each.select(*keys, "__item.target", "__item.pos", "__item.fields")
 
 
-def extract_by_url(pages: DataFrame, targets: DataFrame, keys: Sequence[str], html: str = "html") -> DataFrame:
-    """``extract_items`` with the targets of each page's URL from a table (name, url, selector, fields)."""
+def extract_by_url(pages: DataFrame, targets: DataFrame, keys: Sequence[str], html: str = "html", on: Sequence[str] = ("url",)) -> DataFrame:
+    """``extract_items`` with the targets of each page's URL from a table (name, url, selector, fields).
+
+    ``on`` names what a page shares with its targets: a URL that several pages have gives each of them all its targets,
+    unless further columns of both tables tell them apart. Nulls are equal.
+    """
     wanted = targets.select(
-        F.col("name").alias("target"), F.col("url").alias("__url"), F.col("selector").alias("__selector"), F.col("fields").alias("__fields")
+        F.col("name").alias("target"), F.col("selector").alias("__selector"), F.col("fields").alias("__fields"), *[F.col(c).alias(f"__on_{c}") for c in on]
     )
-    joined = pages.join(wanted, F.col("url") == F.col("__url"))
+    joined = pages.join(wanted, reduce(and_, [F.col(c).eqNullSafe(F.col(f"__on_{c}")) for c in on]))
     found = joined.select(*keys, "target", "__fields", F.posexplode(F.regexp_extract_all(html, F.col("__selector"), F.lit(0))).alias("pos", "__item"))
     text = F.create_map(F.lit("text"), plain_text(F.regexp_replace("__item", "<[^>]*>", "")))
     named = F.transform_values("__fields", lambda _, p: plain_text(_first(F.col("__item"), p)))
