@@ -98,10 +98,10 @@ def snapshot_bag_similarity(spark, folder):
 
 
 def _stream(spark, folder, name):
-    """A table folder read as a stream; a micro-batch has about 256 MB or one file, cut into ranges for its tasks."""
+    """A table read as a stream; a micro-batch has about 256 MB or one file, cut into ranges for its tasks."""
     schema = read_table(spark, folder, name).schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-    return reader.option("maxBytesPerTrigger", 256 << 20).parquet(folder)
+    # a glob: the table may be one file or a folder of part files
+    return spark.readStream.schema(schema).option("maxBytesPerTrigger", 256 << 20).parquet(f"{folder}/{{{name}.parquet}}")
 
 
 def _drained(spark, stream, label):

@@ -27,3 +27,11 @@ def test_pages_that_share_a_url_keep_their_own_targets(spark, tmp_path):
     pages.coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
     got = entry.queries()["extract_by_url"](spark, str(tmp_path))
     assert same_rows(got, want("extract_by_url", pages=tmp_path / "pages.parquet/*.parquet"))
+
+
+def test_a_stream_reads_a_table_of_part_files(spark, tmp_path):
+    turns = spark.read.parquet(f"{SMALL}/conversations.parquet")
+    turns.repartition(3).write.parquet(str(tmp_path / "conversations.parquet"))
+    got = entry.queries()["stream_page_changes"](spark, str(tmp_path))
+    assert got.count() > 0
+    assert same_rows(got, want("stream_page_changes", conversations=tmp_path / "conversations.parquet/*.parquet"))
