@@ -1,9 +1,9 @@
 """Continuous price alerts, page-change events and run counts.
 
-The keyed monitors keep one small value per key. Rows of one key must arrive in order across
+The keyed monitors keep one small value per key, those of a group of keys together. Rows of one key must arrive in order across
 micro-batches; inside a batch they are sorted. A micro-batch is cut into ranges of key and order, as many as there are
 shuffle partitions, so a heavy key is spread over tasks; only the first and last row of a key's stretch in a range meet in
-the key's task. A task so holds about its share of the micro-batch, whatever the keys; bound the micro-batch
+the group's task. A task so holds about its share of the micro-batch, whatever the keys; bound the micro-batch
 with ``maxFilesPerTrigger`` or ``maxBytesPerTrigger`` at the source.
 
 Counts and histories come out anew whenever they change, with what tells the newest row from older ones; ``latest_counts``
@@ -21,7 +21,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -31,8 +31,34 @@ from ..operators.runs import KEPT_RUNS
 from ..operators.snapshots import content_hash
 
 
-SHORT = 1_000  # a key's stretch in a range goes to the key's task whole up to this many rows
-_FIRST, _SLOT = "stretch_first", "stretch_slot"  # rows reach the processor as named tuples: no leading underscore
+SHORT = 10_000  # complete rows that pass the keys' tasks as one
+BUCKETS = 512  # groups of keys that share a task's call and a state value
+# rows reach the processor as named tuples: no leading underscore
+_FIRST, _SLOT, _PACKED, _BUCKET = "stretch_first", "stretch_slot", "stretch_rows", "stretch_bucket"
+
+
+def _starts(table: pa.Table, keys: list[str]) -> np.ndarray:
+    """Where a row's key is not that of the row before; nulls are equal."""
+    n = table.num_rows
+    starts = np.zeros(n, bool)
+    starts[:1] = True
+    for k in keys:
+        column = table.column(k)
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        left, right = column.slice(0, n - 1), column.slice(1)
+        unlike = pc.fill_null(pc.not_equal(left, right), pc.xor(pc.is_null(left), pc.is_null(right))) if n > 1 else pa.array([], pa.bool_())
+        starts[1:] |= unlike.to_numpy(zero_copy_only=False)
+    return starts
+
+
+def _ordered(table: pa.Table, columns: list[str]) -> pa.Table:
+    # nulls stand first, as in Spark
+    by = [(c, "ascending") for c in columns]
+    return table.take(pc.sort_indices(table, sort_keys=by, null_placement="at_start")).combine_chunks()
+
+
+def _micros(column) -> pa.Array:
+    return column.cast(pa.timestamp("us", "UTC")).cast(pa.int64()).combine_chunks()
 
 
 def _stretches(keys: list[str], order: list[str], value: str, keep_s: float | None = None):
@@ -40,36 +66,26 @@ def _stretches(keys: list[str], order: list[str], value: str, keep_s: float | No
 
     With ``keep_s`` a value more than so many seconds (by the first order column) before a row is not given.
 
-    Slot 0 has the rows that the key's task needs: first and last rows, and short stretches. The other rows
-    are complete; they go to a slot of their own for each range.
+    Slot 0 has the rows that the key's task needs: first and last ones. The other rows are complete; up to ``SHORT`` of
+    them share a slot, whatever their keys.
     """
-    short = SHORT
+    many = SHORT
 
     def run(batches):
         found = [b for b in batches if b.num_rows]
         if not found:
             return
-        table = pa.Table.from_batches(found)
-        # nulls stand first, as in Spark
-        by = [(c, "ascending") for c in [*keys, *order]]
-        table = table.take(pc.sort_indices(table, sort_keys=by, null_placement="at_start")).combine_chunks()
+        table = _ordered(pa.Table.from_batches(found), [*keys, *order])
         n = table.num_rows
-        starts = np.zeros(n, bool)
-        starts[0] = True
-        for k in keys:
-            column = table.column(k).combine_chunks()
-            left, right = column.slice(0, n - 1), column.slice(1)
-            unlike = pc.fill_null(pc.not_equal(left, right), pc.xor(pc.is_null(left), pc.is_null(right))) if n > 1 else pa.array([], pa.bool_())
-            starts[1:] |= unlike.to_numpy(zero_copy_only=False)
-        ends = np.append(starts[1:], True)
-        lengths = np.diff(np.append(np.flatnonzero(starts), n))
-        inner = ~starts & ~ends & (np.repeat(lengths, lengths) > short)
+        starts = _starts(table, keys)
+        inner = ~starts & ~np.append(starts[1:], True)
         context = TaskContext.get()
-        slot = np.where(inner, 1 + (context.partitionId() if context else 0), 0).astype(np.int32)
+        at_range = (context.partitionId() if context else 0) << 40
+        slot = np.where(inner, 1 + at_range + np.cumsum(inner) // many, 0)
         before = table.column(value).take(pa.array(np.arange(-1, n - 1), mask=np.arange(n) == 0))
         unknown = starts
         if keep_s is not None:
-            at = table.column(order[0]).cast(pa.timestamp("us", "UTC")).cast(pa.int64()).combine_chunks()
+            at = _micros(table.column(order[0]))
             gap = pc.subtract(at, at.take(pa.array(np.maximum(np.arange(-1, n - 1), 0))))
             unknown = starts | pc.fill_null(pc.greater(gap, int(keep_s * 1e6)), False).to_numpy(zero_copy_only=False)
         before = pc.if_else(pa.array(unknown), pa.scalar(None, before.type), before)
@@ -80,50 +96,106 @@ def _stretches(keys: list[str], order: list[str], value: str, keep_s: float | No
     return run
 
 
+def _packed(stretches, by: list[str], rest: list[str]):
+    """Rows as Arrow bytes: those of slot 0 in a row for each group ``by``, those of each other slot in a row without one."""
+
+    def run(batches):
+        for batch in stretches(batches):
+            slots = batch.column(_SLOT)
+            keyed = batch.filter(pc.equal(slots, 0))
+            # a range is sorted by its groups
+            cuts = np.append(np.flatnonzero(_starts(keyed, by)), keyed.num_rows)
+            for at, end in zip(cuts[:-1], cuts[1:], strict=True):
+                group = keyed.slice(at, end - at)
+                yield _row({c: group.column(c).slice(0, 1) for c in by}, 0, group.select([*rest, _FIRST]))
+            for slot in pc.unique(slots).to_pylist():
+                if slot:
+                    none = {c: pa.nulls(1, batch.schema.field(c).type) for c in by}
+                    yield _row(none, slot, batch.filter(pc.equal(slots, slot)).select(rest))
+
+    return run
+
+
+def _row(group: dict, slot: int, rows: pa.RecordBatch) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict(group | {_SLOT: pa.array([slot], pa.int64()), _PACKED: pa.array([_to_bytes(rows)], pa.binary())})
+
+
+def _to_bytes(rows) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as out:
+        out.write(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(batches):
+    for batch in batches:
+        for rows in batch.column(_PACKED):
+            yield from pa.ipc.open_stream(rows.as_buffer())
+
+
 class _Stitched(StatefulProcessor):
     """Give the first row of each stretch of a key the value of the last row of the stretch before it, NULL for the first of all.
 
-    Only slot 0 has state and is gathered; rows of other slots pass by piece by piece. With ``keep_s`` a last value counts
-    for so many seconds of event time; a timer then takes the key out of the state. The gap is judged by the rows, so the
-    timer decides about memory only.
+    Only slot 0 has state and is gathered, two rows for each range that has a key; rows of other slots pass. A group of keys
+    has one call and one state value, the last value of each key, so a key costs no message of its own. With ``keep_s`` a last value counts
+    for so many seconds of event time; older ones then leave the state, and a timer takes out a group with none left. The gap is judged by
+    the rows, so watermark and timer decide about memory only.
     """
 
-    def __init__(self, keys: list[str], order: list[str], value: str, value_type: str, keep_s: float | None = None):
-        self.keys, self.order, self.value, self.value_type, self.keep_s = keys, order, value, value_type, keep_s
+    def __init__(self, keys: list[str], order: list[str], value: str, keep_s: float | None = None):
+        self.keys, self.order, self.value = keys, order, value
+        self.keep = None if keep_s is None else int(keep_s * 1e6)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", f"value {self.value_type}, at bigint, timer bigint")
+        self.last = handle.getValueState("last", "held binary, timer bigint")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        columns = [*self.keys, *self.order, self.value, "previous"]
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        out = Row(_PACKED)
         if key[-1] != 0:
-            yield from (part[columns] for part in rows)
+            yield from (out(r[_PACKED]) for r in rows)
             return
-        batch = pd.concat(list(rows)).sort_values(self.order, kind="stable", na_position="first")
-        before, before_at, timer = self.last.get() if self.last.exists() else (None, None, None)
-        values = batch[self.value].tolist()
-        first = batch[_FIRST].tolist()
-        shifted = [before, *values[:-1]]
-        if self.keep_s is not None:
-            at = [None if pd.isna(t) else t.value // 1000 for t in batch[self.order[0]]]
-            keep = int(self.keep_s * 1e6)
-            gaps = zip([before_at, *at[:-1]], at, shifted, strict=True)
-            shifted = [None if a is not None and b is not None and b - a > keep else s for a, b, s in gaps]
-            before_at = at[-1]
-            if timer is not None:
-                self.handle.deleteTimer(timer)
+        fresh = pa.concat_tables([pa.ipc.open_stream(r[_PACKED]).read_all() for r in rows])
+        times = pa.nulls(fresh.num_rows, pa.int64()) if self.keep is None else _micros(fresh.column(self.order[0]))
+        fresh = fresh.append_column("at", times).append_column("new", pa.array(np.ones(fresh.num_rows, bool)))
+        held, timer = self.last.get() or (None, None)
+        if held is not None:
+            fresh = pa.concat_tables([fresh, pa.ipc.open_stream(held).read_all()], promote_options="default")
+        table = _ordered(fresh, [*self.keys, "new", *self.order])
+        n = table.num_rows
+        starts = _starts(table, self.keys)
+        at, unknown = table.column("at"), starts
+        one_up = pa.array(np.maximum(np.arange(-1, n - 1), 0))
+        if self.keep is not None:
+            gap = pc.subtract(at, at.take(one_up))
+            unknown = starts | pc.fill_null(pc.greater(gap, self.keep), False).to_numpy()
+        values = table.column(self.value)
+        before = pc.if_else(pa.array(unknown), pa.scalar(None, values.type), values.take(one_up))
+        place = table.schema.get_field_index("previous")
+        table = table.set_column(place, "previous", pc.if_else(table.column(_FIRST), before, table.column("previous")))
+        yield out(_to_bytes(table.filter(table.column("new")).select([*self.keys, *self.order, self.value, "previous"])))
+        last = table.filter(pa.array(np.append(starts[1:], True))).select([*self.keys, self.value, "at"])
+        self._keep(last.append_column("new", pa.array(np.zeros(last.num_rows, bool))), timer, timerValues)
+
+    def _keep(self, last: pa.Table, timer: int | None, timerValues) -> None:
+        expires = None
+        if self.keep is not None:
             # a row without a time cannot grow old: it stays
-            timer = None if before_at is None else -(-(before_at + keep) // 1000) + 1
+            old = pc.less(pc.add(last.column("at"), self.keep), timerValues.getCurrentWatermarkInMs() * 1000)
+            last = last.filter(pc.invert(pc.fill_null(old, False)))
             if timer is not None:
-                self.handle.registerTimer(timer)
-        batch["previous"] = [s if f else p for s, f, p in zip(shifted, first, batch["previous"].tolist(), strict=True)]
-        self.last.update((values[-1], before_at, timer))
-        yield batch[columns]
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+                self.handle.deleteTimer(timer)
+            if last.num_rows and not last.column("at").null_count:
+                expires = -(-(pc.max(last.column("at")).as_py() + self.keep) // 1000) + 1
+                self.handle.registerTimer(expires)
+        if last.num_rows:
+            self.last.update((_to_bytes(last), expires))
+        else:
+            self.last.clear()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.last.clear()
-        yield pd.DataFrame()
+        yield from ()
 
     def close(self) -> None:
         pass
@@ -135,16 +207,22 @@ def _with_previous(stream: DataFrame, keys: list[str], order: list[str], value:
         # a length of time, by Spark's own reading of it
         keep_s = stream.sparkSession.range(1).select(_seconds(keep)).first()[0]
         stream = stream.withWatermark(order[0], late)
-    slim = stream.select(*keys, *order, value)
-    fields = {f.name: f.dataType.simpleString() for f in slim.schema}
-    schema = ", ".join(f"{n} {t}" for n, t in fields.items()) + f", previous {fields[value]}"
+    # with ``keep`` a group has one value of all key columns but the last, so that it can leave the state
+    shared = keys[:-1] if keep is not None else []
+    by, others = [*shared, _BUCKET], [k for k in keys if k not in shared]
+    bucket = F.pmod(F.xxhash64(*others), F.lit(BUCKETS)).cast("int").alias(_BUCKET)
+    slim = stream.select(*shared, bucket, *others, *order, value)
+    types = {f.name: f.dataType.simpleString() for f in slim.schema}
+    types |= {"previous": types[value], _SLOT: "bigint", _PACKED: "binary"}
+    typed = lambda names: ", ".join(f"{n} {types[n]}" for n in names)
     pieces = int(stream.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = slim.repartitionByRange(pieces, *keys, *order)
-    types = fields | {"previous": fields[value], _FIRST: "boolean", _SLOT: "int"}
-    names = [*keys, _SLOT, *order, value, "previous", _FIRST]
-    marked = ranges.mapInArrow(_stretches(keys, order, value, keep_s), ", ".join(f"{n} {types[n]}" for n in names))
-    stitched = _Stitched(keys, order, value, fields[value], keep_s)
-    return marked.groupBy(*keys, _SLOT).transformWithStateInPandas(stitched, schema, "append", "None" if keep is None else "EventTime")
+    ranges = slim.repartitionByRange(pieces, *by, *others, *order)
+    given = [*keys, *order, value, "previous"]
+    packed = _packed(_stretches([*by, *others], order, value, keep_s), by, given)
+    marked = ranges.mapInArrow(packed, typed([*by, _SLOT, _PACKED]))
+    time_mode = "None" if keep is None else "EventTime"
+    stitched = marked.groupBy(*by, _SLOT).transformWithState(_Stitched(keys, order, value, keep_s), typed([_PACKED]), "append", time_mode)
+    return stitched.mapInArrow(_unpacked, typed(given))
 
 
 def _seconds(length: str) -> Column:

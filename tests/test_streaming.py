@@ -175,3 +175,20 @@ def test_ingested_items(spark, tmp_path, files):
     want = P.ingest_targets(as_items(df), targets)
     assert want.count() > 20
     assert sorted(rows(got.select(want.columns)), key=str) == sorted(rows(want), key=str)
+
+
+def test_groups_of_keys_share_a_state_value(spark, tmp_path, monkeypatch):
+    """Many keys, some without a value: few state values, and each key's own previous price."""
+    monkeypatch.setattr(M, "BUCKETS", 4, raising=False)
+    data = [(f"p{i % 50}" if i % 50 else None, float(10 + i % 7), f"s{i % 3}", i) for i in range(600)]
+    df = spark.createDataFrame(data, "product string, price double, source string, seq bigint")
+    df = df.withColumn("observed_at", F.timestamp_seconds("seq"))
+    source, checkpoint, out = str(tmp_path / "in"), scratch_path(spark, "groups-checkpoint"), scratch_path(spark, "groups")
+    for i in range(2):
+        df.filter((F.col("seq") >= 300) == bool(i)).coalesce(1).write.mode("append").parquet(source)
+    result = M.price_alerts(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(source))
+    M.drain(result, out, checkpoint)
+    want = P.price_alerts(df)
+    assert want.count() > 300
+    assert sorted(rows(spark.read.parquet(out).select(want.columns)), key=str) == sorted(rows(want), key=str)
+    assert spark.read.format("statestore").option("stateVarName", "last").load(checkpoint).count() <= 4
