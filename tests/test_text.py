@@ -185,3 +185,10 @@ def test_long_runs_and_prefixes(spark):
     assert [tuple(x) for x in got] == [("word", 100_000), ("ab", 3), ("wor", 2), ("abc", 2), ("wordy", 1)]
     counts = text_value(spark, lambda t: T.term_counts(T.tokens(t)), "b a b c")
     assert sorted(map(tuple, counts)) == [("a", 1), ("b", 2), ("c", 1)]
+
+
+def test_analysis_finds_the_words_of_a_text_once(spark):
+    done = spark.createDataFrame([(1, "A great day, 2nd b_c")], "id int, t string").select(T.analysis("t", names=False).alias("a"))
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[a-zA-Z]{1,}") == 1 and "[a-zA-Z]{3,}" not in plan and plan.count(f", {T.WORD}") == 1
+    assert done.first()["a"].asDict()["topics"] == ["great", "day"]
