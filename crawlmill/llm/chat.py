@@ -6,13 +6,15 @@ import json
 import math
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.ordering import with_position
+from ..operators.ordering import hot_keys, key_hash, with_position
 from .common import stored
 
+CALLS_PER_TASK = 200_000  # calls of one conversation that a task orders; larger conversations are ordered by joins
 MOST_DEPTH = 100  # lists and objects inside each other; deeper arguments are a problem of their own
 
 # argument schemas: name -> (required fields, optional fields), each field with its JSON type, or with a dictionary of
@@ -150,7 +152,128 @@ def _levels(edges: DataFrame, first_level: int) -> tuple[DataFrame | None, DataF
     return levels, edges
 
 
+def _components_of(needs: list[list[int]]) -> list[list[int]]:
+    """Calls that need each other, straight or through others; each such set after all that it needs (Tarjan's way, without recursion)."""
+    seen, low, open_, stack, found, clock = [0] * len(needs), [0] * len(needs), [False] * len(needs), [], [], 0
+    for root in range(len(needs)):
+        if seen[root]:
+            continue
+        way = [(root, iter(needs[root]))]
+        clock += 1
+        seen[root] = low[root] = clock
+        stack.append(root)
+        open_[root] = True
+        while way:
+            v, ahead = way[-1]
+            for w in ahead:
+                if not seen[w]:
+                    clock += 1
+                    seen[w] = low[w] = clock
+                    stack.append(w)
+                    open_[w] = True
+                    way.append((w, iter(needs[w])))
+                    break
+                if open_[w]:
+                    low[v] = min(low[v], seen[w])
+            else:
+                way.pop()
+                if way:
+                    low[way[-1][0]] = min(low[way[-1][0]], low[v])
+                if low[v] == seen[v]:
+                    at = len(stack) - 1
+                    while stack[at] != v:
+                        at -= 1
+                    found.append(stack[at:])
+                    del stack[at:]
+                    for w in found[-1]:
+                        open_[w] = False
+    return found
+
+
+def ordered_calls(ids: list[str], depends_on: list[list[str] | None]) -> tuple[list[int], list[int], list[str | None]]:
+    """``late``, ``level`` and ``mark`` of the calls of one conversation, which come by turn and id: as ``_ordered`` has them,
+    with ``late`` as the row of the call whose place it is."""
+    row = {x: i for i, x in enumerate(ids)}
+    needs = [list({row[d] for d in far or () if d in row}) for far in depends_on]
+    late, level, mark = list(range(len(ids))), [0] * len(ids), [None] * len(ids)
+    for members in _components_of(needs):
+        inside = set(members)
+        far = {d for i in members for d in needs[i]} - inside
+        last = max([*members, *(late[d] for d in far)])
+        rank = max((level[d] + 1 for d in far if late[d] == last), default=0)
+        kind = "cycle" if len(members) > 1 or members[0] in needs[members[0]] else "blocked" if any(mark[d] for d in far) else None
+        for i in members:
+            late[i], level[i], mark[i] = last, rank, kind
+    return late, level, mark
+
+
 def _ordered(calls: DataFrame) -> DataFrame:
+    """The first call of every identifier (conv_id, call_id) with ``late``, ``level``, ``mark`` and ``absent``, the needs that no call of the conversation fulfils.
+
+    A conversation of up to ``CALLS_PER_TASK`` calls is ordered in one task, whatever the length of its chains; larger ones
+    by joins (``_ordered_by_joins``). A sketch of bounded size tells them apart and only steers the plan.
+    """
+    firsts = calls.filter("first").select("conv_id", "turn", "call_id", "depends_on")
+    hot = hot_keys(firsts, ["conv_id"], CALLS_PER_TASK)
+    heavy = key_hash(["conv_id"]).isin(list(hot)) if hot else F.lit(False)
+    kind = firsts.schema["conv_id"].dataType.simpleString()
+    names = ["conv_id", "call_id", "late_turn", "late_id", "level", "mark", "absent"]
+
+    def run(parts):
+        for part in parts:
+            turns, ids, far = (part.column(c).to_pylist() for c in ("turn", "call_id", "depends_on"))
+            rows = sorted(range(len(ids)), key=lambda i: (turns[i] is not None, turns[i] or 0, ids[i].encode()))
+            turns, ids, far = ([x[i] for i in rows] for x in (turns, ids, far))
+            late, level, mark = ordered_calls(ids, far)
+            there = set(ids)
+            absent = [sorted({d for d in x or () if d is not None} - there, key=str.encode) or None for x in far]
+            conv = part.column("conv_id").take(pa.array(rows, pa.int64()))
+            made = [conv, pa.array(ids, pa.string()), pa.array([turns[i] for i in late], pa.int64()), pa.array([ids[i] for i in late], pa.string())]
+            made += [pa.array(level, pa.int32()), pa.array(mark, pa.string()), pa.array(absent, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in made], names=names)
+
+    def conversations(batches):
+        # rows come by conversation; the calls of one are held until the next begins
+        held = []
+        for batch in batches:
+            group = batch.column("group").to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(group)) + 1), len(group)]
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                if lo == hi:
+                    continue
+                if held and held[-1].column("group")[-1].as_py() != group[lo]:
+                    yield from run(_same_conversation(held))
+                    held = []
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield from run(_same_conversation(held))
+
+    light = firsts.filter(~heavy).withColumn("group", key_hash(["conv_id"])).repartition("group").sortWithinPartitions("group")
+    order = light.mapInArrow(conversations, f"conv_id {kind}, call_id string, late_turn bigint, late_id string, level int, mark string, absent array<string>")
+    if not hot:
+        return order
+    large = stored(firsts.filter(heavy).withColumn("first", F.lit(True)), "large")
+    joined = _ordered_by_joins(large).select(*_pair, F.col("late.turn").alias("late_turn"), F.col("late.call_id").alias("late_id"), "level", "mark")
+    needed = large.select("conv_id", "call_id", F.explode(F.array_distinct("depends_on")).alias("need")).filter("need is not null")
+    there = large.select(F.col("conv_id").alias("t_conv"), F.col("call_id").alias("t_id"))
+    absent = needed.join(there, F.col("conv_id").eqNullSafe(F.col("t_conv")) & (F.col("need") == F.col("t_id")), "left_anti")
+    absent = absent.groupBy(F.col("conv_id").alias("a_conv"), F.col("call_id").alias("a_id")).agg(F.array_sort(F.collect_list("need")).alias("absent"))
+    joined = joined.join(absent, _same("a_conv", "a_id"), "left")
+    return order.unionByName(joined.select(names))
+
+
+def _same_conversation(held: list[pa.RecordBatch]):
+    """The rows of each conversation whose keys share a hash: nearly always one."""
+    table = pa.Table.from_batches(held)
+    keys = table.column("conv_id").to_pylist()
+    if all(k == keys[0] for k in keys):
+        yield table
+        return
+    for key in dict.fromkeys(map(repr, keys)):
+        yield table.filter(pa.array([repr(k) == key for k in keys]))
+
+
+def _ordered_by_joins(calls: DataFrame) -> DataFrame:
     """Adds ``late`` (the turn and id a call must wait for), ``level`` behind that, ``cycle`` and ``blocked``.
 
     A call takes the latest place among its own and those of all it needs; the few calls that wait for a later one
@@ -352,8 +475,9 @@ def link(calls: DataFrame, results: DataFrame, tools: dict, context: DataFrame |
     needs a call on a cycle but is on none. A result without call is ``orphan_result``, a turn of context ``context``. Arguments
     that are no object, nest deeper than ``MOST_DEPTH``, repeat a member, or hold numbers out of range or half a
     surrogate pair are a problem and stay text in the JSON. A very long text is one row's. A null identifier links nothing (``unnamed_call``, ``unnamed_result``). Calls stand behind all
-    they need; needs that no call of the conversation fulfils are a problem. No conversation is gathered: order
-    comes from joins on calls, so one conversation may hold a third of all rows. Null texts are null in the
+    they need; needs that no call of the conversation fulfils are a problem. Only the identifiers and needs of up to
+    ``CALLS_PER_TASK`` calls of a conversation meet in a task; order in larger ones comes from joins, in rounds as many as
+    their longest way. Null texts are null in the
     JSON; empty tables give an empty result. Starts jobs when called.
     """
     calls = _firsts(calls.select("conv_id", "turn", "call_id", "name", "arguments", "depends_on"))
@@ -362,14 +486,9 @@ def link(calls: DataFrame, results: DataFrame, tools: dict, context: DataFrame |
     answers = results.filter("first").select(F.col("conv_id").alias("r_conv"), F.col("call_id").alias("r_id"), F.col("turn").alias("r_turn"), F.col("content"))
     order = _ordered(calls).withColumnsRenamed({"conv_id": "o_conv", "call_id": "o_id"})
     main = calls.filter("first").join(order, F.col("conv_id").eqNullSafe(F.col("o_conv")) & (F.col("call_id") == F.col("o_id")))
-    needed = calls.filter("first").select("conv_id", "call_id", F.explode(F.array_distinct("depends_on")).alias("need"))
-    there = calls.filter("first").select(F.col("conv_id").alias("t_conv"), F.col("call_id").alias("t_id"))
-    absent = needed.join(there, F.col("conv_id").eqNullSafe(F.col("t_conv")) & (F.col("need") == F.col("t_id")), "left_anti")
-    absent = absent.groupBy(F.col("conv_id").alias("a_conv"), F.col("call_id").alias("a_id")).agg(F.array_sort(F.collect_list("need")).alias("absent"))
-    main = main.join(absent, F.col("conv_id").eqNullSafe(F.col("a_conv")) & (F.col("call_id") == F.col("a_id")), "left")
     main = main.join(answers, F.col("conv_id").eqNullSafe(F.col("r_conv")) & (F.col("call_id") == F.col("r_id")), "left")
     main = main.select(
-        "conv_id", "call_id", "turn", "name", "arguments", "depends_on", "absent", "content", F.col("late.turn").alias("late_turn"), F.col("late.call_id").alias("late_id"), "level",
+        "conv_id", "call_id", "turn", "name", "arguments", "depends_on", "absent", "content", "late_turn", "late_id", "level",
         F.when(F.col("mark").isNotNull(), F.col("mark")).when(F.col("r_turn").isNotNull() | F.col("r_id").isNotNull(), "answered").otherwise("pending").alias("status"),
     )
     main = with_position(stored(main, "linked"), ["conv_id"], ["late_turn", "late_id", "level", "turn", "call_id"], "position")

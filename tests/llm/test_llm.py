@@ -484,6 +484,38 @@ def test_call_order_and_status_of_random_graphs(spark):
         assert sorted(v for k, v in place.items() if k[0] == conv) == list(range(1, 1 + sum(k[0] == conv for k in needs)))
 
 
+def test_order_takes_no_round_for_each_step_of_a_chain(spark):
+    """A long chain behind a cycle, in one conversation: few jobs, and the same rows by joins."""
+    prepare(spark)
+    chain = lambda conv, n: [(conv, n - i, f"c{i:03}", "search", "{}", [f"c{i - 1:03}"] if i else ["c001"]) for i in range(n)]
+    schema = "conv_id int, turn bigint, call_id string, name string, arguments string, depends_on array<string>"
+    calls = spark.createDataFrame([*chain(1, 60), *chain(None, 5), (2, 1, "z", "search", "{}", ["z", None, "no"])], schema)
+    results = spark.createDataFrame([], "conv_id int, turn bigint, call_id string, content string")
+    spark.sparkContext.setJobGroup("chain", "chain")
+    try:
+        got = chat.link(calls, results, chat.TOOLS).collect()
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("chain"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    rows = {(r["conv_id"], r["call_id"]): (r["position"], r["status"]) for r in got}
+    assert len(got) == 66 and jobs < 40, jobs
+    for conv, n in ((1, 60), (None, 5)):
+        assert {rows[conv, "c000"][0], rows[conv, "c001"][0]} == {1, 2} and rows[conv, "c000"][1] == rows[conv, "c001"][1] == "cycle"
+        assert all(rows[conv, f"c{i:03}"] == (i + 1, "blocked") for i in range(2, n))
+    assert rows[2, "z"] == (1, "cycle") and next(r for r in got if r["call_id"] == "z")["problems"] == ["missing limit", "missing query", "nothing gives no"]
+
+
+def test_order_of_large_conversations_is_that_of_small_ones(spark, monkeypatch):
+    prepare(spark)
+    rng = random.Random(5)
+    rows = [(conv, rng.randint(1, 9), f"{i}x", "search", "{}", [f"{j}x" for j in range(12) if rng.random() < 0.12] + ["none"]) for conv in (1, 2, None) for i in range(10)]
+    calls = spark.createDataFrame(rows, "conv_id int, turn bigint, call_id string, name string, arguments string, depends_on array<string>")
+    results = spark.createDataFrame([(1, 3, "2x", "r")], "conv_id int, turn bigint, call_id string, content string")
+    small = sorted(map(str, chat.link(calls, results, chat.TOOLS).collect()))
+    monkeypatch.setattr(chat, "CALLS_PER_TASK", 5)
+    assert sorted(map(str, chat.link(calls, results, chat.TOOLS).collect())) == small and len(small) == 30
+
+
 def test_odd_arguments_are_named_problems():
     tools = {"t": ({"a": "array"}, {"o": {"type": "object", "required": {"n": {"type": "number", "minimum": 0, "maximum": 2}}, "optional": {"k": {"enum": ["x", 1]}}}, "l": {"type": "array", "items": "integer"}})}
     of = lambda text: chat.problems("t", text, tools)[1]
