@@ -551,3 +551,23 @@ def test_empty_tables(spark, docs, tmp_path):
 def test_line_features_have_one_row_per_line():
     x, weight, first = line_crf.line_features(pa.array(["a\nb", "", None, "\n"]))
     assert first.tolist() == [0, 2, 3, 4, 6] and len(x) == 6 and weight.tolist() == [2, 2, 1, 1, 1, 1]
+
+
+def test_ngrams_are_shuffled_as_few_bytes(spark):
+    """Blocks of n-grams: 8 bytes and a count each, whatever part they are in, and no row of their own."""
+    prepare(spark)
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"w{rng.randrange(3000)}" for _ in range(900))) for i in range(40)] + [(90, None), (91, "one"), (92, "a b a b")]
+    docs = spark.createDataFrame(rows, "doc bigint, text string").repartition(2)
+    got = language_model.gram_blocks(docs, 2, 7).collect()
+    want = sum(len(set(zip(t.split(), t.split()[1:], strict=False))) for _, t in rows if t)
+    assert sum(len(r["g"]) for r in got) == 8 * want and len(got) <= 2 * 7 * 2 and {r["part"] for r in got} <= set(range(7))
+    assert sum(len(r["docs"]) + len(r["runs"]) + len(r["v"]) for r in got) < 5 * want
+    counts = language_model.count_table(docs, 2, 2)
+    gains = counts.select("g", F.col("c").cast("double").alias("gain"))
+    for parts in (1, 7):
+        sums = {r["doc"]: (r["gain"], r["found"]) for r in language_model.doc_sums(docs, 2, gains, parts).groupBy("doc").agg(F.sum("gain").alias("gain"), F.sum("found").alias("found")).collect()}
+        two = Counter(x for _, t in rows if t for x in zip(t.split(), t.split()[1:], strict=False))
+        for i, t in rows:
+            ns = [two[x] for x in zip((t or "").split(), (t or "").split()[1:], strict=False) if two[x] >= 2]
+            assert sums.get(i, (0, 0)) == (sum(ns), len(ns)), i
