@@ -192,3 +192,11 @@ def test_analysis_finds_the_words_of_a_text_once(spark):
     plan = done._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("[a-zA-Z]{1,}") == 1 and "[a-zA-Z]{3,}" not in plan and plan.count(f", {T.WORD}") == 1
     assert done.first()["a"].asDict()["topics"] == ["great", "day"]
+
+
+def test_keyword_usage_lowers_a_text_once(spark):
+    df = spark.createDataFrame([("One two ONE", "One", ["one", "Two", "x"])], "t string, title string, k array<string>")
+    used = df.select(T.keyword_usage("t", "k", "title").alias("u"))
+    plan = used._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"lower\([^()]*\.text", plan)
+    assert [(u["keyword"], u["count"], u["in_title"]) for u in used.first()["u"]] == [("one", 2, True), ("Two", 1, False), ("x", 0, False)]
