@@ -7,9 +7,11 @@ import pytest
 from helpers import one, text_value
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from crawlmill.functions import lexicons as L
 from crawlmill.functions import text as T
 from crawlmill.operators import terms as K
+from crawlmill.plans import inputs
 
 SAMPLE = (
     "The New York Times wrote about Anna. Éange word2 _under naïve data data-set.\tJohn Smith said: "
@@ -194,6 +196,16 @@ def test_analysis_finds_the_words_of_a_text_once(spark):
     assert done.first()["a"].asDict()["topics"] == ["great", "day"]
 
 
+def test_doc_analysis_names_entities(spark, tmp_path):
+    # those of the closing passage too, which the query puts behind three of four texts
+    rows = [(4 * i + k, t, "en", "s") for i, t in enumerate([*TEXTS, "Foo Bar Baz. Foo Bar Baz Qux", None]) for k in range(4)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in inputs.docs(spark, str(tmp_path)).collect()}
+    got = entry.queries()["doc_analysis"](spark, str(tmp_path))
+    assert got.columns[-2:] == ["entities", "category"]
+    assert {r["doc_id"]: r["entities"] for r in got.collect()} == {k: ",".join(py_entities(t or "")) for k, t in texts.items()}
+
+
 def test_keyword_usage_lowers_a_text_once(spark):
     df = spark.createDataFrame([("One two ONE", "One", ["one", "Two", "x"])], "t string, title string, k array<string>")
     used = df.select(T.keyword_usage("t", "k", "title").alias("u"))
